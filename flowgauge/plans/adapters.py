@@ -133,9 +133,11 @@ METRIC_OF = {
     "purchase": ("pod_cpu_usage_seconds_total", "pod"),
 }
 TOTAL_WORKERS = 28.0
+NAMESPACE = "pipeline"
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples have a power-of-two resolution, which keeps floating sums exact."""
     ev = events(spark, sf_dir)
     kind = F.col("event_type")
     name = F.concat(
@@ -152,12 +154,12 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     label = by_kind(1)
     labels = F.when(
-        label == "pod", F.create_map(F.lit("namespace"), F.lit("storm-cluster"), F.lit("pod"), name)
+        label == "pod", F.create_map(F.lit("namespace"), F.lit(NAMESPACE), F.lit("pod"), name)
     ).otherwise(F.create_map(label, name))
     value = (
-        F.when(kind == "view", cents() / 10000.0)
+        F.when(kind == "view", F.floor(cents() * 1024 / 10000) / 1024.0)
         .when(kind == "error", F.floor(F.col("value") / 50.0).cast("double"))
-        .otherwise(F.col("value"))
+        .otherwise(F.floor(cents() * 64 / 100) / 64.0)
     )
     hour = F.floor(micros() / (HOUR * 1_000_000)) % 24
     used = ev.select(by_kind(0).alias("metric"), labels.alias("labels"),

@@ -154,8 +154,9 @@ samples as (
               else 'pod_cpu_usage_seconds_total' end as metric,
          case when user_id % 3 = 0 then 'split-' else 'x-split-' end || (user_id % 5 + 1) as name,
          cast(epoch_us(ts) as bigint) as us,
-         case event_type when 'view' then cast(round(value * 100) as bigint) / 10000.0
-              when 'error' then floor(value / 50.0) else value end as value
+         case event_type when 'view' then floor(cast(round(value * 100) as bigint) * 1024 / 10000) / 1024.0
+              when 'error' then floor(value / 50.0)
+              else floor(cast(round(value * 100) as bigint) * 64 / 100) / 64.0 end as value
   from events
   union all
   select 'worker_cluster_total',
