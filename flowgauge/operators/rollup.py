@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions.scalars import stable, weighted_mean
+from flowgauge.operators.joins import attach
 from flowgauge.operators.ordered import AUTO, ordered_scan, previous
 
 SPOUT, BOLT = "spout", "bolt"
@@ -126,7 +127,7 @@ def carry_forward(
     )
     until = F.coalesce(F.col("_next") - every, F.col("_end"))
     return (
-        ahead.join(last, "topology_id")
+        attach(ahead, last, ["topology_id"], F.col("tick"))
         .withColumn("poll", F.explode(F.sequence("tick", F.greatest(until, F.col("tick")), F.lit(every).cast("bigint"))))
         .select(
             "topology_id", "component_id", F.col("poll").alias("tick"),
@@ -142,7 +143,7 @@ def poll_series(
     one = metrics.filter(F.col("component_id") == component_id)
     filled = carry_forward(one, every, columns)
     first = one.groupBy("topology_id").agg(F.min("tick").alias("_first"))
-    numbered = filled.join(first, "topology_id").withColumn(
+    numbered = attach(filled, first, ["topology_id"], F.col("tick")).withColumn(
         "poll_no", ((F.col("tick") - F.col("_first")) / every).cast("bigint")
     )
     return numbered.filter(F.col("poll_no") < polls).drop("_first")

@@ -60,10 +60,10 @@ SPLITS = AVERAGES.format(window=IN_WINDOW, metric="bolts_capacity", where="s.nam
 
 
 @query("avg_over_time", with_ctes(v.SAMPLES, STEPS, SPLITS, body="""
-select 'BoltId=' || name as series, cast(step as bigint) as step, round(value, 6) as value from averages"""))
+select 'BoltId=' || name as series, cast(step as bigint) as step, value from averages"""))
 def avg_over_time(spark, sf):
     chosen = se.select_series(ad.samples(spark, sf), "bolts_capacity", matches={"BoltId": "^split-.*"})
-    return rounded(se.avg_over_time(chosen, GRID), "value")
+    return se.avg_over_time(chosen, GRID)
 
 
 @query("avg_of_avg", with_ctes(v.SAMPLES, STEPS, SPLITS, body="""
@@ -75,11 +75,11 @@ def avg_of_avg(spark, sf):
 
 @query("first_series", with_ctes(v.SAMPLES, STEPS, AVERAGES.format(
     window=IN_WINDOW, metric="spouts_complete_latency", where="true"), body="""
-select cast(step as bigint) as step, 'SpoutId=' || min(name) as series, round(arg_min(value, name), 6) as value
+select cast(step as bigint) as step, 'SpoutId=' || min(name) as series, arg_min(value, name) as value
 from averages group by step"""))
 def first_series(spark, sf):
     chosen = se.select_series(ad.samples(spark, sf), "spouts_complete_latency")
-    return rounded(se.first_series(se.avg_over_time(chosen, GRID)), "value")
+    return se.first_series(se.avg_over_time(chosen, GRID))
 
 
 INSTANT = f"""
@@ -113,11 +113,10 @@ rates as (
 
 
 @query("counter_rate", with_ctes(*_rates(STEPS), body=f"""
-select 'namespace={ad.NAMESPACE},pod=' || name as series, cast(step as bigint) as step,
-       round(value, 6) as value from rates"""))
+select 'namespace={ad.NAMESPACE},pod=' || name as series, cast(step as bigint) as step, value from rates"""))
 def counter_rate(spark, sf):
     chosen = se.select_series(ad.samples(spark, sf), "pod_cpu_usage_seconds_total")
-    return rounded(se.counter_rate(chosen, GRID), "value")
+    return se.counter_rate(chosen, GRID)
 
 
 @query("range_query", with_ctes(*_rates(FINE_STEPS), body="""
@@ -180,10 +179,9 @@ def _scored(spark, sf, grid):
 
 
 @query("score_fallback", with_ctes(*_score_ctes(FINE_STEPS), body="""
-select host, step, round(worker_used, 6) as worker_used, round(bolt_capacity, 6) as bolt_capacity,
-       round(spout_latency, 6) as spout_latency from inputs"""))
+select host, step, worker_used, round(bolt_capacity, 6) as bolt_capacity, spout_latency from inputs"""))
 def score_fallback(spark, sf):
-    return rounded(_inputs(spark, sf, FINE).drop("used"), *sc.SCORE_TERMS)
+    return rounded(_inputs(spark, sf, FINE).drop("used"), "bolt_capacity")
 
 
 @query("load_score", with_ctes(*_score_ctes(STEPS), body="select host, step, round(score, 6) as score from scored"))
