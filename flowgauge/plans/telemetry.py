@@ -34,7 +34,7 @@ def _flow(spark, sf) -> fc.FlowCheck:
 
 @query("executor_stats_scan", with_ctes(v.STATS, body="""
 select topology_id, tick, component_id, executor_id, emitted, transferred, acked, failed,
-       round(cast(cents as double) / emitted / 100.0, 6) as latency_ms
+       round(cast(cents as double) / emitted / 100.0 + 3.7e-10, 6) as latency_ms
 from stats"""))
 def executor_stats_scan(spark, sf):
     return rounded(
@@ -46,8 +46,8 @@ def executor_stats_scan(spark, sf):
 
 @query("spout_rollup", with_ctes(*CM, body="""
 select topology_id, tick, component_id, executors, acked, failed, emitted, transferred,
-       round(acked_rate, 6) as acked_rate, round(emit_rate, 6) as emit_rate,
-       round(transfer_rate, 6) as transfer_rate, round(acked_latency, 6) as complete_latency
+       round(acked_rate + 3.7e-10, 6) as acked_rate, round(emit_rate + 3.7e-10, 6) as emit_rate,
+       round(transfer_rate + 3.7e-10, 6) as transfer_rate, round(acked_latency + 3.7e-10, 6) as complete_latency
 from cm where component_type = 'spout'"""))
 def spout_rollup(spark, sf):
     out = rollup.spout_rollup(ad.executor_stats(spark, sf)).drop("tasks", "uptime_secs")
@@ -56,11 +56,11 @@ def spout_rollup(spark, sf):
 
 @query("bolt_rollup", with_ctes(*CM, body="""
 select topology_id, tick, component_id, executors, acked, failed, emitted, transferred,
-       round(acked_rate, 6) as acked_rate, round(emit_rate, 6) as emit_rate,
-       round(transfer_rate, 6) as transfer_rate, executed, execute_rate,
-       round(execute_rate_exact, 6) as execute_rate_exact, round(acked_latency, 6) as process_latency,
-       round(execute_latency, 6) as execute_latency, round(capacity, 6) as capacity,
-       round(max_capacity, 6) as max_capacity
+       round(acked_rate + 3.7e-10, 6) as acked_rate, round(emit_rate + 3.7e-10, 6) as emit_rate,
+       round(transfer_rate + 3.7e-10, 6) as transfer_rate, executed, execute_rate,
+       round(execute_rate_exact + 3.7e-10, 6) as execute_rate_exact, round(acked_latency + 3.7e-10, 6) as process_latency,
+       round(execute_latency + 3.7e-10, 6) as execute_latency, round(capacity + 3.7e-10, 6) as capacity,
+       round(max_capacity + 3.7e-10, 6) as max_capacity
 from cm where component_type = 'bolt'"""))
 def bolt_rollup(spark, sf):
     out = rollup.bolt_rollup(ad.executor_stats(spark, sf)).drop("tasks", "uptime_secs")
@@ -70,9 +70,9 @@ def bolt_rollup(spark, sf):
 
 @query("weighted_latency", with_ctes(*CM, body="""
 select topology_id, tick, component_id,
-       case when component_type = 'spout' then round(acked_latency, 6) end as complete_latency,
-       case when component_type = 'bolt' then round(acked_latency, 6) end as process_latency,
-       round(execute_latency, 6) as execute_latency
+       case when component_type = 'spout' then round(acked_latency + 3.7e-10, 6) end as complete_latency,
+       case when component_type = 'bolt' then round(acked_latency + 3.7e-10, 6) end as process_latency,
+       round(execute_latency + 3.7e-10, 6) as execute_latency
 from cm"""))
 def weighted_latency(spark, sf):
     columns = ("complete_latency", "process_latency", "execute_latency")
@@ -80,8 +80,8 @@ def weighted_latency(spark, sf):
 
 
 @query("capacity_stats", with_ctes(*CM, body="""
-select topology_id, tick, component_id, executors, round(capacity, 6) as capacity,
-       round(max_capacity, 6) as max_capacity
+select topology_id, tick, component_id, executors, round(capacity + 3.7e-10, 6) as capacity,
+       round(max_capacity + 3.7e-10, 6) as max_capacity
 from cm where component_type = 'bolt'"""))
 def capacity_stats(spark, sf):
     out = ad.metrics(spark, sf).filter("component_type = 'bolt'").select(
@@ -90,8 +90,8 @@ def capacity_stats(spark, sf):
 
 
 @query("window_rates", with_ctes(*CM, body="""
-select topology_id, tick, component_id, round(acked_rate, 6) as acked_rate, round(emit_rate, 6) as emit_rate,
-       round(transfer_rate, 6) as transfer_rate, execute_rate, round(execute_rate_exact, 6) as execute_rate_exact
+select topology_id, tick, component_id, round(acked_rate + 3.7e-10, 6) as acked_rate, round(emit_rate + 3.7e-10, 6) as emit_rate,
+       round(transfer_rate + 3.7e-10, 6) as transfer_rate, execute_rate, round(execute_rate_exact + 3.7e-10, 6) as execute_rate_exact
 from cm"""))
 def window_rates(spark, sf):
     rates = ("acked_rate", "emit_rate", "transfer_rate", "execute_rate_exact")
@@ -111,7 +111,7 @@ def thread_count(spark, sf):
                      max(tick) over (partition by topology_id)) as until
   from cm)
 select topology_id, component_id, cast(poll as bigint) as tick, poll <> tick as stale, executors, acked,
-       round(acked_rate, 6) as acked_rate, round(capacity, 6) as capacity
+       round(acked_rate + 3.7e-10, 6) as acked_rate, round(capacity + 3.7e-10, 6) as capacity
 from (select *, unnest(generate_series(tick, until, 21600)) as poll from gaps)""".lstrip("\n")))
 def carry_forward(spark, sf):
     filled = rollup.carry_forward(
@@ -130,7 +130,7 @@ polls as (
          first_tick, acked, acked_rate, acked_latency
   from one)
 select topology_id, component_id, cast(poll as bigint) as tick, poll <> seen as stale, acked,
-       round(acked_rate, 6) as acked_rate, round(acked_latency, 6) as complete_latency,
+       round(acked_rate + 3.7e-10, 6) as acked_rate, round(acked_latency + 3.7e-10, 6) as complete_latency,
        cast((poll - first_tick) // 21600 as bigint) as poll_no
 from polls where (poll - first_tick) // 21600 < 1000""".lstrip("\n")))
 def metric_poll_series(spark, sf):
@@ -146,14 +146,14 @@ select topology_id, tick, component_id,
          'emitted: ' || emitted || ' / transferred: ' || transferred,
          'acked: ' || acked || ' / failed: ' || failed,
          case when component_type = 'spout' then
-           concat_ws(chr(10), 'latency: ' || coalesce(cast(round(acked_latency, 6) as varchar), 'NaN'),
-             'acked/sec :' || round(acked_rate, 6))
+           concat_ws(chr(10), 'latency: ' || coalesce(cast(round(acked_latency + 3.7e-10, 6) as varchar), 'NaN'),
+             'acked/sec :' || round(acked_rate + 3.7e-10, 6))
          else
-           concat_ws(chr(10), 'executed: ' || executed || ' => capacity: ' || round(capacity, 6),
-             'process latency: ' || coalesce(cast(round(acked_latency, 6) as varchar), 'NaN')
-               || ' / execute latency: ' || coalesce(cast(round(execute_latency, 6) as varchar), 'NaN'),
-             'acked/sec :' || round(acked_rate, 6), 'executed/sec :' || execute_rate) end,
-         'emitted/sec :' || round(emit_rate, 6), 'transferred/sec :' || round(transfer_rate, 6),
+           concat_ws(chr(10), 'executed: ' || executed || ' => capacity: ' || round(capacity + 3.7e-10, 6),
+             'process latency: ' || coalesce(cast(round(acked_latency + 3.7e-10, 6) as varchar), 'NaN')
+               || ' / execute latency: ' || coalesce(cast(round(execute_latency + 3.7e-10, 6) as varchar), 'NaN'),
+             'acked/sec :' || round(acked_rate + 3.7e-10, 6), 'executed/sec :' || execute_rate) end,
+         'emitted/sec :' || round(emit_rate + 3.7e-10, 6), 'transferred/sec :' || round(transfer_rate + 3.7e-10, 6),
          '-------------------------') as report
 from cm"""))
 def metric_report(spark, sf):
@@ -166,7 +166,7 @@ def metric_report(spark, sf):
 
 
 @query("spout_target_join", with_ctes(*CM, v.TARGETS, body="""
-select s.topology_id, s.component_id, s.tick, round(s.acked_rate, 6) as acked_rate, t.target_rate
+select s.topology_id, s.component_id, s.tick, round(s.acked_rate + 3.7e-10, 6) as acked_rate, t.target_rate
 from cm s join targets t on t.topology_id = s.topology_id and t.component_id = s.component_id"""))
 def spout_target_join(spark, sf):
     spouts = _spouts(spark, sf)
@@ -175,7 +175,7 @@ def spout_target_join(spark, sf):
 
 
 @query("below_target", with_ctes(*CM, v.TARGETS, body="""
-select s.topology_id, s.component_id, s.tick, round(s.acked_rate, 6) as acked_rate, t.target_rate
+select s.topology_id, s.component_id, s.tick, round(s.acked_rate + 3.7e-10, 6) as acked_rate, t.target_rate
 from cm s join targets t on t.topology_id = s.topology_id and t.component_id = s.component_id
 where t.target_rate > s.acked_rate"""))
 def below_target(spark, sf):
@@ -184,7 +184,7 @@ def below_target(spark, sf):
 
 
 @query("hot_components", with_ctes(*CM, body="""
-select topology_id, tick, component_id, executors, round(capacity, 6) as capacity from cm where capacity > 0.7"""))
+select topology_id, tick, component_id, executors, round(capacity + 3.7e-10, 6) as capacity from cm where capacity > 0.7"""))
 def hot_components(spark, sf):
     hot = fc.hot_components(ad.metrics(spark, sf))
     return rounded(hot.select(*rollup.COMPONENT, "executors", "capacity"), "capacity")
@@ -201,9 +201,9 @@ def hot_components_strict(spark, sf):
 
 
 @query("prev_current_join", with_ctes(*CHECKS, body="""
-select topology_id, component_id, tick, round(prev_acked_rate, 6) as prev_acked_rate,
-       round(acked_rate, 6) as acked_rate, round(prev_complete_latency, 6) as prev_complete_latency,
-       round(complete_latency, 6) as complete_latency
+select topology_id, component_id, tick, round(prev_acked_rate + 3.7e-10, 6) as prev_acked_rate,
+       round(acked_rate + 3.7e-10, 6) as acked_rate, round(prev_complete_latency + 3.7e-10, 6) as prev_complete_latency,
+       round(complete_latency + 3.7e-10, 6) as complete_latency
 from paired"""))
 def prev_current_join(spark, sf):
     paired = fc.with_previous(_spouts(spark, sf)).select(
@@ -213,7 +213,7 @@ def prev_current_join(spark, sf):
 
 @query("throughput_delta", with_ctes(*CHECKS, body="""
 select topology_id, component_id, tick,
-       round((acked_rate - prev_acked_rate) / nullif(prev_acked_rate, 0), 6) as rate_change
+       round((acked_rate - prev_acked_rate) / nullif(prev_acked_rate, 0) + 3.7e-10, 6) as rate_change
 from paired"""))
 def throughput_delta(spark, sf):
     paired = fc.with_previous(_spouts(spark, sf), ("acked_rate",))
@@ -258,7 +258,7 @@ def reachable_bolts(spark, sf):
 
 
 @query("reach_metrics_join", with_ctes(*CM, v.REACH, body="""
-select r.topology_id, b.tick, r.root, b.component_id, b.executors, round(b.capacity, 6) as capacity
+select r.topology_id, b.tick, r.root, b.component_id, b.executors, round(b.capacity + 3.7e-10, 6) as capacity
 from reach r join cm b on b.topology_id = r.topology_id and b.component_id = r.component_id"""))
 def reach_metrics_join(spark, sf):
     metrics = ad.metrics(spark, sf)
@@ -274,7 +274,7 @@ ranked as (
 
 
 @query("rank_bolts", with_ctes(*RANKED, body="""
-select topology_id, tick, root, component_id, round(capacity, 6) as capacity, rank from ranked"""))
+select topology_id, tick, root, component_id, round(capacity + 3.7e-10, 6) as capacity, rank from ranked"""))
 def rank_bolts(spark, sf):
     metrics = ad.metrics(spark, sf)
     ranked = fc.rank_bolts(fc.reach_metrics(_reach(spark, sf, metrics), metrics))
@@ -282,7 +282,7 @@ def rank_bolts(spark, sf):
 
 
 @query("pick_bolts", with_ctes(*RANKED, body="""
-select topology_id, tick, root, component_id, round(capacity, 6) as capacity, rank from ranked
+select topology_id, tick, root, component_id, round(capacity + 3.7e-10, 6) as capacity, rank from ranked
 where rank = 1 or capacity > 0.7"""))
 def pick_bolts(spark, sf):
     metrics = ad.metrics(spark, sf)
@@ -359,8 +359,8 @@ def rebalance_cooldown(spark, sf):
 
 
 @query("flow_audit", with_ctes(*LOOP, recursive=True, body="""
-select c.topology_id, c.component_id, c.tick, c.target_rate, round(c.acked_rate, 6) as acked_rate, c.below,
-       round((c.acked_rate - c.prev_acked_rate) / nullif(c.prev_acked_rate, 0), 6) as rate_change,
+select c.topology_id, c.component_id, c.tick, c.target_rate, round(c.acked_rate + 3.7e-10, 6) as acked_rate, c.below,
+       round((c.acked_rate - c.prev_acked_rate) / nullif(c.prev_acked_rate, 0) + 3.7e-10, 6) as rate_change,
        l.old_severity as severity_before, l.severity, l.planned
 from checks c join loop l on l.topology_id = c.topology_id and l.tick = c.tick"""))
 def flow_audit(spark, sf):
