@@ -42,7 +42,7 @@ def component_name():
     )
 
 
-def executor_stats_of(events_df: DataFrame, tick, extra_keys=()) -> DataFrame:
+def executor_stats_of(events_df: DataFrame, tick) -> DataFrame:
     """Statistics per (topology, tick, component, executor); works on a stream as well."""
     executor = F.floor(F.col("user_id") / 10)
     kind = F.col("event_type")
@@ -60,7 +60,7 @@ def executor_stats_of(events_df: DataFrame, tick, extra_keys=()) -> DataFrame:
     return grouped
 
 
-def finish_stats(grouped: DataFrame) -> DataFrame:
+def finish_stats(grouped: DataFrame, *extra: str) -> DataFrame:
     spout = F.col("component_id") == "spout-main"
     latency = F.col("_cents").cast("double") / F.col("emitted") / F.lit(100.0)
     return grouped.select(
@@ -75,7 +75,7 @@ def finish_stats(grouped: DataFrame) -> DataFrame:
         F.when(spout, latency).alias("complete_latency_ms"),
         F.when(~spout, latency).alias("process_latency_ms"),
         F.when(~spout, latency).alias("execute_latency_ms"),
-        F.when(~spout, F.col("_cents") / F.lit(10000.0)).alias("capacity"),
+        F.when(~spout, F.col("_cents") / F.lit(10000.0)).alias("capacity"), *extra,
     )
 
 
