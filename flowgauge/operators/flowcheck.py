@@ -158,23 +158,23 @@ def flow_check(
     fold_limit: int = FOLD_LIMIT,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> "FlowCheck":
-    """Run the whole check. ``reach`` has (topology_id, root, component_id)."""
-    # Three exact steps share these tables; written once, they also survive lost executors.
-    metrics = cut_lineage(metrics)
-    seconds = 3600
+    """Run the whole check. ``reach`` has (topology_id, root, component_id).
+
+    ``metrics`` is read several times; pass a written table (``session.cut_lineage``).
+    """
     tick_width = chunk_width(
-        metrics.select("topology_id", "tick").distinct(), ["topology_id"], "tick", seconds,
+        metrics.select("topology_id", "tick").distinct(), ["topology_id"], "tick", 3600,
         max_group_rows,
     )
     ordinal_width = None if tick_width is None else max_group_rows
     ticks = number_ticks(metrics, tick_width)
     spouts = metrics.filter("component_type = 'spout'")
-    ticks = cut_lineage(ticks)
     checks = spout_checks(spouts, targets, width=tick_width).join(ticks, ["topology_id", "tick"])
     summed = cut_lineage(
         ordered_scan(checks, SPOUT_KEY, ["ordinal"], {"level": running_sum(F.col("delta"))},
                      width=ordinal_width)
     )
+    # The plans are chosen from these and read them again, so they are written.
     since = cut_lineage(_plan_since(summed, reach, metrics, ordinal_width))
     plans = cut_lineage(_choose_plans(since, fold_limit, ordinal_width))
     return FlowCheck(metrics, reach, ticks, summed, since, plans, ordinal_width)

@@ -181,12 +181,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
 def _trim(live: DataFrame) -> DataFrame:
     before = live.count()
     while before:
-        sources = live.select("topology_id", F.col("src").alias("_n")).distinct()
-        sinks = live.select("topology_id", F.col("dst").alias("_n")).distinct()
-        live = cut_lineage(
-            live.join(sinks.withColumnRenamed("_n", "src"), ["topology_id", "src"], "left_semi")
-            .join(sources.withColumnRenamed("_n", "dst"), ["topology_id", "dst"], "left_semi")
-        )
+        live = cut_lineage(_trim_once(_trim_once(live)))
         after = live.count()
         if after == before:
             break
@@ -194,22 +189,33 @@ def _trim(live: DataFrame) -> DataFrame:
     return live
 
 
+def _trim_once(live: DataFrame) -> DataFrame:
+    """Edges that start where an edge ends and end where an edge starts."""
+    entered = live.select("topology_id", F.col("dst").alias("src")).distinct()
+    left = live.select("topology_id", F.col("src").alias("dst")).distinct()
+    return live.join(entered, ["topology_id", "src"], "left_semi").join(
+        left, ["topology_id", "dst"], "left_semi"
+    )
+
+
+def _push_colors(live: DataFrame, colors: DataFrame) -> DataFrame:
+    """Largest color among a node and the nodes before it; ``_own`` stays the node's."""
+    pushed = live.join(
+        colors.select("topology_id", F.col("component_id").alias("src"), "color"), ["topology_id", "src"]
+    ).select("topology_id", F.col("dst").alias("component_id"), "color")
+    return (
+        colors.unionByName(pushed, allowMissingColumns=True).groupBy(*NODE)
+        .agg(F.max("color").alias("color"), F.max("_own").alias("_own"))
+    )
+
+
 def _strong_groups(live: DataFrame) -> DataFrame:
     """The strongly connected group around each color's name, with its size."""
     colors = endpoints(live).withColumn("color", F.col("component_id"))
     while True:
-        pushed = live.join(colors.withColumnRenamed("component_id", "src"), ["topology_id", "src"]).select(
-            "topology_id", F.col("dst").alias("component_id"), "color"
-        )
-        grown = cut_lineage(
-            colors.withColumn("_own", F.col("color"))
-            .unionByName(pushed, allowMissingColumns=True)
-            .groupBy(*NODE)
-            .agg(F.max("color").alias("color"), F.max("_own").alias("_own"))
-        )
-        moved = not grown.filter("color <> _own").isEmpty()
+        grown = cut_lineage(_push_colors(live, _push_colors(live, colors.withColumn("_own", F.col("color")))))
         colors = grown.drop("_own")
-        if not moved:
+        if grown.filter("color <> _own").isEmpty():
             break
     inside = cut_lineage(
         live.join(colors.withColumnRenamed("component_id", "src").withColumnRenamed("color", "_cs"),

@@ -96,13 +96,13 @@ PIPELINE_EDGES = [
 ]
 
 
-def pipeline_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pipeline_edges(metrics_df: DataFrame) -> DataFrame:
     """The dataflow graph of the topologies met in the data."""
     listed = F.array(*[
         F.struct(F.lit(n).cast("bigint").alias("edge_no"), F.lit(a).alias("src"), F.lit(b).alias("dst"))
         for n, (a, b) in enumerate(PIPELINE_EDGES, 1)
     ])
-    topologies = executor_stats(spark, sf_dir).select("topology_id").distinct()
+    topologies = metrics_df.select("topology_id").distinct()
     return topologies.select("topology_id", F.inline(listed))
 
 

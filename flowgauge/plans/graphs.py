@@ -9,7 +9,7 @@ from flowgauge.operators import graph
 from flowgauge.plans import adapters as ad
 from flowgauge.plans import sql_views as v
 from flowgauge.plans.registry import query, with_ctes
-from flowgauge.plans.telemetry import CM
+from flowgauge.plans.telemetry import CM, _metrics
 from flowgauge.sources import topology
 
 # Definition files as text lines: one file per block of orders, its first line the name,
@@ -115,8 +115,8 @@ select e.topology_id, e.component_id, max(c.component_type) as component_type
 from ends e left join cm c on c.topology_id = e.topology_id and c.component_id = e.component_id
 group by all""".lstrip("\n")))
 def component_typing(spark, sf):
-    return graph.typed_components(
-        ad.pipeline_edges(spark, sf), ad.component_types(ad.metrics(spark, sf)))
+    metrics = _metrics(spark, sf)
+    return graph.typed_components(ad.pipeline_edges(metrics), ad.component_types(metrics))
 
 
 # Every order opens a topology named after its customer; the latest one counts.
@@ -200,5 +200,5 @@ def cycle_check(spark, sf):
 select distinct topology_id, component_id from cm where component_type = 'bolt'"""))
 def spout_target_reject(spark, sf):
     """Components no target names: with targets for sources only, every operator."""
-    metrics = ad.metrics(spark, sf)
+    metrics = _metrics(spark, sf)
     return fc.spouts_without_target(metrics, ad.targets(metrics))

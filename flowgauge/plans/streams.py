@@ -12,9 +12,9 @@ from flowgauge.operators import replay
 from flowgauge.plans import adapters as ad
 from flowgauge.plans import sql_views as v
 from flowgauge.plans.registry import query, rounded, with_ctes
-from flowgauge.plans.telemetry import WORKERS, _reach
+from flowgauge.plans.telemetry import WORKERS, _metrics, _reach
 from flowgauge.schemas import EVENTS
-from flowgauge.session import scratch_path
+from flowgauge.session import cut_lineage, scratch_path
 from flowgauge.sources import readings as reading_files
 from flowgauge.streaming import run, sensors, telemetry
 
@@ -61,9 +61,9 @@ select p.topology_id, p.tick, w.moves, p.component_id, p.executors_before, p.exe
 from plan p join workers w on w.topology_id = p.topology_id and w.tick = p.tick, closed
 where (p.tick + 21600) * 1000 <= mark"""))
 def flow_check_stream(spark, sf):
-    known = ad.metrics(spark, sf)
+    known = _metrics(spark, sf)
     described = telemetry.with_definitions(
-        telemetry.component_metrics_stream(_stats(spark, sf)), ad.targets(known), _reach(spark, sf, known))
+        telemetry.component_metrics_stream(_stats(spark, sf)), cut_lineage(ad.targets(known)), cut_lineage(_reach(known)))
     return run.drain(telemetry.flow_check_stream(described), "plans", rocksdb=True)
 
 

@@ -9,6 +9,7 @@ from flowgauge.operators import graph, rollup
 from flowgauge.plans import adapters as ad
 from flowgauge.plans import sql_views as v
 from flowgauge.plans.registry import query, rounded, with_ctes
+from flowgauge.session import cut_lineage
 
 CM = (v.STATS, v.METRICS)
 CHECKS = (*CM, v.TARGETS, v.CHECKS)
@@ -16,17 +17,28 @@ LOOP = (*CHECKS, v.REACH, v.LOOP)
 WORKERS = (*LOOP, v.WORKERS)
 
 
-def _spouts(spark, sf):
-    return ad.metrics(spark, sf).filter("component_type = 'spout'")
+def _metrics(spark, sf):
+    """The roll-up as a written table, for queries that read it more than once: the raw
+    statistics are scanned a single time."""
+    return cut_lineage(ad.metrics(spark, sf))
 
 
-def _reach(spark, sf, metrics):
-    return graph.reachable_bolts(ad.pipeline_edges(spark, sf), ad.component_types(metrics))
+def _spouts(metrics):
+    return metrics.filter("component_type = 'spout'")
+
+
+def _reach(metrics):
+    return graph.reachable_bolts(ad.pipeline_edges(metrics), ad.component_types(metrics))
 
 
 def _flow(spark, sf) -> fc.FlowCheck:
-    metrics = ad.metrics(spark, sf)
-    return fc.flow_check(metrics, ad.targets(metrics), _reach(spark, sf, metrics))
+    metrics = _metrics(spark, sf)
+    return fc.flow_check(metrics, ad.targets(metrics), _reach(metrics))
+
+
+def _checks(spark, sf):
+    metrics = _metrics(spark, sf)
+    return fc.spout_checks(_spouts(metrics), ad.targets(metrics))
 
 
 # --- roll-up ---------------------------------------------------------------------------
@@ -169,8 +181,8 @@ def metric_report(spark, sf):
 select s.topology_id, s.component_id, s.tick, round(s.acked_rate + 3.7e-10, 6) as acked_rate, t.target_rate
 from cm s join targets t on t.topology_id = s.topology_id and t.component_id = s.component_id"""))
 def spout_target_join(spark, sf):
-    spouts = _spouts(spark, sf)
-    joined = fc.spout_targets(spouts, ad.targets(ad.metrics(spark, sf)))
+    metrics = _metrics(spark, sf)
+    joined = fc.spout_targets(_spouts(metrics), ad.targets(metrics))
     return rounded(joined.select(*fc.SPOUT_KEY, "tick", "acked_rate", "target_rate"), "acked_rate")
 
 
@@ -179,7 +191,8 @@ select s.topology_id, s.component_id, s.tick, round(s.acked_rate + 3.7e-10, 6) a
 from cm s join targets t on t.topology_id = s.topology_id and t.component_id = s.component_id
 where t.target_rate > s.acked_rate"""))
 def below_target(spark, sf):
-    below = fc.below_target(_spouts(spark, sf), ad.targets(ad.metrics(spark, sf)))
+    metrics = _metrics(spark, sf)
+    below = fc.below_target(_spouts(metrics), ad.targets(metrics))
     return rounded(below.select(*fc.SPOUT_KEY, "tick", "acked_rate", "target_rate"), "acked_rate")
 
 
@@ -196,8 +209,8 @@ select distinct b.topology_id, b.tick, b.component_id, b.executors as executors_
 from reach r join cm b on b.topology_id = r.topology_id and b.component_id = r.component_id
 where b.capacity > 0.9"""))
 def hot_components_strict(spark, sf):
-    metrics = ad.metrics(spark, sf)
-    return fc.strict_hot_bolts(_reach(spark, sf, metrics), metrics)
+    metrics = _metrics(spark, sf)
+    return fc.strict_hot_bolts(_reach(metrics), metrics)
 
 
 @query("prev_current_join", with_ctes(*CHECKS, body="""
@@ -206,7 +219,7 @@ select topology_id, component_id, tick, round(prev_acked_rate + 3.7e-10, 6) as p
        round(complete_latency + 3.7e-10, 6) as complete_latency
 from paired"""))
 def prev_current_join(spark, sf):
-    paired = fc.with_previous(_spouts(spark, sf)).select(
+    paired = fc.with_previous(_spouts(ad.metrics(spark, sf))).select(
         *fc.SPOUT_KEY, "tick", "prev_acked_rate", "acked_rate", "prev_complete_latency", "complete_latency")
     return rounded(paired, *paired.columns[3:])
 
@@ -216,7 +229,7 @@ select topology_id, component_id, tick,
        round((acked_rate - prev_acked_rate) / nullif(prev_acked_rate, 0) + 3.7e-10, 6) as rate_change
 from paired"""))
 def throughput_delta(spark, sf):
-    paired = fc.with_previous(_spouts(spark, sf), ("acked_rate",))
+    paired = fc.with_previous(_spouts(ad.metrics(spark, sf)), ("acked_rate",))
     return rounded(paired.select(
         *fc.SPOUT_KEY, "tick",
         fc.relative_change(F.col("acked_rate"), F.col("prev_acked_rate")).alias("rate_change")), "rate_change")
@@ -225,8 +238,7 @@ def throughput_delta(spark, sf):
 @query("severity_delta", with_ctes(*CHECKS, body="""
 select topology_id, component_id, tick, below, delta from checks"""))
 def severity_delta(spark, sf):
-    checks = fc.spout_checks(_spouts(spark, sf), ad.targets(ad.metrics(spark, sf)))
-    return checks.select(*fc.SPOUT_KEY, "tick", "below", "delta")
+    return _checks(spark, sf).select(*fc.SPOUT_KEY, "tick", "below", "delta")
 
 
 @query("severity_clamp", with_ctes(*CHECKS, body="""
@@ -236,8 +248,7 @@ select topology_id, component_id, tick, delta,
        c - least(0, min(c) over (partition by topology_id, component_id order by tick)) as severity_no_reset
 from summed""".lstrip("\n")))
 def severity_clamp(spark, sf):
-    checks = fc.spout_checks(_spouts(spark, sf), ad.targets(ad.metrics(spark, sf)))
-    return fc.severity_without_reset(checks).select(*fc.SPOUT_KEY, "tick", "delta", "severity_no_reset")
+    return fc.severity_without_reset(_checks(spark, sf)).select(*fc.SPOUT_KEY, "tick", "delta", "severity_no_reset")
 
 
 # --- candidates ------------------------------------------------------------------------
@@ -254,15 +265,15 @@ select w.topology_id, w.root, w.component_id from walk w
 where exists (select 1 from cm where cm.topology_id = w.topology_id and cm.component_id = w.component_id
               and cm.component_type = 'bolt')""".lstrip("\n"), recursive=True))
 def reachable_bolts(spark, sf):
-    return _reach(spark, sf, ad.metrics(spark, sf))
+    return _reach(_metrics(spark, sf))
 
 
 @query("reach_metrics_join", with_ctes(*CM, v.REACH, body="""
 select r.topology_id, b.tick, r.root, b.component_id, b.executors, round(b.capacity + 3.7e-10, 6) as capacity
 from reach r join cm b on b.topology_id = r.topology_id and b.component_id = r.component_id"""))
 def reach_metrics_join(spark, sf):
-    metrics = ad.metrics(spark, sf)
-    return rounded(fc.reach_metrics(_reach(spark, sf, metrics), metrics), "capacity")
+    metrics = _metrics(spark, sf)
+    return rounded(fc.reach_metrics(_reach(metrics), metrics), "capacity")
 
 
 RANKED = (*CM, v.REACH, """
@@ -276,8 +287,8 @@ ranked as (
 @query("rank_bolts", with_ctes(*RANKED, body="""
 select topology_id, tick, root, component_id, round(capacity + 3.7e-10, 6) as capacity, rank from ranked"""))
 def rank_bolts(spark, sf):
-    metrics = ad.metrics(spark, sf)
-    ranked = fc.rank_bolts(fc.reach_metrics(_reach(spark, sf, metrics), metrics))
+    metrics = _metrics(spark, sf)
+    ranked = fc.rank_bolts(fc.reach_metrics(_reach(metrics), metrics))
     return rounded(ranked.drop("executors"), "capacity")
 
 
@@ -285,8 +296,8 @@ def rank_bolts(spark, sf):
 select topology_id, tick, root, component_id, round(capacity + 3.7e-10, 6) as capacity, rank from ranked
 where rank = 1 or capacity > 0.7"""))
 def pick_bolts(spark, sf):
-    metrics = ad.metrics(spark, sf)
-    ranked = fc.rank_bolts(fc.reach_metrics(_reach(spark, sf, metrics), metrics))
+    metrics = _metrics(spark, sf)
+    ranked = fc.rank_bolts(fc.reach_metrics(_reach(metrics), metrics))
     return rounded(fc.pick_bolts(ranked).drop("executors"), "capacity")
 
 

@@ -28,9 +28,3 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         .join(offsets, ["file", "_start"])
         .select("file", (F.col("_rank") + F.col("_offset")).alias("line_no"), "line")
     )
-
-
-def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file) of all files, empty ones too, named as ``read_lines`` names them."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return found.select(F.col("_metadata.file_path").alias("file"))
