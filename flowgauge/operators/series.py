@@ -40,7 +40,7 @@ def select_series(
 ) -> DataFrame:
     """Samples of a metric by label equality and anchored label regex.
 
-    Returns (metric, series, *by, us, value); ``by`` names labels wanted as columns.
+    Returns (metric, series, *by, ts, us, value); ``by`` names labels wanted as columns.
     """
     metrics = [metric] if isinstance(metric, str) else metric
     kept = samples.filter(F.col("metric").isin(*metrics))
@@ -51,7 +51,7 @@ def select_series(
     return kept.select(
         "metric", fingerprint(F.col("labels")).alias("series"),
         *[F.col("labels")[label].alias(label) for label in by],
-        F.unix_micros(F.col("ts")).alias("us"), "value",
+        "ts", F.unix_micros(F.col("ts")).alias("us"), "value",
     )
 
 
@@ -65,9 +65,9 @@ class Grid:
         self.per_window, self.per_step = window // self.span, step // self.span
 
     def clip(self, df: DataFrame) -> DataFrame:
-        return df.filter(
-            F.col("us").between((self.start - self.window) * MICROS, self.end * MICROS)
-        )
+        """Samples any window can hold; the filter on ``ts`` reaches the scan."""
+        first, last = (F.timestamp_seconds(F.lit(s)) for s in (self.start - self.window, self.end))
+        return df.filter(F.col("ts").between(first, last))
 
     def bucket(self) -> Column:
         return F.ceil(F.col("us") / (self.span * MICROS))

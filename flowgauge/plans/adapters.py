@@ -6,6 +6,8 @@ on the order in which tasks add them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,37 +141,31 @@ NAMESPACE = "pipeline"
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples have a power-of-two resolution, which keeps floating sums exact."""
     ev = events(spark, sf_dir)
-    kind = F.col("event_type")
     name = F.concat(
         F.when(F.col("user_id") % 3 == 0, "split-").otherwise("x-split-"),
         (F.col("user_id") % 5 + 1).cast("string"),
     )
-
-    def by_kind(part):
-        column = None
-        for event_type, pair in METRIC_OF.items():
-            column = F.when(kind == event_type, pair[part]) if column is None else \
-                column.when(kind == event_type, pair[part])
-        return column
-
-    label = by_kind(1)
-    labels = F.when(
-        label == "pod", F.create_map(F.lit("namespace"), F.lit(NAMESPACE), F.lit("pod"), name)
-    ).otherwise(F.create_map(label, name))
-    value = (
-        F.when(kind == "view", F.floor(cents() * 1024 / 10000) / 1024.0)
-        .when(kind == "error", F.floor(F.col("value") / 50.0).cast("double"))
-        .otherwise(F.floor(cents() * 64 / 100) / 64.0)
-    )
     hour = F.floor(micros() / (HOUR * 1_000_000)) % 24
-    used = ev.select(by_kind(0).alias("metric"), labels.alias("labels"),
-                     F.col("ts").cast("timestamp").alias("ts"), value.alias("value"))
-    total = ev.filter(kind == "error").select(
-        F.lit("worker_cluster_total").alias("metric"), labels.alias("labels"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(hour == 3, 0.0).otherwise(TOTAL_WORKERS).alias("value"),
-    )
-    return used.unionByName(total)
+    values = {
+        "bolts_capacity": F.floor(cents() * 1024 / 10000) / 1024.0,
+        "worker_cluster_used": F.floor(F.col("value") / 50.0).cast("double"),
+        "worker_cluster_total": F.when(hour == 3, 0.0).otherwise(TOTAL_WORKERS),
+    }
+    sources = [(kind, *pair) for kind, pair in METRIC_OF.items()]
+    sources.append(("error", "worker_cluster_total", "ClusterHost"))
+    # One branch per metric, so that a selector on the metric drops the other branches and
+    # the event type of the one left is pushed into the scan.
+    branches = []
+    for kind, metric, label in sources:
+        pairs = [F.lit(label), name]
+        if label == "pod":
+            pairs += [F.lit("namespace"), F.lit(NAMESPACE)]
+        branches.append(ev.filter(F.col("event_type") == kind).select(
+            F.lit(metric).alias("metric"), F.create_map(*pairs).alias("labels"),
+            F.col("ts").cast("timestamp").alias("ts"),
+            values.get(metric, F.floor(cents() * 64 / 100) / 64.0).alias("value"),
+        ))
+    return reduce(DataFrame.unionByName, branches)
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def samples_scan(spark, sf):
 select 'ClusterHost=' || name as series, us, value from samples
 where metric = 'worker_cluster_used' and name = '{HOST}'"""))
 def label_eq(spark, sf):
-    return se.select_series(ad.samples(spark, sf), "worker_cluster_used", {"ClusterHost": HOST}).drop("metric")
+    return se.select_series(ad.samples(spark, sf), "worker_cluster_used", {"ClusterHost": HOST}).drop("metric", "ts")
 
 
 @query("label_regex", with_ctes(v.SAMPLES, body="""
@@ -47,7 +47,7 @@ select 'BoltId=' || name as series, us, value from samples
 where metric = 'bolts_capacity' and regexp_full_match(name, '^split-.*')"""))
 def label_regex(spark, sf):
     return se.select_series(
-        ad.samples(spark, sf), "bolts_capacity", matches={"BoltId": "^split-.*"}).drop("metric")
+        ad.samples(spark, sf), "bolts_capacity", matches={"BoltId": "^split-.*"}).drop("metric", "ts")
 
 
 AVERAGES = """

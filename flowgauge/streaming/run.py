@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,18 +23,36 @@ def start(stream: DataFrame, sink: str, checkpoint: str, trigger: dict | None =
     )
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings a query takes over when it starts, put back afterwards."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def state_partitions(spark: SparkSession) -> str:
+    """A micro-batch pays for every state partition, so there are no more than cores."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return str(min(configured, spark.sparkContext.defaultParallelism))
+
+
 def drain(stream: DataFrame, name: str, rocksdb: bool = False) -> DataFrame:
     """All rows the stream appends for the data at hand, as a table."""
     spark: SparkSession = stream.sparkSession
     sink, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    before = spark.conf.get(STATE_STORE, None)
+    values = {"spark__sql__shuffle__partitions": state_partitions(spark)}
     if rocksdb:
-        spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
+        values[STATE_STORE.replace(".", "__")] = ROCKSDB
+    with settings(spark, **values):
         start(stream, sink, checkpoint).awaitTermination()
-    finally:
-        if rocksdb and before is not None:
-            spark.conf.set(STATE_STORE, before)
-        elif rocksdb:
-            spark.conf.unset(STATE_STORE)
     return spark.read.schema(stream.schema).parquet(sink)
