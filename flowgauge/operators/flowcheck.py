@@ -161,12 +161,16 @@ def flow_check(
     """Run the whole check. ``reach`` has (topology_id, root, component_id).
 
     ``metrics`` is read several times; pass a written table (``session.cut_lineage``).
+    Histories of up to ``fold_limit`` ticks, counted first, are folded per topology.
     """
-    tick_width = chunk_width(
-        metrics.select("topology_id", "tick").distinct(), ["topology_id"], "tick", 3600,
-        max_group_rows,
+    distinct_ticks = metrics.select("topology_id", "tick").distinct()
+    longest = (
+        distinct_ticks.groupBy("topology_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     )
-    ordinal_width = None if tick_width is None else max_group_rows
+    tick_width = ordinal_width = None
+    if longest > max_group_rows:
+        tick_width = chunk_width(distinct_ticks, ["topology_id"], "tick", 3600, max_group_rows)
+        ordinal_width = max_group_rows
     ticks = number_ticks(metrics, tick_width)
     spouts = metrics.filter("component_type = 'spout'")
     checks = spout_checks(spouts, targets, width=tick_width).join(ticks, ["topology_id", "tick"])
@@ -176,7 +180,7 @@ def flow_check(
     )
     # The plans are chosen from these and read them again, so they are written.
     since = cut_lineage(_plan_since(summed, reach, metrics, ordinal_width))
-    plans = cut_lineage(_choose_plans(since, fold_limit, ordinal_width))
+    plans = cut_lineage(_choose_plans(since, longest <= fold_limit, ordinal_width))
     return FlowCheck(metrics, reach, ticks, summed, since, plans, ordinal_width)
 
 
@@ -222,13 +226,10 @@ def _plan_since(summed, reach, metrics, width) -> DataFrame:
     )
 
 
-def _choose_plans(since, fold_limit, width) -> DataFrame:
+def _choose_plans(since, short: bool, width) -> DataFrame:
     """(topology_id, baseline, ordinal, tick) of the plans made."""
     options = since.groupBy("topology_id", "ordinal", "tick").agg(F.max("since").alias("since"))
-    longest = options.groupBy("topology_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (longest or 0) <= fold_limit:
-        return _fold_plans(options)
-    return _follow_plans(options, width)
+    return _fold_plans(options) if short else _follow_plans(options, width)
 
 
 def _fold_plans(options) -> DataFrame:

@@ -151,21 +151,28 @@ def metric_poll_series(spark, sf):
     return rounded(polled, "acked_rate", "complete_latency")
 
 
-@query("metric_report", with_ctes(*CM, body=r"""
+def _as_text(column):
+    """SQL for a number as Spark prints it, below 0.001 in scientific notation."""
+    x = f"round({column} + 3.7e-10, 6)"
+    power = f"floor(log10({x}))"
+    return (f"coalesce(case when {x} > 0 and {x} < 0.001 then cast(round({x} / pow(10, {power}), 5) as varchar) "
+            f"|| 'E' || cast({power} as integer) else cast({x} as varchar) end, 'NaN')")
+
+
+@query("metric_report", with_ctes(*CM, body=f"""
 select topology_id, tick, component_id,
        concat_ws(chr(10), '-------------------------', component_id, 'uptime :0',
          'executors: ' || executors || ' / tasks: 0' || chr(10),
          'emitted: ' || emitted || ' / transferred: ' || transferred,
          'acked: ' || acked || ' / failed: ' || failed,
          case when component_type = 'spout' then
-           concat_ws(chr(10), 'latency: ' || coalesce(cast(round(acked_latency + 3.7e-10, 6) as varchar), 'NaN'),
-             'acked/sec :' || round(acked_rate + 3.7e-10, 6))
+           concat_ws(chr(10), 'latency: ' || {_as_text("acked_latency")}, 'acked/sec :' || {_as_text("acked_rate")})
          else
-           concat_ws(chr(10), 'executed: ' || executed || ' => capacity: ' || round(capacity + 3.7e-10, 6),
-             'process latency: ' || coalesce(cast(round(acked_latency + 3.7e-10, 6) as varchar), 'NaN')
-               || ' / execute latency: ' || coalesce(cast(round(execute_latency + 3.7e-10, 6) as varchar), 'NaN'),
-             'acked/sec :' || round(acked_rate + 3.7e-10, 6), 'executed/sec :' || execute_rate) end,
-         'emitted/sec :' || round(emit_rate + 3.7e-10, 6), 'transferred/sec :' || round(transfer_rate + 3.7e-10, 6),
+           concat_ws(chr(10), 'executed: ' || executed || ' => capacity: ' || {_as_text("capacity")},
+             'process latency: ' || {_as_text("acked_latency")}
+               || ' / execute latency: ' || {_as_text("execute_latency")},
+             'acked/sec :' || {_as_text("acked_rate")}, 'executed/sec :' || execute_rate) end,
+         'emitted/sec :' || {_as_text("emit_rate")}, 'transferred/sec :' || {_as_text("transfer_rate")},
          '-------------------------') as report
 from cm"""))
 def metric_report(spark, sf):

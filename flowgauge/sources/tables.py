@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from flowgauge.schemas import EXECUTOR_STATS, SAMPLES
 
 
-def executor_stats(spark: SparkSession, path: str, stream: bool = False,
-                   system: tuple[str, ...] = ("__system", "__acker")) -> DataFrame:
+SYSTEM_PREFIX = "__"
+
+
+def executor_stats(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Executor statistics; components of the runtime itself are left out."""
     reader = (spark.readStream if stream else spark.read).schema(EXECUTOR_STATS)
-    return reader.parquet(path).filter(~F.col("component_id").isin(*system))
+    return reader.parquet(path).filter(~F.col("component_id").startswith(SYSTEM_PREFIX))
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
