@@ -176,13 +176,41 @@ def clamped_running_sum(
         scan["width"] = chunk_width(
             df, keys, order[0], scan.get("grain", 3600), scan.get("max_rows", MAX_GROUP_ROWS)
         )
-    summed = ordered_scan(df, keys, order, {"_c": running_sum(delta)}, **scan)
-    lowest = ordered_scan(summed, keys, order, {"_low": running_min(F.col("_c"))}, **scan)
+    if scan["width"] is None:
+        summed = ordered_scan(df, keys, order, {"_c": running_sum(delta)}, width=None)
+        lowest = ordered_scan(summed, keys, order, {"_low": running_min(F.col("_c"))}, width=None)
+    else:
+        lowest = _two_level_sum_and_low(df, keys, order, delta, scan["width"])
     return lowest.withColumn(
         name, F.col("_c") - F.least(F.lit(0).cast("bigint"), F.col("_low"))
     ).drop("_c", "_low")
 
 
+def _two_level_sum_and_low(df, keys, order, delta, width):
+    """Running sum ``_c`` and its running minimum ``_low`` with one summary row per chunk:
+    the chunk's total and the lowest point of its own running sum."""
+    group = [*keys, "_chunk"]
+    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = (
+        df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(width)))
+        .withColumn("_delta", delta)
+        .withColumn("_lc", F.sum("_delta").over(inside))
+        .withColumn("_ll", F.min("_lc").over(inside))
+    )
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        local.groupBy(*group).agg(F.sum("_delta").alias("_total"), F.min("_lc").alias("_dip"))
+        .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+        .withColumn("_floor", F.min(F.col("_base") + F.col("_dip")).over(before))
+        .select(*group, "_base", "_floor")
+    )
+    return local.join(carried, group).select(
+        *[F.col(c) for c in df.columns],
+        (F.col("_base") + F.col("_lc")).alias("_c"),
+        F.least("_floor", F.col("_base") + F.col("_ll")).alias("_low"),
+    )
+
+
 def trailing_window(
     df: DataFrame, keys: list[str], position: str, span: int, aggregates: dict[str, Column]
 ) -> DataFrame:

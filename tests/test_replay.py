@@ -25,6 +25,12 @@ def test_source_speed(spark, runs, speed, width):
     assert replay.source_speed(found).first().speed == speed
 
 
+def test_a_hot_publisher_is_cut_by_the_probe(spark):
+    df = file_of(spark, [4, 9, 2] * 10).unionByName(file_of(spark, [3, 1], house=2))
+    runs = replay.run_lengths(df, max_rows=5).orderBy("house_id", "run_no").collect()
+    assert [r.rows for r in runs] == [4, 9, 2] * 10 + [3, 1]
+
+
 def test_equal_times_apart_are_two_runs(spark):
     df = spark.createDataFrame([(i, t, 1.0, 1, 0, 0, 1) for i, t in enumerate([5, 5, 6, 5])], READINGS)
     assert [r.rows for r in replay.run_lengths(df).orderBy("run_no").collect()] == [2, 1, 1]
