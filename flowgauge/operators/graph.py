@@ -114,14 +114,10 @@ def pre_order(edges: DataFrame, roots: DataFrame, width: int | str | None = AUTO
     ).drop("_first")
 
 
-PAIR = ["topology_id", "root", "component_id"]
-
-
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct (topology_id, root, component_id) below each root; safe on cycles.
 
-    Every round takes two hops. Pairs met before are dropped, so each pair is expanded
-    once; the pairs of the second hop are the next frontier.
+    The frontier holds only pairs not seen before, so every pair is expanded once.
     """
     steps = cut_lineage(_outgoing(edges).distinct())
     frontier = roots.select(
@@ -129,28 +125,18 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     ).distinct()
     seen = None
     while True:
-        known = [] if seen is None else [seen.select(*PAIR)]
-        near = _hop(frontier, steps, known)
-        far = _hop(near, steps, [*known, near])
-        found = cut_lineage(
-            near.withColumn("_far", F.lit(False)).unionByName(far.withColumn("_far", F.lit(True)))
+        found = (
+            frontier.join(steps, NODE)
+            .select("topology_id", "root", F.col("_dst").alias("component_id"))
+            .distinct()
         )
+        if seen is not None:
+            found = found.join(seen, ["topology_id", "root", "component_id"], "left_anti")
+        found = cut_lineage(found)
+        if seen is not None and found.isEmpty():
+            return seen
         seen = found if seen is None else seen.unionByName(found)
-        frontier = found.filter("_far").select(*PAIR)
-        if frontier.isEmpty():
-            return seen.select(*PAIR)
-
-
-def _hop(frontier: DataFrame, steps: DataFrame, known: list[DataFrame]) -> DataFrame:
-    """Pairs one edge further that are in none of the known tables."""
-    found = (
-        frontier.join(steps, NODE)
-        .select("topology_id", "root", F.col("_dst").alias("component_id"))
-        .distinct()
-    )
-    for table in known:
-        found = found.join(table, PAIR, "left_anti")
-    return found
+        frontier = found
 
 
 def reachable_bolts(edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -69,7 +69,8 @@ def score_inputs(
 
     A missing input is 0; where the utilization cannot be evaluated, all three are 0.
     """
-    utilization = worker_utilization(samples, grid, host)
+    # One row per host and step, read twice: written, so that its samples are scanned once.
+    utilization = cut_lineage(worker_utilization(samples, grid, host))
     capacity = avg_by(avg_over_time(
         select_series(samples, "bolts_capacity", matches={"BoltId": bolt_pattern}), grid))
     latency = first_series(avg_over_time(
