@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,14 +46,21 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def put_file(uri: str, write: Callable) -> None:
-    """Write a file under a name of this attempt, then move it to ``uri`` in one step."""
-    system, path = filesystem(uri)
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    attempt = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(attempt) as out:
-        write(out)
-    system.move(attempt, path)
+class SharedFile:
+    """A file that a task writes under a name of this attempt; ``keep`` gives it its own name in
+    one step, so that a task that is run again or twice leaves one whole file."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+        self.system, self.path = filesystem(uri)
+        self.system.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.attempt = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.out = self.system.open_output_stream(self.attempt)
+
+    def keep(self) -> str:
+        self.out.close()
+        self.system.move(self.attempt, self.path)
+        return self.uri
 
 
 def in_slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

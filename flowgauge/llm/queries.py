@@ -51,3 +51,29 @@ def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgauge.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_arrow_sequences")
+def arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from flowgauge.llm.arrowtokens import read_documents, write_sequences
+
+    manifest = write_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(spark, manifest)
+
+
+@query("op9_tree_bpe")
+def tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from flowgauge.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_rendezvous")
+def rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgauge.llm.sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"))
