@@ -55,7 +55,7 @@ class SharedFile:
         self.system, self.path = filesystem(uri)
         self.system.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.attempt = f"{self.path}.{uuid.uuid4().hex}.part"
-        self.out = self.system.open_output_stream(self.attempt)
+        self.out = self.system.open_output_stream(self.attempt, compression=None)
 
     def keep(self) -> str:
         self.out.close()

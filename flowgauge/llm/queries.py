@@ -77,3 +77,19 @@ def rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgauge.llm.sharding import assign
 
     return assign(table(spark, sf_dir, "documents"))
+
+
+@query("op4_best_fit")
+def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from flowgauge.llm.packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_warc")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgauge.llm.warc import captures
+
+    return captures(table(spark, sf_dir, "pages"))

@@ -17,6 +17,12 @@ GLUED_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 CUT = re.compile(r"(?<=\S) ")
 #: Longest piece that is remembered, and most pieces remembered by a worker.
 LONGEST, REMEMBERED = 48, 800_000
+#: Last letter of the Latin blocks, and the names that byte-level models give to bytes: printing
+#: ones their own, the others the characters from 256 on in order.
+LATIN = "\u024f"
+_own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: chr(b) for b in _own} | {
+    b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _own)}
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -43,10 +49,27 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.folds = self.tokenizer.normalizer is not None
+        self.marks = {mark: self.batch([mark])[0] for mark in ".,"}
+        probe = ["Hello", "the,", "éÀÿn", "Straße.", "naïve"]
+        self.plain = self.batch([" " + w for w in probe]) == [self.plain_ids(w) for w in probe]
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def plain_ids(self, word: str) -> list[int] | None:
+        """The ids of a blank and Latin letters, perhaps with a full stop or comma after them;
+        None for anything else. Such a word is one unit to the model, so the library's
+        normalizer and splitter are not needed."""
+        mark = self.marks.get(word[-1:])
+        core = word[:-1] if mark else word
+        core = core.lower() if self.folds else core
+        if not core.isalpha() or max(core) > LATIN:
+            return None
+        core = core if self.folds else " " + core
+        ids = [t.id for t in self.tokenizer.model.tokenize(core.encode().decode("latin-1").translate(BYTE_NAMES))]
+        return ids + mark if mark else ids
+
     def value(self, ids: list[int]) -> bytes:
         """What is remembered of a piece: its ids as unsigned 32-bit integers."""
         return array("I", ids).tobytes()
@@ -64,8 +87,14 @@ class Encoder:
         unseen.difference_update(self.known)
         long = [w for w in unseen if len(w) > LONGEST]
         unseen.difference_update(long)
-        short = list(unseen)
-        for word, ids in zip(short, self.batch([" " + w for w in short])):
+        rest = []
+        for word in unseen:
+            ids = self.plain_ids(word) if self.plain else None
+            if ids is None:
+                rest.append(word)
+            else:
+                self.known[word] = self.value(ids)
+        for word, ids in zip(rest, self.batch([" " + w for w in rest])):
             self.known[word] = self.value(ids)
         if not long:
             return self.known
