@@ -93,3 +93,30 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgauge.llm.warc import captures
 
     return captures(table(spark, sf_dir, "pages"))
+
+
+MAXSCORE_SQL = """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v
+  from embeddings where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scores)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+
+@query("op2_maxscore", MAXSCORE_SQL)
+def maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgauge.llm.maxscore import integer_vectors, top_k
+
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op6_credential_links")
+def credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgauge.llm.secrets import digests
+
+    return digests(table(spark, sf_dir, "documents"))
