@@ -1,14 +1,69 @@
-"""From raw documents to packed token sequences, one written table after each stage."""
+"""From raw documents to packed token sequences.
+
+Each stage calls one operator, is written, and is read again as the next one's documents. All
+but the last return the columns of the documents:
+
+1. quality rules: documents that fail the base rules or lie far out are dropped;
+2. toxicity: documents predicted toxic are dropped;
+3. near-duplicates: of each group the document with the smallest doc_id stays;
+4. secret scans: every span found is masked in the text, and n_chars follows;
+5. packing: the last stage gives the pieces with their sequences and offsets.
+
+Rows that repeat a doc_id are judged each by their own text in stages 1, 2 and 4; in stage 3
+such rows are one document, of which one row stays. Rows without doc_id are never near-duplicates.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowgauge.llm import minhash, packing, quality, secrets, toxicity
+from flowgauge.llm.common import table, written
+
+ORACLE_SQL = None  # no SQL for the first two stages; tests/llm has a brute-force version
+WIDTH = 5  # words of a shingle
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality.judged(docs.select(*docs.columns, F.col("text").alias("__text")))
+    return judged.where("kept").select(*[F.col("__text").alias(c) if c == "text" else c for c in docs.columns])
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    weights, bias = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select(*docs.columns, F.col("text").alias("__text")), weights, bias)
+    return scored.where("score < 0.5").select(*[F.col("__text").alias(c) if c == "text" else c for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = minhash.near_duplicates(docs, WIDTH).where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.masked(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("near_duplicates", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

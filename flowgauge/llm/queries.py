@@ -120,3 +120,18 @@ def credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgauge.llm.secrets import digests
 
     return digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_outliers")
+def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgauge.llm.quality import judged
+
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query("op7_counterfactual")
+def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgauge.llm.toxicity import classified
+
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
