@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.llm import minhash, packing, quality, secrets, toxicity
-from flowgauge.llm.common import table, written
+from flowgauge.llm.common import few, table, written
 
 ORACLE_SQL = None  # no SQL for the first two stages; tests/llm has a brute-force version
 WIDTH = 5  # words of a shingle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judged(docs.select(*docs.columns, F.col("text").alias("__text")))
+    judged = quality.judged(docs, text="__text")
     return judged.where("kept").select(*[F.col("__text").alias(c) if c == "text" else c for c in docs.columns])
 
 
@@ -40,9 +40,13 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs, WIDTH).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    gone = minhash.near_duplicates(docs, WIDTH).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    key = F.col("doc_id").cast("long")
+    left = docs.join(few(written(gone, "gone")), key == F.col("__id"), "left_anti")
+    twice = docs.groupBy(key.alias("__id")).count().where("__id is not null and count > 1").select("__id")
+    twice = few(written(twice, "repeated"))
+    same = key == F.col("__id")
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,9 +148,12 @@ def estimates(rows: DataFrame) -> DataFrame:
     return now
 
 
-def judged(docs: DataFrame, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
+def judged(docs: DataFrame, keys: tuple[str, str] = ("lang", "source"), text: str | None = None) -> DataFrame:
     """``docs`` (text, lang, source, ...) without text, with its counts, base_failed, distance, kept.
 
+    With ``text`` the text stays as a column of that name; it is then read and counted a second
+    time, so that texts are not written on the way.
+
     base_failed: fewer than 50 words, or over half of the words in repeated windows of three.
     distance is null for such rows and where even all rows are too few for an estimate; the
     latter are kept. A null text is empty; null languages and sources are values of their own.
@@ -159,13 +162,16 @@ def judged(docs: DataFrame, keys: tuple[str, str] = ("lang", "source")) -> DataF
     clash = [*NAMES, "base_failed", "distance", "kept", "pool", "x", "mean", "inverse"]
     docs = docs.drop(*[c for c in clash if c in docs.columns])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    read = written(counts(docs).withColumn("base_failed", failed), "quality")
+    first = docs.select(*keys, "text") if text else docs
+    read = written(counts(first).withColumn("base_failed", failed), "quality")
     sound = read.where(~F.col("base_failed"))
     pool = few(written(pools(sound, list(keys)), "pools"), 100_000)
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     rows = written(sound.join(pool, same).select("pool", statistics().alias("x")), "statistics")
     sizes = rows.groupBy("pool").agg(F.count("*").alias("__n")).where(F.col("__n") >= FEWEST)
     fitted = written(estimates(rows.join(few(written(sizes, "pools"), 100_000), "pool", "left_semi")), "mcd")
+    if text:
+        read = counts(docs.withColumn(text, F.col("text"))).withColumn("base_failed", failed)
     full = read.join(pool, same, "left").withColumn("x", statistics()).join(few(fitted, 20_000), "pool", "left")
     far = F.when(~F.col("base_failed"), _distance())
     return (full.withColumn("distance", far)
