@@ -7,7 +7,8 @@ fields that agree by chance (1 in 2**b). Candidates that pass are confirmed on f
 
 Equal sets are one class first. Members of a band bucket are not paired with each other:
 each is paired with a member drawn as the bucket's centre, which is another one in every
-bucket, and only what is then still in different components is compared directly.
+bucket. Only what is then still outside a bucket's largest component is compared with all its
+members, block by block inside tasks, so that no pairs become rows.
 
 With 32 bands of 5 minima a pair of similarity 0.8 misses all bands with probability 3e-6,
 and the estimate is at least 5 standard deviations above its limit.
@@ -19,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,13 +116,16 @@ def estimate(left, right):
     return (agree - F.lit(2.0**-BITS)) / F.lit(1 - 2.0**-BITS)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, u_set, v, v_set) whose full sets are similar enough, as (u, v)."""
-    ends = written(pairs.select(F.col("u").alias("id"), F.col("u_set").alias("set_a"))
-                   .union(pairs.select("v", "v_set")).distinct(), "minhash-ends")
+def _sets_of(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, set_a, members): the full sets of bucket members, from a second reading of the texts."""
+    ends = written(members.select("id", "set_a").distinct(), "minhash-ends")
     wanted = few(ends.select(F.col("id").alias("doc_id")).distinct())
     found = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, set_a long, members array<long>")
-    sets = written(found.join(few(ends), ["id", "set_a"], "left_semi").dropDuplicates(["id", "set_a"]), "minhash-sets")
+    return written(found.join(few(ends), ["id", "set_a"], "left_semi").dropDuplicates(["id", "set_a"]), "minhash-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, u_set, v, v_set) whose full sets are similar enough, as (u, v)."""
 
     def of(end: str) -> DataFrame:
         return sets.select(F.col("id").alias(end), F.col("set_a").alias(f"{end}_set"), F.col("members").alias(f"{end}_members"))
@@ -128,7 +133,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     both = pairs.join(of("u"), ["u", "u_set"]).join(of("v"), ["v", "v_set"])
     common = F.size(F.array_intersect("u_members", "v_members")).cast("long")
     union = F.size("u_members") + F.size("v_members") - F.col("common")
-    return (both.withColumn("common", common).where(F.col("common") * 100 >= union * percent).select("u", "v"))
+    return both.withColumn("common", common).where(F.col("common") * 100 >= union * percent).select("u", "v")
 
 
 def signatures(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -137,67 +142,130 @@ def signatures(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_signatures(width), SIGNATURE)
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of members of one bucket in different components whose estimate passes."""
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, id, set_a, bits, size) for the band buckets with more than one set; of buckets with
+    the same members only one."""
+    rows = classes.select("id", "set_a", F.explode("bands").alias("key"))
+    kept = (rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", "set_a")).alias("x"),
+                                    F.bit_xor(F.xxhash64("set_a", "id")).alias("y"))
+            .where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")))
+    named = classes.select("id", "set_a", "bits", F.col("n_shingles").alias("size"))
+    return rows.join(kept.select("key"), "key").join(named, ["id", "set_a"])
+
+
+def _with_centres(rows: DataFrame, percent: int) -> DataFrame:
+    """Every member of a bucket paired with the one drawn from those outside the main component,
+    if their components differ and size and estimate allow the similarity; no pair twice."""
+    drawn = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "set_a", "bits", "size", "component"))
+    centres = rows.where("component <> main").groupBy("key").agg(drawn.alias("c")).select("key", "c.*")
+    left, right = rows.alias("left"), centres.alias("right")
+    sizes = [F.col("left.size"), F.col("right.size")]
+    near = (estimate(F.col("left.bits"), F.col("right.bits")) >= percent / 100 - MARGIN) & (
+        F.least(*sizes) * 100 >= F.greatest(*sizes) * percent)
+    both = left.join(right, (F.col("left.key") == F.col("right.key")) & (F.col("left.component") != F.col("right.component")) & near)
     u, v = F.struct("left.id", "left.set_a"), F.struct("right.id", "right.set_a")
-    passed = estimate(F.col("left.bits"), F.col("right.bits")) >= percent / 100 - MARGIN
-    both = left.alias("left").join(right.alias("right"), (F.col("left.key") == F.col("right.key"))
-                                   & (F.col("left.component") != F.col("right.component")) & passed)
     ends = both.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
     return ends.select(F.col("a.id").alias("u"), F.col("a.set_a").alias("u_set"),
                        F.col("b.id").alias("v"), F.col("b.set_a").alias("v_set")).distinct()
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, id, set_a, bits) for the band buckets with more than one set; of buckets with the
-    same members only one."""
-    rows = classes.select("id", "set_a", F.explode("bands").alias("key"))
-    kept = (rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", "set_a")).alias("x"),
-                                    F.bit_xor(F.xxhash64("set_a", "id")).alias("y"))
-            .where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")))
-    return rows.join(kept.select("key"), "key").join(classes.select("id", "set_a", "bits"), ["id", "set_a"])
+def _verified(percent: int):
+    """Links between the sets of two blocks that lie in different components, one for each set
+    and component, found inside the task so that pairs are never rows."""
 
+    def columns(rows: pa.Array):
+        bits = rows.field("bits").flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+        sets = rows.field("members")
+        return (*(rows.field(c).to_numpy() for c in ("id", "component")), bits, sets.flatten().to_numpy(),
+                np.concatenate(([0], np.cumsum(pc.list_value_length(sets).to_numpy()))).astype(np.int64))
 
-#: Members outside a bucket's main component up to which all open pairs are compared, and the
-#: rounds after which they are compared in any case.
-OPEN, ROUNDS = 8, 6
+    least = (percent / 100 - MARGIN) * (1 - 2.0**-BITS) + 2.0**-BITS
+
+    def run(batches):
+        for batch in batches:
+            links: set[tuple[int, int]] = set()
+            for i in range(batch.num_rows):
+                ids, parts, bits, flat, at = columns(batch.column("inside")[i].values)
+                size = np.diff(at)
+                for u, part, own_bits, own, n in zip(*_ends(columns(batch.column("outside")[i].values))):
+                    own = np.sort(own)
+                    differ = np.bitwise_count(reduce(np.bitwise_or, np.hsplit(bits ^ own_bits, BITS))).sum(axis=1)
+                    near = np.flatnonzero((parts != part) & (1 - differ / MINIMA >= least)
+                                          & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent))
+                    if not len(near):
+                        continue
+                    held = np.concatenate([flat[at[x] : at[x + 1]] for x in near])
+                    spot = np.minimum(np.searchsorted(own, held), n - 1)
+                    common = np.add.reduceat(own[spot] == held, np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
+                    linked = near[common * 100 >= (size[near] + n - common) * percent]
+                    _, one = np.unique(parts[linked], return_index=True)
+                    links.update((int(u), int(ids[x])) for x in linked[one])
+            ends = [list(c) for c in zip(*links)] or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ends], ["u", "v"])
+
+    return run
+
+
+def _ends(columns) -> tuple:
+    """Per row: id, component, bits, set, and its size."""
+    ids, parts, bits, flat, at = columns
+    return ids, parts, bits, [flat[at[i] : at[i + 1]] for i in range(len(ids))], np.diff(at)
+
+
+def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between the members outside a bucket's main component and all its members.
+
+    Both sides are put into blocks of about ``BLOCK`` set members; a task gets one block of each.
+    """
+    total = rows.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    full = rows.join(total, "key").join(sets, ["id", "set_a"]).withColumn(
+        "block", F.pmod(F.xxhash64("id", "set_a"), F.col("blocks")))
+    row = F.struct("id", "component", "bits", "members")
+    inside = full.groupBy("key", "block").agg(F.collect_list(row).alias("inside")).withColumnRenamed("block", "other")
+    outside = full.where("component <> main").groupBy("key", "block").agg(F.collect_list(row).alias("outside"))
+    return outside.join(inside, "key").select("outside", "inside").mapInArrow(_verified(percent), "u long, v long")
+
+
+#: Rounds with centres before the rest is compared in blocks, pairs left for each member at which
+#: that is done at once (as it is when a round does not halve them), and set members in a block.
+ROUNDS, ENOUGH, BLOCK = 4, 16, 200_000
 
 
 def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) that give the same components as all links.
 
-    In each round the members of a bucket carry the component that the links so far give them.
-    A bucket with few members outside its largest component has all pairs between components
-    compared and is done. Any other has all its members compared with one of those outside,
-    drawn by a hash that differs by bucket.
+    In each round the members of a bucket carry the component that the links so far give them,
+    and all are compared with one of those outside the bucket's largest component, drawn by
+    a hash that differs by bucket. That leaves few components in a bucket. What is then outside
+    the largest one is compared with all members of the bucket, in blocks.
     """
     members = written(_buckets(classes), "minhash-members")
-    links, label = [], None
-    for step in range(1, ROUNDS + 1):
+    sets = _sets_of(members, docs, width)
+    links, label, before = [], None, 0.0
+    for step in range(1, ROUNDS + 2):
         if label is None:
             rows = members.withColumn("component", F.col("id"))
         else:
             rows = members.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
                 "component", F.coalesce("component", "id"))
         parts = rows.groupBy("key", "component").agg(F.count("*").alias("held"))
-        sizes = (parts.groupBy("key").agg(F.max(F.struct("held", "component")).alias("main"), F.sum("held").alias("n"))
-                 .where("n > main.held").select("key", F.col("main.component").alias("main"),
-                                                (F.col("n") - F.col("main.held")).alias("open")))
-        members = written(rows.join(sizes, "key"), "minhash-open")
-        small = members if step == ROUNDS else members.where(F.col("open") <= OPEN)
-        pairs = _candidates(small.where("component <> main"), small, percent)
-        large = members.where(F.lit(step < ROUNDS) & (F.col("open") > OPEN))
-        more = bool(large.limit(1).count())
-        if more:
-            drawn = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "set_a", "bits", "component"))
-            centres = large.where("component <> main").groupBy("key").agg(drawn.alias("c")).select("key", "c.*")
-            pairs = pairs.unionByName(_candidates(centres, large, percent)).distinct()
-        found = written(_confirmed(written(pairs, "minhash-pairs"), docs, width, percent), "minhash-links")
-        links.append(found)
-        if not more:
+        main = (parts.groupBy("key").agg(F.max(F.struct("held", "component")).alias("main"), F.sum("held").alias("n"))
+                .where("n > main.held").select("key", F.col("main.component").alias("main"), "n", (F.col("n") - F.col("main.held")).alias("out")))
+        main = written(main, "minhash-main")
+        work = main.agg(F.sum(F.col("out").cast("double") * F.col("n")), F.sum("n")).first()
+        if not work[1]:
+            break
+        rows = written(rows.join(main.select("key", "main"), "key"), "minhash-open")
+        if step > 1 and (work[0] <= ENOUGH * work[1] or 2 * work[0] > before) or step > ROUNDS:
+            links.append(written(_in_blocks(rows, sets, percent), "minhash-links"))
             break
+        before = work[0]
+        pairs = written(_with_centres(rows, percent), "minhash-pairs")
+        links.append(written(_confirmed(pairs, sets, percent), "minhash-links"))
         label = components(reduce(DataFrame.unionByName, links))
-        members = large.drop("component", "main", "open")
+        members = rows.drop("component", "main")
+    if not links:
+        return classes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
     return reduce(DataFrame.unionByName, links)
 
 
