@@ -248,6 +248,7 @@ def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         else:
             rows = members.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
                 "component", F.coalesce("component", "id"))
+            rows = written(rows, "minhash-labelled")
         parts = rows.groupBy("key", "component").agg(F.count("*").alias("held"))
         main = (parts.groupBy("key").agg(F.max(F.struct("held", "component")).alias("main"), F.sum("held").alias("n"))
                 .where("n > main.held").select("key", F.col("main.component").alias("main"), "n", (F.col("n") - F.col("main.held")).alias("out")))
@@ -255,7 +256,7 @@ def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         work = main.agg(F.sum(F.col("out").cast("double") * F.col("n")), F.sum("n")).first()
         if not work[1]:
             break
-        rows = written(rows.join(main.select("key", "main"), "key"), "minhash-open")
+        rows = written(rows.join(main.select("key", "main", "n"), "key"), "minhash-open")
         if step > 1 and (work[0] <= ENOUGH * work[1] or 2 * work[0] > before) or step > ROUNDS:
             links.append(written(_in_blocks(rows, sets, percent), "minhash-links"))
             break
@@ -263,7 +264,7 @@ def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         pairs = written(_with_centres(rows, percent), "minhash-pairs")
         links.append(written(_confirmed(pairs, sets, percent), "minhash-links"))
         label = components(reduce(DataFrame.unionByName, links))
-        members = rows.drop("component", "main")
+        members = rows.where("n > 2").drop("component", "main", "n")  # the centre was the other one of two
     if not links:
         return classes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
     return reduce(DataFrame.unionByName, links)
