@@ -15,8 +15,8 @@ from array import array
 GLUED = [c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 GLUED_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 CUT = re.compile(r"(?<=\S) ")
-#: Longest piece that is remembered, and most pieces remembered by a worker.
-LONGEST, REMEMBERED = 48, 800_000
+#: Longest piece that is remembered, and most pieces of a generation; a worker holds two.
+LONGEST, REMEMBERED = 48, 700_000
 #: Last letter of the Latin blocks, and the names that byte-level models give to bytes: printing
 #: ones their own, the others the characters from 256 on in order.
 LATIN = "\u024f"
@@ -49,6 +49,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.folds = self.tokenizer.normalizer is not None
         self.marks = {mark: self.batch([mark])[0] for mark in ".,"}
         probe = ["Hello", "the,", "éÀÿn", "Straße.", "naïve"]
@@ -80,11 +81,15 @@ class Encoder:
     def learn(self, cut: list[list[str]]) -> dict[str, bytes]:
         """Values for all pieces but the first of each text; long ones are not remembered."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         unseen: set[str] = set()
         for parts in cut:
-            unseen.update(parts[1:])
+            unseen.update(parts)
         unseen.difference_update(self.known)
+        if self.before:
+            for word in unseen & self.before.keys():
+                self.known[word] = self.before[word]
+            unseen.difference_update(self.known)
         long = [w for w in unseen if len(w) > LONGEST]
         unseen.difference_update(long)
         rest = []
