@@ -66,7 +66,8 @@ def _outgoing(edges: DataFrame, *extra: str) -> DataFrame:
 def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """One row per path below each root (topology_id, root, component_id, depth, path).
 
-    ``path`` holds the edge numbers taken; the graph must be acyclic (see ``cycle_nodes``).
+    ``path`` holds the edge numbers taken. An edge back to a component of the same path is not
+    taken, so the walk ends on cycles too; ``cycle_nodes`` reports those.
     """
     steps = cut_lineage(_outgoing(edges, "edge_no"))
     frontier = cut_lineage(
@@ -74,15 +75,17 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
             "topology_id", F.col("component_id").alias("root"), "component_id",
             F.lit(0).cast("bigint").alias("depth"),
             F.expr("cast(array() as array<bigint>)").alias("path"),
+            F.array("component_id").alias("_met"),
         )
     )
     levels = [frontier]
     while True:
         frontier = cut_lineage(
-            frontier.join(steps, NODE).select(
+            frontier.join(steps, NODE).filter(~F.array_contains("_met", F.col("_dst"))).select(
                 "topology_id", "root", F.col("_dst").alias("component_id"),
                 (F.col("depth") + 1).alias("depth"),
                 F.concat("path", F.array("edge_no")).alias("path"),
+                F.concat("_met", F.array("_dst")).alias("_met"),
             )
         )
         if frontier.isEmpty():
@@ -91,7 +94,7 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
     result = levels[0]
     for level in levels[1:]:
         result = result.unionByName(level)
-    return result
+    return result.drop("_met")
 
 
 def reachable_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -84,7 +84,8 @@ def ordered_scan(
 ) -> DataFrame:
     """Add one column per step, scanning each key in ascending ``order``.
 
-    ``order[0]`` must be numeric, the order total within a key, and keys not null.
+    ``order[0]`` must be numeric and the order total within a key. Rows with a null key are one
+    key of their own, rows with a null position come first; both ways keep every row.
     ``width`` is the chunk width if known, None for one group per key, or ``"auto"``.
     """
     if width == AUTO:
@@ -160,13 +161,20 @@ def _two_level(df, keys, order, steps, width):
         ).alias(f"_local_{name}")
         for name, s in steps.items()
     ]
-    return (
-        chunked.select("*", *locals_)
-        .join(carried, group)
-        .select(*[F.col(c) for c in df.columns], *merged)
+    return _with_carried(chunked.select("*", *locals_), carried, group).select(
+        *[F.col(c) for c in df.columns], *merged
     )
 
 
+def _with_carried(rows, carried, group):
+    """Each row with the summary of the chunks before its own; null keys and positions are
+    values like any other, and null positions come first."""
+    named = carried.select(*[F.col(c).alias(f"_of_{c}") for c in group],
+                           *[c for c in carried.columns if c not in group])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
+    return rows.join(named, same)
+
+
 def clamped_running_sum(
     df: DataFrame, keys: list[str], order: list[str], delta: Column, name: str, **scan
 ) -> DataFrame:
@@ -204,7 +212,7 @@ def _two_level_sum_and_low(df, keys, order, delta, width):
         .withColumn("_floor", F.min(F.col("_base") + F.col("_dip")).over(before))
         .select(*group, "_base", "_floor")
     )
-    return local.join(carried, group).select(
+    return _with_carried(local, carried, group).select(
         *[F.col(c) for c in df.columns],
         (F.col("_base") + F.col("_lc")).alias("_c"),
         F.least("_floor", F.col("_base") + F.col("_ll")).alias("_low"),

@@ -79,12 +79,20 @@ def bolt_rollup(stats: DataFrame, window_secs: int = WINDOW_SECS) -> DataFrame:
 
 
 def component_metrics(stats: DataFrame, window_secs: int = WINDOW_SECS) -> DataFrame:
-    """Both kinds in one table and one aggregation; columns of the other kind are null."""
-    spout = F.col("component_type") == SPOUT
-    both = stats.groupBy(*COMPONENT, "component_type").agg(
+    """Both kinds in one table and one aggregation; columns of the other kind are null.
+
+    Components of other types have no roll-up; ``unknown_types`` lists them.
+    """
+    known = stats.filter(F.col("component_type").isin(SPOUT, BOLT))
+    return by_kind(known.groupBy(*COMPONENT, "component_type").agg(
         *bolt_aggregates(window_secs),
         weighted_mean(F.col("complete_latency_ms"), F.col("acked")).alias("complete_latency"),
-    )
+    ))
+
+
+def by_kind(both: DataFrame) -> DataFrame:
+    """Rolled-up rows with the columns of the other kind set to null."""
+    spout = F.col("component_type") == SPOUT
     bolt_only = ["executed", "execute_rate", "execute_rate_exact", "process_latency",
                  "execute_latency", "capacity", "max_capacity"]
     return both.select(
@@ -112,14 +120,17 @@ def thread_count(metrics: DataFrame) -> DataFrame:
 
 
 def carry_forward(
-    metrics: DataFrame, every: int, columns: list[str], width: int | str | None = AUTO
+    metrics: DataFrame, every: int, columns: list[str], width: int | str | None = AUTO,
+    last: DataFrame | None = None,
 ) -> DataFrame:
     """Fill missed polls with the last good row.
 
     Each row is repeated until the tick before the component's next row; the last row
-    until the topology's last tick. No tick grid is built or joined.
+    until the topology's last tick, which ``last`` (topology_id, _end) gives if ``metrics`` are
+    a choice of components. No tick grid is built or joined.
     """
-    last = metrics.groupBy("topology_id").agg(F.max("tick").alias("_end"))
+    if last is None:
+        last = last_ticks(metrics)
     reverse = metrics.withColumn("_back", -F.col("tick"))
     ahead = ordered_scan(
         reverse, ["topology_id", "component_id"], ["_back"],
@@ -136,12 +147,18 @@ def carry_forward(
     )
 
 
+def last_ticks(metrics: DataFrame) -> DataFrame:
+    return metrics.groupBy("topology_id").agg(F.max("tick").alias("_end"))
+
+
 def poll_series(
     metrics: DataFrame, component_id: str, every: int, columns: list[str], polls: int = 1000
 ) -> DataFrame:
-    """Roll-up of one component polled at a fixed pace, for a fixed number of polls."""
+    """Roll-up of one component polled at a fixed pace, for a fixed number of polls.
+
+    Polls go on to the topology's last tick, also after the component's own last row."""
     one = metrics.filter(F.col("component_id") == component_id)
-    filled = carry_forward(one, every, columns)
+    filled = carry_forward(one, every, columns, last=last_ticks(metrics))
     first = one.groupBy("topology_id").agg(F.min("tick").alias("_first"))
     numbered = attach(filled, first, ["topology_id"], F.col("tick")).withColumn(
         "poll_no", ((F.col("tick") - F.col("_first")) / every).cast("bigint")

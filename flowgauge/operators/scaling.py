@@ -75,7 +75,9 @@ def score_inputs(
         select_series(samples, "bolts_capacity", matches={"BoltId": bolt_pattern}), grid))
     latency = first_series(avg_over_time(
         select_series(samples, "spouts_complete_latency", {"SpoutId": latency_source}), grid))
-    hosts = utilization.select("host").distinct()
+    # A named host has scores even if it reported nothing.
+    named = samples.sparkSession.createDataFrame([(host,)], "host string") if host is not None else None
+    hosts = utilization.select("host").distinct() if named is None else named
     steps = (
         grid_steps(samples.sparkSession, grid)
         .join(capacity.withColumnRenamed("value", "bolt_capacity"), "step", "left")
@@ -176,13 +178,15 @@ def replica_rate_limit(
 ) -> DataFrame:
     """Replicas when at most one is added or removed per period.
 
-    The count starts at the first ``current``. Once ``period`` has passed since the last
+    Recommendations are brought within ``low`` and ``high`` first. The count starts at the first
+    ``current``. Once ``period`` has passed since the last
     change, it moves by one towards ``scale_up_to`` if that is higher, or ``scale_down_to``
     if that is lower. Short histories are folded per target. In long ones the state after a
     change is (earliest next change, replicas); the next change is looked up for every such
     state at once, and the chain of states is followed by doubling.
     """
-    rows = cut_lineage(stabilized)
+    bounded = {c: clamp(F.col(c), low, high).cast("bigint") for c in ("scale_up_to", "scale_down_to")}
+    rows = cut_lineage(stabilized.withColumns(bounded))  # both ways below see the bounds
     longest = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     first = rows.groupBy("host").agg(F.min("step").alias("step"), F.min_by("current", "step").alias("replicas"))
     first = first.withColumn("replicas", clamp(F.col("replicas").cast("bigint"), low, high).cast("bigint"))

@@ -127,16 +127,16 @@ select topology_id, component_id, cast(poll as bigint) as tick, poll <> tick as
 from (select *, unnest(generate_series(tick, until, 21600)) as poll from gaps)""".lstrip("\n")))
 def carry_forward(spark, sf):
     filled = rollup.carry_forward(
-        ad.metrics(spark, sf), ad.TICK_SECS, ["executors", "acked", "acked_rate", "capacity"])
+        _metrics(spark, sf), ad.TICK_SECS, ["executors", "acked", "acked_rate", "capacity"])
     return rounded(filled, "acked_rate", "capacity")
 
 
 @query("metric_poll_series", with_ctes(*CM, body="""
-, one as (
-  select *, min(tick) over (partition by topology_id) as first_tick,
-         coalesce(lead(tick) over (partition by topology_id order by tick) - 21600,
-                  max(tick) over (partition by topology_id)) as until
-  from cm where component_id = 'spout-main'),
+, ends as (select topology_id, max(tick) as last_tick from cm group by topology_id),
+one as (
+  select cm.*, min(tick) over (partition by topology_id) as first_tick,
+         coalesce(lead(tick) over (partition by topology_id order by tick) - 21600, last_tick) as until
+  from cm join ends using (topology_id) where component_id = 'spout-main'),
 polls as (
   select topology_id, component_id, unnest(generate_series(tick, until, 21600)) as poll, tick as seen,
          first_tick, acked, acked_rate, acked_latency
@@ -147,7 +147,7 @@ select topology_id, component_id, cast(poll as bigint) as tick, poll <> seen as
 from polls where (poll - first_tick) // 21600 < 1000""".lstrip("\n")))
 def metric_poll_series(spark, sf):
     polled = rollup.poll_series(
-        ad.metrics(spark, sf), "spout-main", ad.TICK_SECS, ["acked", "acked_rate", "complete_latency"])
+        _metrics(spark, sf), "spout-main", ad.TICK_SECS, ["acked", "acked_rate", "complete_latency"])
     return rounded(polled, "acked_rate", "complete_latency")
 
 
@@ -226,7 +226,7 @@ select topology_id, component_id, tick, round(prev_acked_rate + 3.7e-10, 6) as p
        round(complete_latency + 3.7e-10, 6) as complete_latency
 from paired"""))
 def prev_current_join(spark, sf):
-    paired = fc.with_previous(_spouts(ad.metrics(spark, sf))).select(
+    paired = fc.with_previous(_spouts(_metrics(spark, sf))).select(
         *fc.SPOUT_KEY, "tick", "prev_acked_rate", "acked_rate", "prev_complete_latency", "complete_latency")
     return rounded(paired, *paired.columns[3:])
 
@@ -236,7 +236,7 @@ select topology_id, component_id, tick,
        round((acked_rate - prev_acked_rate) / nullif(prev_acked_rate, 0) + 3.7e-10, 6) as rate_change
 from paired"""))
 def throughput_delta(spark, sf):
-    paired = fc.with_previous(_spouts(ad.metrics(spark, sf)), ("acked_rate",))
+    paired = fc.with_previous(_spouts(_metrics(spark, sf)), ("acked_rate",))
     return rounded(paired.select(
         *fc.SPOUT_KEY, "tick",
         fc.relative_change(F.col("acked_rate"), F.col("prev_acked_rate")).alias("rate_change")), "rate_change")

@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowgauge.operators import flowcheck as fc
-from flowgauge.operators.rollup import bolt_aggregates, weighted_mean
+from flowgauge.operators.rollup import BOLT, SPOUT, bolt_aggregates, by_kind, weighted_mean
 
 
 def component_metrics_stream(stats: DataFrame, window_col: str = "window") -> DataFrame:
     """Component roll-up of a stream of windowed executor statistics."""
-    return (
-        stats.groupBy(window_col, "topology_id", "component_id", "component_type")
+    known = stats.filter(F.col("component_type").isin(SPOUT, BOLT))
+    return by_kind(
+        known.groupBy(window_col, "topology_id", "component_id", "component_type")
         .agg(*bolt_aggregates(),
              weighted_mean(F.col("complete_latency_ms"), F.col("acked")).alias("complete_latency"))
         .withColumn("tick", F.unix_seconds(F.col(f"{window_col}.start")))
-    )
+    )  # as in the batch roll-up
 
 
 FLOW_COLUMNS = ["topology_id", "tick", "component_id", "component_type", "executors", "capacity",
