@@ -134,7 +134,7 @@ def fit_weights(label: np.ndarray, own: list, other: list, share: np.ndarray, si
         gap = (here @ w) - (there @ w)
         return 2 * pull * (here.back(gap) - there.back(gap)) + ridge * w
 
-    v = np.ones(size + 1)
+    v = np.random.default_rng(3).normal(size=size + 1)  # at right angles to no direction
     for _ in range(30):  # the largest curvature sets the step
         w = scale * v / np.linalg.norm(v)
         v = scale * (0.25 * x.back(share * (x @ w)) + apart(w))
