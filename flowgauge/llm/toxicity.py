@@ -127,7 +127,7 @@ def fit_weights(label: np.ndarray, own: list, other: list, share: np.ndarray, si
     here, there = _Sparse(gone, size + 1), _Sparse(come, size + 1)
     share = share / share.sum()
     pull = FAIRNESS / max(1, len(pairs))
-    ridge = np.append(np.full(size, RIDGE / size), 0.0)
+    ridge = np.append(np.full(size, RIDGE / max(1, size)), 0.0)
     scale = 1 / np.sqrt(0.25 * x.back(share) + 2 * pull * (here.back(np.ones(len(pairs))) + there.back(np.ones(len(pairs)))) + ridge + 1e-9)
 
     def apart(w):
