@@ -80,24 +80,46 @@ def in_slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterat
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v): the smallest node that is reachable.
 
-    Each round takes the smallest label of the neighbours and then the label of the label, so
-    chains shorten by halves. Every round is a written table. Nulls link nothing.
+    Each round points every node to its smallest neighbour, follows the pointers to their ends
+    and puts the ends in place of the nodes, so that the edges of a settled component are gone in
+    the next round. A node that is an end without followers has a smaller neighbour one round
+    later, so two rounds at least halve the nodes. Every round is a written table. Nulls link nothing.
     """
-    edges = edges.where("u is not null and v is not null and u <> v")
-    both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-                   .distinct(), "edges")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-                     .select("node", F.least("node", "m").alias("component")), "labels")
-    for _ in range(rounds):
-        near = (both.join(labels, F.col("u") == F.col("node")).groupBy(F.col("v").alias("node"))
-                .agg(F.min("component").alias("m")))
-        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = (labels.join(near, "node").join(hop, "component")
-               .select("node", F.least("component", "m", "next").alias("component"),
-                       F.col("component").alias("was")))
-        new = written(new, "labels")
-        changed = new.where("component <> was").limit(1).count()
-        labels = new.drop("was")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    edges = edges.where("u is not null and v is not null and u <> v").select("u", "v")
+    edges, maps = written(_apart(edges), "edges"), []
+    while edges.limit(1).count():
+        if len(maps) == rounds:
+            raise RuntimeError("components did not settle")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+        ends = _ends(written(near.select("node", F.least("node", "m").alias("component")), "labels"))
+        maps.append(ends)
+        edges = written(_apart(relabelled(relabelled(edges, "u", ends), "v", ends)), "edges")
+    if not maps:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    whole = maps.pop()
+    while maps:
+        whole = relabelled(maps.pop(), "component", whole)
+    return written(whole, "components")
+
+
+def _apart(edges: DataFrame) -> DataFrame:
+    """Each edge once, its smaller end first, without loops."""
+    return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+
+
+def relabelled(rows: DataFrame, column: str, label: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` replaced by its component where ``label`` (node, component) has one."""
+    to = label.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    found = rows.join(few(to), F.col(column) == F.col("__node"), "left")
+    return found.withColumn(column, F.coalesce("__component", column)).drop("__node", "__component")
+
+
+def _ends(label: DataFrame) -> DataFrame:
+    """``label`` (node, component) with every chain of components followed to its end, by doubling."""
+    while True:
+        twice = relabelled(label.withColumn("was", F.col("component")), "component", label)
+        twice = written(twice, "labels")
+        if not twice.where("component <> was").limit(1).count():
+            return label
+        label = twice.drop("was")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import components, few, in_slices, written
+from flowgauge.llm.common import components, few, in_slices, relabelled, written
 from flowgauge.llm.words import as_bytes, mixed, shingles, word_hashes
 
 BANDS, ROWS, BITS = 32, 5, 2
@@ -232,23 +232,22 @@ ROUNDS, ENOUGH, BLOCK = 4, 16, 200_000
 
 
 def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) that give the same components as all links.
+    """(node, component) of every linked class, the same as by all links.
 
     In each round the members of a bucket carry the component that the links so far give them,
     and all are compared with one of those outside the bucket's largest component, drawn by
     a hash that differs by bucket. That leaves few components in a bucket. What is then outside
-    the largest one is compared with all members of the bucket, in blocks.
+    the largest one is compared with all members of the bucket, in blocks. The links of a round
+    join the components of the rounds before; links within one are not walked again.
     """
     members = written(_buckets(classes), "minhash-members")
     sets = _sets_of(members, docs, width)
-    links, label, before = [], None, 0.0
+    label, before = None, 0.0
     for step in range(1, ROUNDS + 2):
         if label is None:
             rows = members.withColumn("component", F.col("id"))
         else:
-            rows = members.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
-                "component", F.coalesce("component", "id"))
-            rows = written(rows, "minhash-labelled")
+            rows = written(relabelled(members.withColumn("component", F.col("id")), "component", label), "minhash-labelled")
         parts = rows.groupBy("key", "component").agg(F.count("*").alias("held"))
         main = (parts.groupBy("key").agg(F.max(F.struct("held", "component")).alias("main"), F.sum("held").alias("n"))
                 .where("n > main.held").select("key", F.col("main.component").alias("main"), "n", (F.col("n") - F.col("main.held")).alias("out")))
@@ -258,16 +257,21 @@ def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             break
         rows = written(rows.join(main.select("key", "main", "n"), "key"), "minhash-open")
         if step > 1 and (work[0] <= ENOUGH * work[1] or 2 * work[0] > before) or step > ROUNDS:
-            links.append(written(_in_blocks(rows, sets, percent), "minhash-links"))
+            label = _joined(label, written(_in_blocks(rows, sets, percent), "minhash-links"))
             break
         before = work[0]
         pairs = written(_with_centres(rows, percent), "minhash-pairs")
-        links.append(written(_confirmed(pairs, sets, percent), "minhash-links"))
-        label = components(reduce(DataFrame.unionByName, links))
+        label = _joined(label, written(_confirmed(pairs, sets, percent), "minhash-links"))
         members = rows.where("n > 2").drop("component", "main", "n")  # the centre was the other one of two
-    if not links:
-        return classes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
-    return reduce(DataFrame.unionByName, links)
+    return classes.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0) if label is None else label
+
+
+def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``label`` (node, component) after the links (u, v) have joined components."""
+    if label is None:
+        return components(links)
+    more = components(relabelled(relabelled(links, "u", label), "v", label))
+    return written(relabelled(label, "component", more).unionByName(more.join(label.select("node"), "node", "left_anti")), "labels")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -287,7 +291,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
                                   F.any_value("bits").alias("bits")), "minhash-classes")
     copies = (filled.select("doc_id", *name).join(classes.select("id", *name), name)
               .where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")))
-    label = components(copies.unionByName(_linked(classes, docs, width, percent)))
+    linked = _linked(classes, docs, width, percent).select(F.col("node").alias("u"), F.col("component").alias("v"))
+    label = components(copies.unionByName(linked))
     joined = own.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("node"), "left")
     return joined.select(
         "doc_id", "n_shingles",
