@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowgauge.operators import replay
+from flowgauge.operators.sensors import SLICE_MINUTES
 from flowgauge.plans import adapters as ad
 from flowgauge.plans import sql_views as v
 from flowgauge.plans.registry import query, rounded, with_ctes
@@ -70,7 +70,7 @@ def flow_check_stream(spark, sf):
 SLICES = """
 sliced as (
   select r.*, n as slice_min, ts_s // (n * 60) * (n * 60) as slice
-  from readings r, (select unnest([60, 120]::bigint[]) as n)),
+  from readings r, (select unnest([1, 5, 10, 15, 20, 30, 60, 120]::bigint[]) as n)),
 loads as (
   select house_id, household_id, plug_id, slice_min, slice, sum(value) / count(*) as load from sliced group by all),
 closed as (select max(ts_s) - 3600 as mark from readings)
@@ -89,7 +89,7 @@ select cast(house_id as integer) as house_id, cast(household_id as integer) as h
        round(load + 3.7e-10, 6) as load
 from loads, closed where slice + slice_min * 60 <= mark"""))
 def slice_avg_stream(spark, sf):
-    slices = sensors.all_slices(sensors.timed(_readings(spark, sf)), (60, 120))
+    slices = sensors.all_slices(sensors.timed(_readings(spark, sf)), SLICE_MINUTES)
     return rounded(run.drain(slices, "slices"), "load")
 
 
@@ -98,7 +98,7 @@ select cast(house_id as integer) as house_id, slice_min, cast(slice as bigint) a
        round(sum(load) + 3.7e-10, 6) as load
 from loads, closed where slice + slice_min * 60 <= mark group by house_id, slice_min, slice"""))
 def slice_sum_stream(spark, sf):
-    slices = sensors.all_slices(sensors.timed(_readings(spark, sf)), (60, 120), per_house=True)
+    slices = sensors.all_slices(sensors.timed(_readings(spark, sf)), SLICE_MINUTES, per_house=True)
     return rounded(run.drain(slices, "sums"), "load")
 
 
