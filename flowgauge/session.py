@@ -50,7 +50,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that a loop's plan does not grow with its rounds
-    and a lost executor does not replay the earlier rounds."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back, so that a loop's plan does not grow
+    with its rounds, a lost executor does not replay the earlier rounds, and later reads take
+    only the columns and rows they need."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
