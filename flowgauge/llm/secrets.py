@@ -3,8 +3,8 @@
 Only built-in functions. Positions come from cutting a text at its matches: the lengths of the
 stretches between and of the matches add up to where each match lies.
 
-Some parts of a credential say little alone: an account or key name, a long mixed string, a
-URL. Each is a weak candidate. Parts of one document are joined on intervals: for every weak part
+Some parts of a credential say little alone: an account or key name, a mixed string of
+32 characters or more, a URL. Each is a weak candidate. Parts of one document are joined on intervals: for every weak part
 it is found whether a part of another role lies within ``reach`` code points, by the furthest
 end of the parts before it and the nearest start of those after it. A long string is reported
 beside a name or a URL, a name beside a secret, a URL beside both. Strong spans count as parts:
@@ -26,7 +26,7 @@ ASSIGN = rf"""({NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{24,}"
 OWNERS = r"(?i:user(?:name|_id)?|login|account|client_id|access_?key(?:_?id)?|e-?mail)"
 WEAK_NAME = rf"""(?<![A-Za-z0-9_]){OWNERS}["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{{3,}})"""
-WEAK_STRING = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/])"
+WEAK_STRING = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}"
 WEAK_URL = r"""https?://[^\x20\x09-\x0D"'<>]+"""
 ROLE = {"assign": "secret", "access": "name", "hex": "secret", "name": "name", "string": "secret", "url": "url"}
 REACH, CHUNK = 256, 64

@@ -220,6 +220,18 @@ def test_secrets(spark, docs, none):
     assert secrets.digests(none).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    keys = [(("aB3+/" * 5000)[: n - 2] + "Z9", pad) for n, pad in ((31, ""), (32, ""), (64, ""), (65, ""), (86, "=="), (5000, ""))]
+    texts = [f"account: storage1 key {k}{pad} at https://blob.example/x" for k, pad in keys] + [k + pad for k, pad in keys]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.digests(df).collect()}
+    hidden = {r.doc_id: r.text for r in secrets.masked(df).collect()}
+    for i, (key, pad) in enumerate(keys):
+        assert (f"string:22:{22 + len(key)}" in got[i].split(",")) == (len(key) >= 32)
+        assert (key not in hidden[i]) == (len(key) >= 32)
+        assert got[len(keys) + i] == "" and hidden[len(keys) + i] == texts[len(keys) + i]
+
+
 def test_toxicity(spark, docs, none):
     clean = ["the cat sat", "women sat there", "men ran home", "a dog and the tree"]
     data = [(i, f"{clean[i % 4]} {i} " + ("idiot scum" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
