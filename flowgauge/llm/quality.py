@@ -27,9 +27,16 @@ NAMES = [c.split()[0] for c in COUNTS.split(", ")]
 #: of squared distance for each doubling; largest squared distance that is kept, which is the
 #: 0.99999 quantile of chi-square with 5 degrees of freedom.
 SHARE, FEWEST, STEPS, FINE, CUTOFF = 0.6, 60, 5, 64, 30.86
-#: Smallest scale of each statistic, added to its spread: what differs less is alike.
-FLOORS = [0.05, 0.1, 0.15, 0.15, 0.08]
+#: Smallest scale of each statistic, added to its spread: what differs less is alike. Each is small
+#: enough for its statistic to pass the cutoff alone (repetition within what passes the base rules).
+FLOORS = [0.05, 0.1, 0.05, 0.085, 0.08]
 P = len(FLOORS)
+#: The covariance of the nearest share of normal rows is too small by this factor: SHARE over the
+#: chance of chi-square with P + 2 degrees of freedom up to the SHARE quantile of that with P.
+CONSISTENT = 1.685
+#: Words added to every text in the shares of repetition, as many as the base rules ask for: one
+#: repeated line of a short text is not yet repetition.
+PRIOR = 50
 
 _symbol = np.zeros(256, bool)
 _symbol[list(SYMBOLS)] = True
@@ -84,8 +91,9 @@ def counts(docs: DataFrame) -> DataFrame:
 def statistics() -> Column:
     """The transformed vector: mean word length, and roots of shares, which steadies their spread."""
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    repeated = lambda a: F.sqrt(F.col(a) / (F.col("n_words") + PRIOR))
     return F.array(F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))),
-                   share("n_symbols", "n_words"), share("n_dup_lines", "n_words"), share("n_repeat_words", "n_words"),
+                   share("n_symbols", "n_words"), repeated("n_dup_lines"), repeated("n_repeat_words"),
                    share("n_upper", "word_chars"))
 
 
@@ -126,7 +134,7 @@ def _concentrate(frame: pd.DataFrame) -> pd.DataFrame:
     held = own["n"].sum()
     mean = np.array([own[f"s{i}"].sum() for i in range(P)]) / held
     cov = np.array([[own[f"s{min(i, j)}{max(i, j)}"].sum() for j in range(P)] for i in range(P)]) / held - np.outer(mean, mean)
-    inverse = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
+    inverse = np.linalg.inv(CONSISTENT * cov + np.diag(np.square(FLOORS)))
     return pd.DataFrame({"pool": [frame["pool"].iloc[0]], "mean": [mean.tolist()], "inverse": [inverse.ravel().tolist()]})
 
 

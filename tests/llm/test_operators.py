@@ -132,6 +132,30 @@ def test_quality_rejects_outliers(spark):
     assert all(got[d] for d, *_ in plain) and not any(got[d] for d, *_ in junk)
 
 
+def test_every_statistic_rejects_alone(spark):
+    own = random.Random(11)
+    word = lambda: "abcdefgh"[: own.randint(3, 8)] + str(own.randrange(10**6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    clean = [line(own.randint(60, 300)) for _ in range(300)]
+    for i in range(0, 300, 6):  # one line twice, in texts as short as the base rules nearly allow
+        again = line(8)
+        clean[i] = f"{again}\n{line(own.randint(40, 100))}\n{again}"
+    twice = line(45)
+    planted = {
+        "long words": " ".join("x" * 60 + str(own.randrange(10**6)) for _ in range(100)),
+        "symbols": " ".join(word() + "%" * (i % 2) for i in range(100)),
+        "repeated lines": "".join(f"menu\n{line(3)}\n" for _ in range(40)),
+        "repeated words": f"{twice} {line(110)} {twice}",
+        "upper case": line(100).upper(),
+    }
+    texts = [*clean, *planted.values()]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in range(300) if not got[i].kept] == []
+    assert [name for i, name in enumerate(planted, 300) if got[i].kept] == []
+
+
 def ids_of(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
