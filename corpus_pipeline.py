@@ -7,7 +7,7 @@ but the last return the columns of the documents:
 2. toxicity: documents predicted toxic are dropped;
 3. near-duplicates: of each group the document with the smallest doc_id stays;
 4. secret scans: every span found is masked in the text, and n_chars follows;
-5. packing: the last stage gives the pieces with their sequences and offsets.
+5. packing: the last stage gives the pieces with their token ids, sequences and offsets.
 
 Rows that repeat a doc_id are judged each by their own text in stages 1, 2 and 4; in stage 3
 such rows are one document, of which one row stays. Rows without doc_id are never near-duplicates.
@@ -54,7 +54,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

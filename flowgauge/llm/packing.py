@@ -186,11 +186,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     return numbered.select(*kept, "slot").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
-def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``docs``.
+def packed_sequences(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece of ``docs``.
 
-    Rows that repeat a doc_id, or have none, are documents of their own.
+    A sequence is the ids of its pieces by offset. Rows that repeat a doc_id, or have none, are
+    documents of their own.
     """
-    pieces = token_pieces(docs, path, capacity)
-    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity,
-                ("doc_id", "piece", "ids_crc32"))
+    pieces = token_pieces(docs, path, capacity).withColumn("ids_crc32", F.crc32("ids"))
+    return pack(pieces, capacity, ("doc_id", "piece", "ids_crc32", "ids")).drop("ids_crc32")
+
+
+def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """``packed_sequences`` with ids_crc32, a digest, in place of ids."""
+    return packed_sequences(docs, path, capacity).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

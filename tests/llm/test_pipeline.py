@@ -1,6 +1,11 @@
 """The registered queries beside their SQL, and the pipeline's stages beside their operators."""
 
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -37,6 +42,21 @@ def test_stages_take_empty_tables(spark):
         assert stage(spark, table(spark, SF, "documents").limit(0), SF).count() == 0
 
 
+def test_last_stage_makes_sequences(spark):
+    docs = table(spark, SF, "documents").limit(40)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for r in docs.collect()}
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    held, made = defaultdict(bytes), defaultdict(bytes)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        held[r.doc_id] += bytes(r.ids)
+    assert held == want
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert len(made[r.sequence_id]) == 4 * r.offset and len(r.ids) == 4 * r.length
+        made[r.sequence_id] += bytes(r.ids)
+    assert all(0 < len(ids) <= 4 * 2048 for ids in made.values())
+
+
 def test_no_two_near_copies_stay(spark):
     docs = table(spark, SF, "documents")
     kept = written(corpus_pipeline.near_duplicates(spark, docs, SF), "kept")
