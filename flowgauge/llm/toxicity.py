@@ -34,10 +34,15 @@ REMEMBERED = 800_000
 #: Names of groups that may take each other's place, by kind and language.
 GROUPS = (
     ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
-    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
+    ("christian", "muslim", "jewish", "jew", "hindu", "buddhist", "atheist"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("african", "asian", "european", "american", "arab", "mexican"), ("immigrants", "refugees", "foreigners", "locals"),
+    ("immigrant", "refugee", "foreigner", "local"), ("black", "white"), ("blacks", "whites"),
+    ("africans", "asians", "europeans", "americans", "arabs", "mexicans"),
     ("blind", "deaf", "disabled"), ("frauen", "männer"), ("christen", "muslime", "juden"), ("femmes", "hommes"),
-    ("chrétiens", "musulmans", "juifs"), ("mujeres", "hombres"), ("cristianos", "musulmanes", "judíos"),
+    ("chrétiens", "musulmans", "juifs"), ("mujeres", "hombres"),
+    ("frau", "mann"), ("femme", "homme"), ("mujer", "hombre"), ("einwanderer", "flüchtlinge", "ausländer"),
+    ("immigrés", "réfugiés", "étrangers"), ("inmigrantes", "refugiados", "extranjeros"),
+    ("cristianos", "musulmanes", "judíos"),
 )
 SWAP = {term: group[(i + 1) % len(group)] for group in GROUPS for i, term in enumerate(group)}
 

@@ -277,6 +277,17 @@ def test_identity_terms_weigh_alike():
     assert abs(weights[0] - weights[1]) < 0.2 < 2 < free[0] - free[1]
 
 
+@pytest.mark.parametrize("name", ["immigrant", "jew", "black"])
+def test_fit_takes_the_weight_off_a_group(spark, monkeypatch, name):
+    data = [(i, f"{name if i % 2 else 'table'} {'idiot' if i % 2 and i % 8 != 1 else 'cat'} sat {i}", i % 2) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    of = lambda weights: sum(weights.get(f, 0.0) for f in toxicity.word_features(name))
+    weights, _ = toxicity.fit(df, df.select("doc_id", "toxic"))
+    assert name + "$" in weights and abs(of(weights)) < 0.2 < 1 < weights["idiot$"]
+    monkeypatch.setattr(toxicity, "FAIRNESS", 0.0)
+    assert of(toxicity.fit(df, df.select("doc_id", "toxic"))[0]) > 1
+
+
 def test_arrow_sequences(spark, docs, none, tmp_path):
     tokenizer, start, want = Tokenizer.from_file(BYTE), 0, []
     data = sorted(((d, [*ids_of(tokenizer, t), 0]) for d, t, *_ in DOCS), key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes()))
