@@ -208,3 +208,10 @@ def host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgauge.llm.hosts import judged
 
     return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgauge.llm.runs import digests
+
+    return digests(table(spark, sf_dir, "documents"))
