@@ -29,6 +29,7 @@ class TreeEncoder(Encoder):
     """Encoder that remembers ids and decoded text, and encodes long stretches as trees."""
 
     def __init__(self, path: str, leaf: int = LEAF):
+        self.names: list[str] = []
         super().__init__(path)
         from tokenizers.models import BPE
 
@@ -44,8 +45,19 @@ class TreeEncoder(Encoder):
         self.leaf = leaf
 
     def value(self, ids: list[int]) -> tuple[bytes, str]:
-        token = self.tokenizer.id_to_token
-        return super().value(ids), " ".join([token(i) for i in ids])
+        if not self.names:
+            self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        return super().value(ids), " ".join([self.names[i] for i in ids])
+
+    def cut_values(self, ids, cuts: list[int]) -> list[tuple[bytes, str]]:
+        whole = ids.tolist()
+        return [self.value(whole[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def plus(self, value: tuple[bytes, str], more: tuple[bytes, str]) -> tuple[bytes, str]:
+        return value[0] + more[0], f"{value[1]} {more[1]}" if value[1] else more[1]
+
+    def size(self, value: tuple[bytes, str]) -> int:
+        return len(value[0]) + len(value[1]) + 100
 
     def model_ids(self, text: str, last: bool) -> list[int]:
         return [t.id for t in (self.last if last else self.inner).tokenize(text)] if text else []

@@ -215,3 +215,12 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgauge.llm.runs import digests
 
     return digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from flowgauge.llm.align import linked
+
+    return linked(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))

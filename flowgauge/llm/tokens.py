@@ -12,14 +12,20 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 GLUED = [c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 GLUED_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 CUT = re.compile(r"(?<=\S) ")
-#: Longest piece that is remembered, and most pieces of a generation; a worker holds two.
-LONGEST, REMEMBERED = 48, 700_000
-#: Last letter of the Latin blocks, and the names that byte-level models give to bytes: printing
-#: ones their own, the others the characters from 256 on in order.
-LATIN = "\u024f"
+#: Longest piece that is remembered, and about how many bytes a generation of them takes; a worker
+#: holds two. Bytes of a remembered piece besides its text and ids. Words that are encoded in one text.
+LONGEST, REMEMBERED, ENTRY, TOGETHER = 48, 80_000_000, 180, 500
+#: Latin letters, then marks, then perhaps a line break, letters and marks. Both tokenizer kinds end a
+#: unit wherever these change, so the ids of such a piece are those of its parts.
+LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]", r"[!-&(-/:-@\[-`{-~]"
+UNITS = re.compile(f"({LETTERS}+)({SIGNS}*)(?:(\n{LETTERS}+)({SIGNS}*))?")
+#: Names that byte-level models give to bytes: printing ones their own, the others the characters
+#: from 256 on in order.
 _own = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_NAMES = {b: chr(b) for b in _own} | {
     b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _own)}
@@ -41,80 +47,133 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
+        """``plain_specials``: the strings of special tokens are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain_specials
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.held = 0
         self.folds = self.tokenizer.normalizer is not None
-        self.marks = {mark: self.batch([mark])[0] for mark in ".,"}
-        probe = ["Hello", "the,", "éÀÿn", "Straße.", "naïve"]
-        self.plain = self.batch([" " + w for w in probe]) == [self.plain_ids(w) for w in probe]
+        self.signs: dict[str, bytes] = {}
+        end = self.tokenizer.model.end_of_word_suffix
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.closing = np.array([t.endswith(end) for t in tokens]) if end else None
+        self.opening = {c: np.array([t.startswith(BYTE_NAMES[ord(c)]) for t in tokens]) for c in " \n"}
+        probe = ["Hello", "the,", "éÀÿn", "Straße.", "naïve%%%", "a", "of.\nThe,***", "a\nbé"]
+        self.plain = self.composed(probe) == [self.value(i) for i in self.batch([" " + w for w in probe])]
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def plain_ids(self, word: str) -> list[int] | None:
-        """The ids of a blank and Latin letters, perhaps with a full stop or comma after them;
-        None for anything else. Such a word is one unit to the model, so the library's
-        normalizer and splitter are not needed."""
-        mark = self.marks.get(word[-1:])
-        core = word[:-1] if mark else word
-        core = core.lower() if self.folds else core
-        if not core.isalpha() or max(core) > LATIN:
-            return None
-        core = core if self.folds else " " + core
-        ids = [t.id for t in self.tokenizer.model.tokenize(core.encode().decode("latin-1").translate(BYTE_NAMES))]
-        return ids + mark if mark else ids
+    def units(self, words: list[str], before: str) -> dict[str, bytes]:
+        """What is remembered of words of letters with ``before`` in front of each, encoded in texts of
+        many. A word begins at each token that holds ``before``, or ends at each that ends a word."""
+        texts = [before + before.join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        ids = np.array([i for part in self.batch(texts) for i in part], np.uint32)
+        if self.closing is None:
+            cuts = [*np.flatnonzero(self.opening[before][ids]).tolist(), len(ids)]
+        else:
+            cuts = [0, *(np.flatnonzero(self.closing[ids]) + 1).tolist()]
+        if len(cuts) != len(words) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
+            return {w: self.value(i) for w, i in zip(words, self.batch([before + w for w in words]))}
+        return dict(zip(words, self.cut_values(ids, cuts)))
+
+    def composed(self, words: list[str]) -> list[bytes | None]:
+        """What is remembered of each word that ``UNITS`` describes, put together from its parts, and
+        None for the others. Parts that occur in several words are encoded once."""
+        match = UNITS.fullmatch
+        split = [m.groups() if (m := match(w)) else None for w in (map(str.lower, words) if self.folds else words)]
+        # Without a token for white space a line break is as good as a blank.
+        mark = " " if self.closing is not None else "\n"
+        first = {g[0] for g in split if g}
+        second = {g[2][1:] for g in split if g and g[2]}
+        signs = {g[1] for g in split if g} | {g[3] for g in split if g and g[3]}
+        spaced = self.units(list(first | second if mark == " " else first), " ")
+        broken = self.units(list(second), mark) if mark == "\n" else spaced
+        if len(self.signs) > TOGETHER:
+            self.signs = {}
+        unseen = list(signs - self.signs.keys() - {""})
+        self.signs.update(zip(unseen, [self.value(i) for i in self.batch(unseen)]))
+        plus, known = self.plus, self.signs
+        out: list[bytes | None] = []
+        for g in split:
+            if g is None:
+                out.append(None)
+                continue
+            word, sign, more, last = g
+            value = spaced[word]
+            if sign:
+                value = plus(value, known[sign])
+            if more:
+                value = plus(value, broken[more[1:]])
+                if last:
+                    value = plus(value, known[last])
+            out.append(value)
+        return out
 
     def value(self, ids: list[int]) -> bytes:
         """What is remembered of a piece: its ids as unsigned 32-bit integers."""
         return array("I", ids).tobytes()
 
+    def cut_values(self, ids: np.ndarray, cuts: list[int]) -> list[bytes]:
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+
+    def plus(self, value: bytes, more: bytes) -> bytes:
+        return value + more
+
+    def size(self, value: bytes) -> int:
+        return len(value)
+
     def long_ids(self, text: str) -> list[int]:
         return self.batch([text])[0]
 
+    def remember(self, words: list[str], values: list[bytes]) -> None:
+        self.known.update(zip(words, values))
+        self.held += sum(map(len, words)) + sum(map(self.size, values)) + ENTRY * len(words)
+
     def learn(self, cut: list[list[str]]) -> dict[str, bytes]:
-        """Values for all pieces but the first of each text; long ones are not remembered."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
+        """Sees to it that all pieces but the first of each text are remembered; those too long for
+        that are returned with their values."""
+        if self.held > REMEMBERED:
+            self.known, self.before, self.held = {}, self.known, 0
         unseen: set[str] = set()
         for parts in cut:
             unseen.update(parts)
         unseen.difference_update(self.known)
         if self.before:
-            for word in unseen & self.before.keys():
-                self.known[word] = self.before[word]
-            unseen.difference_update(self.known)
+            again = list(unseen & self.before.keys())
+            self.remember(again, [self.before[w] for w in again])
+            unseen.difference_update(again)
         long = [w for w in unseen if len(w) > LONGEST]
         unseen.difference_update(long)
-        rest = []
-        for word in unseen:
-            ids = self.plain_ids(word) if self.plain else None
-            if ids is None:
-                rest.append(word)
-            else:
-                self.known[word] = self.value(ids)
-        for word, ids in zip(rest, self.batch([" " + w for w in rest])):
-            self.known[word] = self.value(ids)
-        if not long:
-            return self.known
-        return self.known | {w: self.value(self.long_ids(" " + w)) for w in long}
+        words = list(unseen)
+        values = self.composed(words) if self.plain else [None] * len(words)
+        rest = [w for w, value in zip(words, values) if value is None]
+        self.remember([w for w, value in zip(words, values) if value is not None], [v for v in values if v is not None])
+        self.remember(rest, [self.value(ids) for ids in self.batch([" " + w for w in rest])])
+        return {w: self.value(self.long_ids(" " + w)) for w in long}
 
     def encode(self, texts: list[str]) -> list[list[bytes]]:
         """For each text the values of its pieces in order."""
         cut = [pieces(t) for t in texts]
-        known = self.learn(cut)
+        long = self.learn(cut)
+        known = self.known
         heads = [self.value(i) for i in self.batch([p[0] if len(p[0]) <= LONGEST else "" for p in cut])]
         out = []
         for parts, head in zip(cut, heads):
             if len(parts[0]) > LONGEST:
                 head = self.value(self.long_ids(parts[0]))
-            out.append([head, *[known[w] for w in parts[1:]]])
+            if long:
+                out.append([head, *[known[w] if w in known else long[w] for w in parts[1:]]])
+            else:
+                out.append([head, *[known[w] for w in parts[1:]]])
         return out
 
 
