@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from flowgauge.llm.common import in_slices, written
 from flowgauge.llm.tokens import BYTE_NAMES, Encoder
 
 #: Bytes of windows and their alignments that a worker remembers, about; it then starts anew.
-REMEMBERED = 64_000_000
+REMEMBERED, ENTRY = 48_000_000, 400
 SPACE_MARK = "▁"
 _sides: dict[tuple[str, str], "Aligner"] = {}
 
@@ -81,29 +82,43 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.sides = ByteSide(path_a), PieceSide(path_b)
         self.sizes = [np.array([len(t) for t in s.bytes], np.int64) for s in self.sides]
+        self.lengths = [size.tolist() for size in self.sizes]
         self.spaced = [np.array([t[:1] == b" " for t in s.bytes]) for s in self.sides]
         self.width = len(self.sides[1].bytes)
+        self.names = [str(i) for i in range(max(map(len, self.sizes)))]
         self.known: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
         self.held = 0
 
-    def aligned(self, a: np.ndarray, b: np.ndarray) -> tuple[str, bytes]:
-        """Groups and links of two stretches of tokens over the same bytes."""
-        ends_a, ends_b = (np.cumsum(size[ids]) for size, ids in zip(self.sizes, (a, b)))
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, i, j = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            groups.append(",".join(map(str, a[i:x].tolist())) + "|" + ",".join(map(str, b[j:y].tolist())))
-            i, j = x, y
-        return ";".join(groups), (a[at_a].astype(np.int64) * self.width + b[at_b]).tobytes()
+    def aligned(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
+        """Groups and links of two stretches of tokens over the same bytes. A window holds a few
+        tokens, so this walks along both."""
+        name = self.names
+        if len(a) == 1 or len(b) == 1:  # nothing but the end is shared
+            text = f"{','.join([name[i] for i in a])}|{','.join([name[i] for i in b])}"
+            return text, pack("q", a[-1] * self.width + b[-1])
+        size_a, size_b = self.lengths
+        groups, links, i, j, x, y = [], [], 0, 0, 0, 0
+        end_a = end_b = 0
+        while x < len(a) or y < len(b):
+            if end_a <= end_b:
+                end_a += size_a[a[x]]
+                x += 1
+            else:
+                end_b += size_b[b[y]]
+                y += 1
+            if end_a == end_b:
+                groups.append(f"{','.join([name[i] for i in a[i:x]])}|{','.join([name[i] for i in b[j:y]])}")
+                links.append(a[x - 1] * self.width + b[y - 1])
+                i, j = x, y
+        return ";".join(groups), pack(f"{len(links)}q", *links)
 
     def window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
-        found = self.known.get(key)
-        if found is None:
-            found = self.aligned(np.frombuffer(key[0], np.uint32), np.frombuffer(key[1], np.uint32))
-            self.held += 400 + len(key[0]) + len(key[1]) + len(found[0]) + len(found[1])
-            if self.held > REMEMBERED:
-                self.known, self.held = {}, 0
-            self.known[key] = found
+        a, b = (memoryview(k).cast("I").tolist() for k in key)
+        found = self.aligned(a, b)
+        self.held += ENTRY + len(key[0]) + len(key[1]) + len(found[0]) + len(found[1])
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
+        self.known[key] = found
         return found
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, bytes]]:
@@ -122,7 +137,10 @@ class Aligner:
             for cut, ids in zip(cuts, (a, b)):
                 cut[:] = [0, *(c for c in cut if c), 4 * len(ids)]
             data = a.tobytes(), b.tobytes()
-            parts = [self.window((data[0][i:j], data[1][k:m])) for i, j, k, m in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])]
+            parts = []
+            for i, j, k, m in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
+                key = data[0][i:j], data[1][k:m]
+                parts.append(self.known.get(key) or self.window(key))
             yield len(a), len(b), ";".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
 

@@ -18,13 +18,28 @@ ROW_ID = "__row"
 BROADCAST_KEYS = 1_000_000
 
 
+#: Most bytes of an Arrow batch on its way to Python, but for a single longer row.
+BATCH_BYTES = 4_000_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes the session cut Arrow batches by bytes, so that the memory of a task that works on
+    texts does not depend on how long they are. A smaller setting of the user's own stays."""
+    own = spark.conf.get(BATCH_SETTING)
+    if not own.isdigit() or not 0 < int(own) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, read with pruned columns,
     and safe from the loss of executors."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -64,14 +64,15 @@ def _repeat_words(hashes: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, ...) without its text and with the counts of each text; null has none."""
-    kept = [f for f in docs.schema if f.name != "text"]
+def counts(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
+    """``docs`` with the counts of each text, and without the text unless it is to be kept; null has
+    no words."""
+    kept = [f for f in docs.schema if keep or f.name != text]
 
     def run(batches):
         for batch in batches:
-            for part in in_slices(batch, "text"):
-                texts = as_bytes(part.column("text"))
+            for part in in_slices(batch, text):
+                texts = as_bytes(part.column(text))
                 hashes, bounds = word_hashes(texts)
                 data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
                 starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1])).astype(np.int64)
@@ -85,7 +86,7 @@ def counts(docs: DataFrame) -> DataFrame:
                     [*(f.name for f in kept), *NAMES])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + COUNTS
-    return docs.select(*(f.name for f in kept), "text").mapInArrow(run, schema)
+    return docs.select(*(f.name for f in kept), *([] if keep else [text])).mapInArrow(run, schema)
 
 
 def statistics() -> Column:
@@ -138,9 +139,9 @@ def _concentrate(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pool": [frame["pool"].iloc[0]], "mean": [mean.tolist()], "inverse": [inverse.ravel().tolist()]})
 
 
-def _distance() -> Column:
-    away = [F.col("x")[i] - F.col("mean")[i] for i in range(P)]
-    return sum((F.col("inverse")[i * P + j] * away[i] * away[j] for i in range(P) for j in range(P)), F.lit(0.0))
+def _distance(x: str = "x", mean: str = "mean", inverse: str = "inverse") -> Column:
+    away = [F.col(x)[i] - F.col(mean)[i] for i in range(P)]
+    return sum((F.col(inverse)[i * P + j] * away[i] * away[j] for i in range(P) for j in range(P)), F.lit(0.0))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -156,32 +157,36 @@ def estimates(rows: DataFrame) -> DataFrame:
     return now
 
 
-def judged(docs: DataFrame, keys: tuple[str, str] = ("lang", "source"), text: str | None = None) -> DataFrame:
+def judged(docs: DataFrame, keys: tuple[str, str] = ("lang", "source"), text: str = "text", keep: bool = False) -> DataFrame:
     """``docs`` (text, lang, source, ...) without text, with its counts, base_failed, distance, kept.
 
-    With ``text`` the text stays as a column of that name; it is then read and counted a second
-    time, so that texts are not written on the way.
+    With ``keep`` the text stays; it is then read and counted a second time, so that texts are not
+    written on the way.
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows of three.
     distance is null for such rows and where even all rows are too few for an estimate; the
     latter are kept. A null text is empty; null languages and sources are values of their own.
-    Repeated rows all count and stay. Columns of ``docs`` named like a result are replaced.
+    Repeated rows all count and stay. Columns of ``docs`` named like a result are replaced, all
+    others stay as they are; names that begin with two underscores are the operator's own.
     """
-    clash = [*NAMES, "base_failed", "distance", "kept", "pool", "x", "mean", "inverse"]
-    docs = docs.drop(*[c for c in clash if c in docs.columns])
+    results = [*NAMES, "base_failed", "distance", "kept"]
+    docs = docs.drop(*[c for c in results if c in docs.columns])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    first = docs.select(*keys, "text") if text else docs
-    read = written(counts(first).withColumn("base_failed", failed), "quality")
-    sound = read.where(~F.col("base_failed"))
-    pool = few(written(pools(sound, list(keys)), "pools"), 100_000)
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    rows = written(sound.join(pool, same).select("pool", statistics().alias("x")), "statistics")
+    first = docs.select(*keys, text) if keep else docs
+    read = written(counts(first, text).withColumn("base_failed", failed), "quality")
+    sound = read.where(~F.col("base_failed")).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *NAMES)
+    pool = written(pools(sound, ["k0", "k1"]), "pools")
+    same = [F.col(f"k{i}").eqNullSafe(F.col(f"__k{i}")) for i in range(2)]
+    rows = written(sound.join(few(pool, 100_000), same).select("pool", statistics().alias("x")), "statistics")
     sizes = rows.groupBy("pool").agg(F.count("*").alias("__n")).where(F.col("__n") >= FEWEST)
     fitted = written(estimates(rows.join(few(written(sizes, "pools"), 100_000), "pool", "left_semi")), "mcd")
-    if text:
-        read = counts(docs.withColumn(text, F.col("text"))).withColumn("base_failed", failed)
-    full = read.join(pool, same, "left").withColumn("x", statistics()).join(few(fitted, 20_000), "pool", "left")
-    far = F.when(~F.col("base_failed"), _distance())
+    own = written(pool.join(few(fitted, 20_000), "pool").select(
+        "__k0", "__k1", F.col("mean").alias("__mean"), F.col("inverse").alias("__inverse")), "pool-estimates")
+    if keep:
+        read = counts(docs, text, keep=True).withColumn("base_failed", failed)
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    full = read.withColumn("__x", statistics()).join(few(own, 20_000), same, "left")
+    far = F.when(~F.col("base_failed"), _distance("__x", "__mean", "__inverse"))
     return (full.withColumn("distance", far)
             .withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
-            .drop("pool", "x", "mean", "inverse", *[f"__{k}" for k in keys]))
+            .drop("__x", "__mean", "__inverse", "__k0", "__k1"))

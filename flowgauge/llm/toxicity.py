@@ -208,19 +208,21 @@ class Scorer:
         return out
 
 
-def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
-    """``docs`` (text, ...) with ``score`` instead of its text."""
-    kept = [f for f in docs.schema if f.name not in ("text", "score")]
+def score(docs: DataFrame, weights: dict[str, float], bias: float, text: str = "text", keep: bool = False,
+          name: str = "score") -> DataFrame:
+    """``docs`` with a score of each text, and without the text unless it is to be kept. A column of
+    ``docs`` that is named like the score is replaced."""
+    kept = [f for f in docs.schema if f.name != name and (keep or f.name != text)]
 
     def run(batches):
         scorer = Scorer(weights, bias)
         for batch in batches:
-            for part in in_slices(batch, "text"):
-                values = pa.array(scorer.scores(texts_of(part.column("text"))), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), values], [*(f.name for f in kept), "score"])
+            for part in in_slices(batch, text):
+                values = pa.array(scorer.scores(texts_of(part.column(text))), pa.float64())
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), values], [*(f.name for f in kept), name])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "score double"
-    return docs.select(*(f.name for f in kept), "text").mapInArrow(run, schema)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + f"`{name}` double"
+    return docs.select(*(f.name for f in kept), *([] if keep else [text])).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
