@@ -10,7 +10,8 @@ but the last return the columns of the documents:
 5. packing: the last stage gives the pieces with their token ids, sequences and offsets.
 
 Rows that repeat a doc_id are judged each by their own text in stages 1, 2 and 4; in stage 3
-such rows are one document, of which one row stays. Rows without doc_id are never near-duplicates.
+such rows are one document, of which the row with the smallest hash of its text stays. Rows without
+doc_id are never near-duplicates. Further columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,19 +25,30 @@ from pyspark.sql import functions as F
 from flowgauge.llm import minhash, packing, quality, secrets, toxicity
 from flowgauge.llm.common import few, table, written
 
-ORACLE_SQL = None  # no SQL for the first two stages; tests/llm has a brute-force version
+ORACLE_SQL = None  # no SQL for the first two stages; tests/llm/test_pipeline.py has plain loops
 WIDTH = 5  # words of a shingle
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with column names of no meaning, so that an operator's own columns meet none of them."""
+    names = {c: f"__column{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _named(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judged(docs, text="__text")
-    return judged.where("kept").select(*[F.col("__text").alias(c) if c == "text" else c for c in docs.columns])
+    plain, names = _renamed(docs)
+    judged = quality.judged(plain, (names["lang"], names["source"]), names["text"], keep=True)
+    return _named(judged.where("kept"), names)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weights, bias = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select(*docs.columns, F.col("text").alias("__text")), weights, bias)
-    return scored.where("score < 0.5").select(*[F.col("__text").alias(c) if c == "text" else c for c in docs.columns])
+    weights, bias = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    plain, names = _renamed(docs)
+    return _named(toxicity.score(plain, weights, bias, names["text"], keep=True).where("score < 0.5"), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
