@@ -18,6 +18,8 @@ ticks. Here it is split into parts that run in parallel over all ticks:
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,19 @@ CORES, START_WORKERS, MAX_WORKERS, THREADS_PER_CORE = 2, 2, 28, 2
 
 SPOUT_KEY = ["topology_id", "component_id"]
 FOLD_LIMIT = 5_000
-WORKER_BLOCK = 1_000
+WORKER_BLOCK = 64
+#: A baseline before every tick: severity goes on from what is carried.
+GOES_ON = -(10**9)
+SOURCE_STATE = "topology_id string, component_id string, tick bigint, acked_rate double, complete_latency double, severity bigint"
+TOPOLOGY_STATE = "topology_id string, baseline boolean, workers bigint, moves bigint"
+
+
+class FlowState(NamedTuple):
+    """What a flow check needs of the ticks before: ``sources`` with their last values and severity, and
+    ``topologies`` with whether the next tick is a baseline, the worker count and the plans so far."""
+
+    sources: DataFrame
+    topologies: DataFrame
 
 
 def spout_targets(spouts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -157,11 +171,13 @@ def flow_check(
     *,
     fold_limit: int = FOLD_LIMIT,
     max_group_rows: int = MAX_GROUP_ROWS,
+    state: FlowState | None = None,
 ) -> "FlowCheck":
     """Run the whole check. ``reach`` has (topology_id, root, component_id).
 
     ``metrics`` is read several times; pass a written table (``session.cut_lineage``).
-    Histories of up to ``fold_limit`` ticks, counted first, are folded per topology.
+    Histories of up to ``fold_limit`` ticks, counted first, are folded per topology. With
+    ``state`` the check goes on where ``FlowCheck.state_after`` of the ticks before left it.
     """
     distinct_ticks = metrics.select("topology_id", "tick").distinct()
     longest = (
@@ -173,15 +189,51 @@ def flow_check(
         ordinal_width = max_group_rows
     ticks = number_ticks(metrics, tick_width)
     spouts = metrics.filter("component_type = 'spout'")
-    checks = spout_checks(spouts, targets, width=tick_width).join(ticks, ["topology_id", "tick"])
+    if state is None:
+        checks = spout_checks(spouts, targets, width=tick_width).join(ticks, ["topology_id", "tick"])
+    else:
+        checks = _checks_after(state, spouts, targets, ticks, tick_width)
     summed = cut_lineage(
         ordered_scan(checks, SPOUT_KEY, ["ordinal"], {"level": running_sum(F.col("delta"))},
                      width=ordinal_width)
     )
     # The plans are chosen from these and read them again, so they are written.
     since = cut_lineage(_plan_since(summed, reach, metrics, ordinal_width))
-    plans = cut_lineage(_choose_plans(since, longest <= fold_limit, ordinal_width))
-    return FlowCheck(metrics, reach, ticks, summed, since, plans, ordinal_width)
+    first = _first_baselines(since, state)
+    plans = cut_lineage(_choose_plans(since, first, longest <= fold_limit, ordinal_width))
+    return FlowCheck(metrics, reach, ticks, summed, since, plans, ordinal_width, state)
+
+
+def _checks_after(state: FlowState, spouts, targets, ticks, width) -> DataFrame:
+    """Checks of the new ticks, with the last rows before them in place of the history.
+
+    A carried severity s stands as rows before the first tick whose levels rise from 0 to s by 2 at
+    most, as levels of ticks do.
+    """
+    values = [*SPOUT_KEY, "tick", "acked_rate", "complete_latency"]
+    rows = spouts.select(*values, F.lit(None).cast("bigint").alias("_severity")).unionByName(
+        state.sources.select(*values, F.col("severity").alias("_severity")))
+    checks = spout_checks(rows, targets, width=width)
+    new = checks.filter("_severity is null").join(ticks, ["topology_id", "tick"]).drop("_severity")
+    back = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_severity") / 2))).alias("_back")
+    old = checks.filter("_severity is not null").select("*", back)
+    level = lambda back: F.greatest(F.col("_severity") - 2 * back, F.lit(0))
+    rise = F.when(F.col("_back") == F.ceil(F.col("_severity") / 2), F.lit(0)).otherwise(
+        level(F.col("_back")) - level(F.col("_back") + 1))
+    old = old.withColumn("below", F.lit(False)).withColumn("delta", rise.cast("bigint")).withColumn(
+        "ordinal", -F.col("_back")).drop("_severity", "_back")
+    return new.unionByName(old)
+
+
+def _first_baselines(since, state: FlowState | None) -> DataFrame:
+    """(topology_id, baseline) from which plans are looked for: the first tick, or before it where
+    severity is carried on."""
+    known = since.select("topology_id").distinct()
+    if state is None:
+        return known.withColumn("baseline", F.lit(1).cast("bigint"))
+    carried = state.topologies.select("topology_id", F.when(F.col("baseline"), 1).otherwise(GOES_ON).alias("_b"))
+    return known.join(carried, "topology_id", "left").select(
+        "topology_id", F.coalesce("_b", F.lit(1)).cast("bigint").alias("baseline"))
 
 
 def _plan_since(summed, reach, metrics, width) -> DataFrame:
@@ -226,15 +278,15 @@ def _plan_since(summed, reach, metrics, width) -> DataFrame:
     )
 
 
-def _choose_plans(since, short: bool, width) -> DataFrame:
+def _choose_plans(since, first, short: bool, width) -> DataFrame:
     """(topology_id, baseline, ordinal, tick) of the plans made."""
     options = since.groupBy("topology_id", "ordinal", "tick").agg(F.max("since").alias("since"))
-    return _fold_plans(options) if short else _follow_plans(options, width)
+    return _fold_plans(options, first) if short else _follow_plans(options, first, width)
 
 
-def _fold_plans(options) -> DataFrame:
+def _fold_plans(options, first) -> DataFrame:
     row = "struct<baseline:bigint,ordinal:bigint,tick:bigint>"
-    start = F.struct(F.lit(1).cast("bigint").alias("baseline"),
+    start = F.struct(F.col("baseline").alias("baseline"),
                      F.expr(f"cast(array() as array<{row}>)").alias("plans"))
 
     def visit(state, option):
@@ -249,15 +301,16 @@ def _fold_plans(options) -> DataFrame:
     return (
         options.groupBy("topology_id")
         .agg(F.array_sort(F.collect_list(F.struct("ordinal", "since", "tick"))).alias("_options"))
+        .join(first, "topology_id")
         .select("topology_id", F.explode(F.aggregate("_options", start, visit)["plans"]).alias("_p"))
         .select("topology_id", "_p.*")
     )
 
 
-def _follow_plans(options, width) -> DataFrame:
-    """Earliest deciding tick for each possible baseline, then the chain from baseline 1."""
+def _follow_plans(options, first, width) -> DataFrame:
+    """Earliest deciding tick for each possible baseline, then the chain from the first baseline."""
     options = cut_lineage(options)
-    roots = options.select("topology_id").distinct().withColumn("baseline", F.lit(1).cast("bigint"))
+    roots = first
     baselines = roots.unionByName(
         options.select("topology_id", (F.col("ordinal") + 1).alias("baseline"))
     )
@@ -291,9 +344,9 @@ def _follow_plans(options, width) -> DataFrame:
 class FlowCheck:
     """Tables of one flow check; each is an ordinary DataFrame."""
 
-    def __init__(self, metrics, reach, ticks, summed, since, plans, width):
+    def __init__(self, metrics, reach, ticks, summed, since, plans, width, state=None):
         self.metrics, self.reach, self.ticks, self.summed = metrics, reach, ticks, summed
-        self.since, self.plans, self.width = since, plans, width
+        self.since, self.plans, self.width, self.state = since, plans, width, state
 
     def triggers(self) -> DataFrame:
         """Sources that reached the limit at a tick with a plan."""
@@ -332,13 +385,46 @@ class FlowCheck:
     def worker_plan(
         self, cores: int = CORES, workers: int = START_WORKERS, max_workers: int = MAX_WORKERS
     ) -> DataFrame:
-        """Workers before and after each plan."""
+        """Workers before and after each plan; a carried state's counts go on."""
         load = (
             self.plan_counts()
             .join(thread_count(self.metrics), ["topology_id", "tick"])
             .withColumn("demand", F.col("threads") + F.col("changes"))
         )
-        return workers_over_plans(load, cores, workers, max_workers)
+        if self.state is None:
+            return workers_over_plans(load, cores, workers, max_workers)
+        carried = self.state.topologies.select("topology_id", "workers", F.col("moves").alias("_made"))
+        rows = workers_over_plans(load, cores, workers, max_workers, starts=carried.drop("_made"))
+        return rows.join(carried.drop("workers"), "topology_id", "left").withColumn(
+            "moves", F.col("moves") + F.coalesce("_made", F.lit(0))).drop("_made")
+
+    def state_after(self, workers: DataFrame, start_workers: int = START_WORKERS) -> FlowState:
+        """What the check of the ticks after these needs; ``workers`` is ``worker_plan()``."""
+        plans = self.plans.groupBy("topology_id").agg(F.max("ordinal").alias("_plan"))
+        first = _first_baselines(self.ticks, self.state)
+        # Severity counts from the tick after the last plan; the level there may be an earlier row's.
+        reset = F.coalesce(F.col("_plan") + 1, F.col("baseline"))
+        rows = self.summed.join(plans, "topology_id", "left").join(first, "topology_id", "left").withColumn(
+            "_reset", F.coalesce(reset, F.lit(GOES_ON)))
+        after = F.col("ordinal") >= F.col("_reset")
+        at = lambda column: F.max_by(column, "ordinal")
+        lowest = F.least(F.max_by("level", F.when(F.col("ordinal") <= F.col("_reset"), F.col("ordinal"))),
+                         F.min(F.when(after, F.col("level"))))
+        sources = rows.groupBy(*SPOUT_KEY).agg(
+            F.max("tick").alias("tick"), at("acked_rate").alias("acked_rate"), at("complete_latency").alias("complete_latency"),
+            (at("level") - lowest).alias("severity"))
+        last = self.ticks.groupBy("topology_id").agg(F.max("ordinal").alias("_end")).join(plans, "topology_id", "left").select(
+            "topology_id", F.coalesce(F.col("_plan") == F.col("_end"), F.lit(False)).alias("_baseline"))
+        made = workers.groupBy("topology_id").agg(
+            F.max_by("workers_after", "moves").alias("_workers"), F.max("moves").alias("_moves"))
+        before = self.state.topologies if self.state else last.select(
+            "topology_id", F.lit(True).alias("baseline"), F.lit(start_workers).cast("bigint").alias("workers"),
+            F.lit(0).cast("bigint").alias("moves"))
+        topologies = before.join(last, "topology_id", "full").join(made, "topology_id", "left").select(
+            "topology_id", F.coalesce("_baseline", "baseline").alias("baseline"),
+            F.coalesce("_workers", "workers", F.lit(start_workers)).cast("bigint").alias("workers"),
+            F.coalesce("_moves", "moves", F.lit(0)).cast("bigint").alias("moves"))
+        return FlowState(sources, topologies)
 
     def commits(self) -> DataFrame:
         """One row per plan: component to executor count, the worker count if it changes,
@@ -416,14 +502,16 @@ class FlowCheck:
 
 def workers_over_plans(
     load: DataFrame, cores: int = CORES, workers: int = START_WORKERS, max_workers: int = MAX_WORKERS,
-    block: int = WORKER_BLOCK,
+    block: int = WORKER_BLOCK, starts: DataFrame | None = None,
 ) -> DataFrame:
     """Worker count before and after each plan, given its ``moves`` number and ``demand``.
 
     One plan maps a worker count w to w + 1 when ``demand div (cores * w) > 2`` and w is
     below the limit. There are few worker counts, so a block of plans is a small table
-    from count to count; blocks are composed, and only then expanded again. No task sees
-    more than a block of plans plus one such table per block.
+    from count to count. The tables are composed by doubling, each with the one as many blocks
+    before it as it already spans, and only then expanded again. No row holds more than a
+    block of plans or one table. ``starts`` (topology_id, workers) are counts other than
+    ``workers``, and not below it, to start from.
     """
     counts = F.sequence(F.lit(workers), F.lit(max(workers, max_workers))).cast("array<bigint>")
 
@@ -432,7 +520,7 @@ def workers_over_plans(
         grows = (F.floor(demand / (F.lit(cores) * w)) > THREADS_PER_CORE) & (w < max_workers)
         return w + F.when(grows, F.lit(1).cast("bigint")).otherwise(more)
 
-    blocks = (
+    blocks = cut_lineage(
         load.withColumn("_block", F.floor((F.col("moves") - 1) / block))
         .groupBy("topology_id", "_block")
         .agg(F.array_sort(F.collect_list(F.struct("moves", "demand", "tick", "changes", "threads"))).alias("_plans"))
@@ -441,22 +529,23 @@ def workers_over_plans(
             lambda acc, p: F.transform(acc, lambda w: step(w, p["demand"])),
         ))
     )
-    chained = blocks.groupBy("topology_id").agg(
-        F.array_sort(F.collect_list(F.struct("_block", "_map"))).alias("_maps")
-    )
-    entry_row = "struct<_block:bigint,w:bigint>"
-    start = F.struct(F.lit(workers).cast("bigint").alias("w"),
-                     F.expr(f"cast(array() as array<{entry_row}>)").alias("entries"))
-    entries = chained.select(
-        "topology_id",
-        F.explode(F.aggregate(
-            "_maps", start,
-            lambda acc, m: F.struct(
-                F.element_at(m["_map"], (acc["w"] - workers + 1).cast("int")).alias("w"),
-                F.concat(acc["entries"], F.array(F.struct(m["_block"].alias("_block"), acc["w"].alias("w")))).alias("entries"),
-            ),
-        )["entries"]).alias("_e"),
-    ).select("topology_id", "_e._block", F.col("_e.w").alias("_entry"))
+    scanned = blocks.select("topology_id", "_block", "_map")
+    last, span = blocks.agg(F.max("_block")).first()[0] or 0, 1
+    while span <= last:
+        earlier = scanned.select("topology_id", (F.col("_block") + span).alias("_block"), F.col("_map").alias("_first"))
+        both = F.transform("_first", lambda w: F.element_at("_map", (w - workers + 1).cast("int")))
+        scanned = cut_lineage(scanned.join(earlier, ["topology_id", "_block"], "left").select(
+            "topology_id", "_block", F.coalesce(both, "_map").alias("_map")))
+        span *= 2
+    entered = blocks.select("topology_id", "_block").join(
+        scanned.select("topology_id", (F.col("_block") + 1).alias("_block"), "_map"), ["topology_id", "_block"], "left")
+    if starts is None:
+        entered = entered.withColumn("_start", F.lit(workers).cast("bigint"))
+    else:
+        entered = entered.join(starts.select("topology_id", F.col("workers").alias("_own")), "topology_id", "left").withColumn(
+            "_start", F.coalesce("_own", F.lit(workers)).cast("bigint"))
+    entries = entered.select("topology_id", "_block", F.coalesce(
+        F.element_at("_map", (F.col("_start") - workers + 1).cast("int")), "_start").alias("_entry"))
     out_row = ("struct<tick:bigint,moves:bigint,changes:bigint,threads:bigint,"
                "workers_before:bigint,workers_after:bigint>")
     begin = F.struct(F.col("_entry").alias("w"), F.expr(f"cast(array() as array<{out_row}>)").alias("rows"))

@@ -8,33 +8,80 @@ from flowgauge.operators import replay, sensors
 from flowgauge.plans import adapters as ad
 from flowgauge.plans import sql_views as v
 from flowgauge.plans.registry import query, rounded, with_ctes
-from flowgauge.session import scratch_path
+from flowgauge.session import cut_lineage, scratch_path
 from flowgauge.sources import readings as reading_files
 
 NOW, SEED, SPEED = 1722470400, 7, 25
-COLUMNS = "id, ts_s, value, property, plug_id, household_id, house_id"
+
+
+# Files as they are found: some values are written without or with more decimals, some lines have a
+# field more, some are broken. What a line says of its time and value is what its text says.
+RAW = """
+raw as (
+  select house_id, id, ts_s, case id % 40 when 0 then '0' when 1 then '12345678.5' when 2 then value || '00'
+                                          when 3 then '1e2' else cast(value as varchar) end as text,
+         property || ',' || plug_id || ',' || household_id || ',' || house_id as rest, id % 40 as k from readings),
+lines as (
+  select house_id, id, ts_s, text, rest, k, case
+    when k = 5 then 'sensor offline'
+    when k = 6 then id || ',' || ts_s || ',' || text
+    when k = 7 then id || ',' || ts_s || ',n/a,' || rest
+    when k = 8 then id || ',' || ts_s || ',' || text || ',' || rest || ',extra, "field"'
+    else id || ',' || ts_s || ',' || text || ',' || rest end as line from raw),
+good as (select *, cast(text as double) as value from lines where k not in (5, 6, 7))
+"""
+
+
+def reading_lines(spark, sf):
+    """(house_id, id, ts_s, line) as in the counterpart."""
+    readings = ad.readings(spark, sf)
+    k, text = F.col("id") % 40, F.col("value").cast("string")
+    text = (F.when(k == 0, "0").when(k == 1, "12345678.5").when(k == 2, F.concat(text, F.lit("00")))
+            .when(k == 3, "1e2").otherwise(text))
+    head = F.concat_ws(",", F.col("id").cast("string"), F.col("ts_s").cast("string"))
+    rest = F.concat_ws(",", *[F.col(c).cast("string") for c in ("property", "plug_id", "household_id", "house_id")])
+    line = (F.when(k == 5, "sensor offline").when(k == 6, F.concat_ws(",", head, text))
+            .when(k == 7, F.concat_ws(",", head, F.lit("n/a"), rest))
+            .when(k == 8, F.concat(F.concat_ws(",", head, text, rest), F.lit(',extra, "field"')))
+            .otherwise(F.concat_ws(",", head, text, rest)))
+    return readings.select("house_id", "id", "ts_s", line.alias("line"))
 
 
 def _files(spark, sf):
-    """The readings written as one folder of CSV files per house, and read back."""
+    """The lines written as one folder of text files per house, and read back."""
     path = scratch_path(spark, "readings")
-    reading_files.write_readings(ad.readings(spark, sf), path)
-    return reading_files.read_readings(spark, f"{path}/house=*")
+    reading_files.write_lines(reading_lines(spark, sf), path)
+    return reading_files.read_reading_lines(spark, path)
+
 
+def _readings(spark, sf):
+    return cut_lineage(reading_files.readings_of(_files(spark, sf)))
 
-@query("readings_scan", with_ctes(v.READINGS, body=f"select {COLUMNS} from readings"))
+
+@query("readings_scan", with_ctes(v.READINGS, RAW, body="""
+select id, ts_s, value, property, plug_id, household_id, good.house_id, line
+from good join readings r using (id)""".replace("ts_s, value", "good.ts_s, good.value")))
 def readings_scan(spark, sf):
     small = ("property", "plug_id", "household_id", "house_id")
-    read = _files(spark, sf)
-    return read.select("id", "ts_s", "value", *[F.col(c).cast("bigint").alias(c) for c in small])
+    read = reading_files.readings_of(_files(spark, sf))
+    return read.select("id", "ts_s", "value", *[F.col(c).cast("bigint").alias(c) for c in small], "line")
+
 
+@query("readings_reject", with_ctes(v.READINGS, RAW, body="""
+select 'house=' || house_id as publisher, line, case when k = 7 then 'no value' else 'missing fields' end as reject_reason
+from lines where k in (5, 6, 7)"""))
+def readings_reject(spark, sf):
+    """Lines that are no reading, with the reason; none becomes a reading with nulls."""
+    return reading_files.reading_rejects(_files(spark, sf)).select(
+        F.regexp_extract("publisher_file", "(house=[^/]+)/", 1).alias("publisher"), "line", "reject_reason")
 
-@query("readings_union", with_ctes(v.READINGS, body="""
+
+@query("readings_union", with_ctes(v.READINGS, RAW, body="""
 select 'house=' || house_id as publisher, count(*) as readings, min(id) as first_id, max(id) as last_id
-from readings group by house_id"""))
+from good group by house_id"""))
 def readings_union(spark, sf):
     folder = F.regexp_extract("publisher_file", "(house=[^/]+)/", 1)
-    return _files(spark, sf).groupBy(folder.alias("publisher")).agg(
+    return reading_files.readings_of(_files(spark, sf)).groupBy(folder.alias("publisher")).agg(
         F.count(F.lit(1)).alias("readings"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
@@ -83,6 +130,10 @@ def source_speed(spark, sf):
     return replay.source_speed(replay.run_lengths(ad.readings(spark, sf)))
 
 
+def _long_house(readings):
+    return readings.withColumn("house_id", F.col("house_id").cast("bigint"))
+
+
 GAPS = f"""
 gaps as (
   select house_id, arg_min(ts_s, id) as first_ts,
@@ -93,13 +144,11 @@ JITTER = f"""
 printf('%.3f', abs(value + value * (cast((id % 2147483647 * 1583458089 + {SEED}) % 2147483647 as double)
                                      / 2147483647.0 * 0.2 - 0.1)))
 """
-REST = "property || ',' || plug_id || ',' || household_id || ',' || house_id"
 
 
-@query("replay_original", with_ctes(v.READINGS, body=f"""
-select house_id, id, id || ',' || ts_s || ',' || value || ',' || {REST} as line from readings"""))
+@query("replay_original", with_ctes(v.READINGS, RAW, body="select house_id, id, line from good"))
 def replay_original(spark, sf):
-    return replay.replay_original(ad.readings(spark, sf))
+    return replay.replay_original(_long_house(_readings(spark, sf)))
 
 
 @query("day_gap", with_ctes(v.READINGS, GAPS, body="select house_id, first_ts, gap_s from gaps"))
@@ -107,12 +156,15 @@ def day_gap(spark, sf):
     return replay.day_gap(ad.readings(spark, sf), NOW)
 
 
-@query("replay_date_shift", with_ctes(v.READINGS, GAPS, body=f"""
-select r.house_id, id, id || ',' || (ts_s + gap_s) || ',' || {JITTER} || ',' ||
-       property || ',' || plug_id || ',' || household_id || ',' || r.house_id as line
-from readings r join gaps g on g.house_id = r.house_id"""))
+MORE = """case when k = 8 then ',extra, "field"' else '' end"""
+GOOD_GAPS = GAPS.replace("from readings", "from good")
+
+
+@query("replay_date_shift", with_ctes(v.READINGS, RAW, GOOD_GAPS, body=f"""
+select r.house_id, id, id || ',' || (ts_s + gap_s) || ',' || {JITTER} || ',' || rest || {MORE} as line
+from good r join gaps g on g.house_id = r.house_id"""))
 def replay_date_shift(spark, sf):
-    return replay.replay_date_shift(ad.readings(spark, sf), NOW, SEED)
+    return replay.replay_date_shift(_long_house(_readings(spark, sf)), NOW, SEED)
 
 
 @query("value_jitter", with_ctes(v.READINGS, body=f"select id, value, {JITTER} as jittered from readings"))
@@ -132,11 +184,17 @@ def paced_schedule(spark, sf):
     return replay.paced_schedule(readings, speeds=speeds).select("house_id", "id", "row_no", "tick")
 
 
-@query("replay_realtime", with_ctes(v.READINGS, NUMBERED, SCHEDULE, body=f"""
-select house_id, id, tick, id || ',' || ({NOW} + tick) || ',' || {JITTER} || ',' || {REST} as line
+GOOD_SCHEDULE = f"""
+schedule as (
+  select *, (row_number() over (partition by house_id order by id) - 1) // {SPEED} as tick from good)
+"""
+
+
+@query("replay_realtime", with_ctes(v.READINGS, RAW, GOOD_SCHEDULE, body=f"""
+select house_id, id, tick, id || ',' || ({NOW} + tick) || ',' || {JITTER} || ',' || rest || {MORE} as line
 from schedule"""))
 def replay_realtime(spark, sf):
-    return replay.replay_realtime(replay.paced_schedule(ad.readings(spark, sf), SPEED), NOW, SEED)
+    return replay.replay_realtime(replay.paced_schedule(_long_house(_readings(spark, sf)), SPEED), NOW, SEED)
 
 
 @query("replay_progress", with_ctes(v.READINGS, NUMBERED, SCHEDULE, body="""

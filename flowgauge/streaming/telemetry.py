@@ -1,21 +1,22 @@
 """Telemetry roll-ups and the flow check on streams.
 
 Roll-ups are event-time windows with a watermark, so a tick is passed on once, when it is
-complete. The flow check keeps a small state per topology: the severity and last values of
-each source, whether the next tick is a baseline, and the worker count.
+complete, with all rows of its topology in one batch. The flow check runs the batch operator over the
+complete ticks of each batch. What it carries on is small and lies in versioned tables: the last values
+and the severity of each source, and per topology whether the next tick is a baseline, the worker
+count and the number of plans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
 
 from flowgauge.operators import flowcheck as fc
 from flowgauge.operators.rollup import BOLT, SPOUT, bolt_aggregates, by_kind, weighted_mean
+from flowgauge.session import cut_lineage
+from flowgauge.streaming.versions import Versions
 
 
 def component_metrics_stream(stats: DataFrame, window_col: str = "window") -> DataFrame:
@@ -30,104 +31,43 @@ def component_metrics_stream(stats: DataFrame, window_col: str = "window") -> Da
 
 
 FLOW_COLUMNS = ["topology_id", "tick", "component_id", "component_type", "executors", "capacity",
-                "acked_rate", "complete_latency", "target_rate", "roots"]
+                "acked_rate", "complete_latency"]
 PLAN_SCHEMA = ("topology_id string, tick bigint, moves bigint, component_id string, executors_before bigint, "
                "executors_after bigint, workers_before bigint, workers_after bigint")
 
 
-def with_definitions(metrics: DataFrame, targets: DataFrame, reach: DataFrame) -> DataFrame:
-    """Stream-static joins: the target of each source, the sources above each operator."""
-    roots = reach.groupBy("topology_id", "component_id").agg(F.collect_set("root").alias("roots"))
-    return (
-        metrics.join(targets.select(*fc.SPOUT_KEY, "target_rate"), fc.SPOUT_KEY, "left")
-        .join(roots, fc.SPOUT_KEY, "left")
-        .select(*FLOW_COLUMNS)
-    )
-
-
-def flow_check_stream(described: DataFrame) -> DataFrame:
-    """Plans as they are made. Needs the RocksDB state store."""
-    return described.groupBy("topology_id").transformWithStateInPandas(
-        statefulProcessor=FlowProcessor(), outputStructType=PLAN_SCHEMA,
-        outputMode="Append", timeMode="None",
-    )
-
-
-def delta_of(p, c, pl, cl) -> int:
-    """``flowcheck.severity_delta`` for one pair of rows; None counts as missing."""
-    if c > p:
-        if p == 0 or (c - p) / p > fc.RISE:
-            return -1
-        return 0 if pl is not None and cl is not None and pl > cl else 1
-    dropped = p != 0 and (p - c) / p > fc.DROP
-    slower = (pl is not None and cl is not None and cl > pl
-              and (pl == 0 or (cl - pl) / pl > fc.LATENCY_GROWTH))
-    return int(dropped) + int(slower)
-
-
-class FlowProcessor(StatefulProcessor):
-    """Ticks of a topology in order. The roll-up upstream passes a tick on as a whole, so
-    all rows of a tick arrive in one batch."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sources = handle.getMapState(
-            "sources", "component_id string", "severity int, rate double, latency double, has_latency boolean")
-        self.plan = handle.getValueState("plan", "baseline boolean, workers int, moves bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        baseline, workers, moves = self.plan.get() if self.plan.exists() else (True, fc.START_WORKERS, 0)
-        sources = {k[0]: list(v) for k, v in self.sources.iterator()} if self.sources.exists() else {}
-        plans = []
-        for tick, now in batch.sort_values("tick").groupby("tick", sort=True):
-            triggered = self._advance(sources, now, baseline)
-            picked = {} if baseline else self._pick(now, triggered)
-            baseline = bool(picked)
-            if picked:
-                threads, before = int(now["executors"].sum()), workers
-                busy = (threads + len(picked)) // (fc.CORES * workers) > fc.THREADS_PER_CORE
-                workers += int(busy and workers < fc.MAX_WORKERS)
-                moves += 1
-                plans += [(key[0], int(tick), moves, name, n, n + 1, before, workers)
-                          for name, n in picked.items()]
-                for entry in sources.values():
-                    entry[0] = 0
-        self.plan.update((baseline, workers, moves))
-        for name, entry in sources.items():
-            self.sources.updateValue((name,), tuple(entry))
-        columns = [part.split()[0] for part in PLAN_SCHEMA.split(",")]
-        yield pd.DataFrame(plans, columns=columns)
-
-    @staticmethod
-    def _advance(sources, now, baseline):
-        """Update severities and last values; names of the sources that call for a plan."""
-        triggered = set()
-        spouts = now[(now["component_type"] == "spout") & now["target_rate"].notna()]
-        for row in spouts.itertuples():
-            latency = None if pd.isna(row.complete_latency) else float(row.complete_latency)
-            known = sources.get(row.component_id)
-            severity = 0
-            if known is not None:
-                severity, rate, old, has_old = known
-                if not baseline and row.target_rate > row.acked_rate:
-                    severity = max(0, severity + delta_of(rate, row.acked_rate, old if has_old else None, latency))
-                    if severity >= fc.TRIGGER_SEVERITY:
-                        triggered.add(row.component_id)
-            sources[row.component_id] = [severity, float(row.acked_rate), latency or 0.0, latency is not None]
-        return triggered
-
-    @staticmethod
-    def _pick(now, triggered):
-        """Operator to executor count: the busiest below each triggered source, and all hot ones."""
-        bolts = now[now["component_type"] == "bolt"].sort_values(
-            ["capacity", "component_id"], ascending=[False, True], na_position="last")
-        picked = {}
-        for root in triggered:
-            below = bolts[[r is not None and root in r for r in bolts["roots"]]]
-            for position, row in enumerate(below.itertuples()):
-                if position == 0 or row.capacity > fc.HOT_CAPACITY:
-                    picked[row.component_id] = int(row.executors)
-        return picked
-
-    def close(self) -> None:
-        pass
+class FlowStream:
+    """The flow check over a stream of component metrics, with its plans and state below ``folder``.
+
+    ``targets`` and ``reach`` are tables. Ticks must come whole and in ascending order from batch
+    to batch, as windows behind a watermark do; several ticks may share a batch.
+    """
+
+    def __init__(self, folder: str, targets: DataFrame, reach: DataFrame):
+        self.tables, self.targets, self.reach = Versions(folder), targets, reach
+
+    def step(self, metrics: DataFrame, batch: int) -> None:
+        spark, tables = metrics.sparkSession, self.tables
+        state = fc.FlowState(tables.before(spark, "sources", batch, fc.SOURCE_STATE),
+                             tables.before(spark, "topologies", batch, fc.TOPOLOGY_STATE))
+        metrics = cut_lineage(metrics.select(*FLOW_COLUMNS))
+        if metrics.isEmpty():
+            tables.put("plans", batch, spark.createDataFrame([], PLAN_SCHEMA))
+        else:
+            flow = fc.flow_check(metrics, self.targets, self.reach, state=state)
+            workers = cut_lineage(flow.worker_plan())
+            plans = flow.executor_plan().join(
+                workers.select("topology_id", "tick", "moves", "workers_before", "workers_after"), ["topology_id", "tick"])
+            columns = [c.split()[0] for c in PLAN_SCHEMA.split(", ")]
+            tables.put("plans", batch, plans.select(*[F.col(c).cast("bigint") if c not in ("topology_id", "component_id")
+                                                      else F.col(c) for c in columns]))
+            state = flow.state_after(workers)
+        tables.put("sources", batch, state.sources)
+        tables.put("topologies", batch, state.topologies)
+
+    def start(self, metrics: DataFrame, trigger: dict | None = None) -> StreamingQuery:
+        return self.tables.run(metrics, self.step, trigger)
+
+    def plans(self, spark: SparkSession) -> DataFrame:
+        """All plans made so far."""
+        return self.tables.all(spark, "plans", PLAN_SCHEMA)

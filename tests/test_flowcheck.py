@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from flowgauge.operators import flowcheck as fc
 from flowgauge.operators import rollup
-from flowgauge.streaming.telemetry import delta_of
+from flowgauge.session import cut_lineage
 
 METRICS = ("topology_id string, tick bigint, component_id string, component_type string, executors bigint, "
            "acked_rate double, complete_latency double, capacity double")
@@ -21,6 +21,17 @@ TRUTH = [
 ]
 
 
+def delta_of(p, c, pl, cl):
+    """The change of severity for one pair of rows; None counts as missing."""
+    if c > p:
+        if p == 0 or (c - p) / p > fc.RISE:
+            return -1
+        return 0 if None not in (pl, cl) and pl > cl else 1
+    dropped = p != 0 and (p - c) / p > fc.DROP
+    slower = None not in (pl, cl) and cl > pl and (pl == 0 or (cl - pl) / pl > fc.LATENCY_GROWTH)
+    return int(dropped) + int(slower)
+
+
 def test_severity_truth_table(spark):
     df = spark.createDataFrame([(i, *row) for i, row in enumerate(TRUTH)],
                                "i int, p double, c double, pl double, cl double, want int")
@@ -114,6 +125,27 @@ def test_flow_check_equals_the_loop(spark, seed, mode):
     assert all(r.wait_secs == 0 and r.num_executors for r in flow.commits().collect())
 
 
+@pytest.mark.parametrize("mode, cuts", [("follow", [20]), ("fold", [1, 2, 45])])
+def test_flow_check_in_parts_equals_the_loop(spark, cuts, mode):
+    """Ticks in several parts, each with the state that the part before left."""
+    rows, targets, reach = make_topologies(3, ticks=60)
+    rows = [r for r in rows if r[0] != "t1" or r[1] > 1000 + 30 * 30]  # a topology that comes later
+    targets_df = spark.createDataFrame(targets, "topology_id string, component_id string, target_rate double")
+    reach_df = spark.createDataFrame(reach, "topology_id string, root string, component_id string")
+    plans, _, workers = brute_force(rows, targets, reach)
+    state = fc.FlowState(spark.createDataFrame([], fc.SOURCE_STATE), spark.createDataFrame([], fc.TOPOLOGY_STATE))
+    got, seen = set(), []
+    for low, high in zip([0, *cuts], [*cuts, 10**6]):
+        part = spark.createDataFrame([r for r in rows if low <= (r[1] - 1000) // 30 < high], METRICS)
+        flow = fc.flow_check(part, targets_df, reach_df, state=state, **({} if mode == "fold" else {"fold_limit": 0}))
+        changed = cut_lineage(flow.worker_plan())
+        got |= {tuple(r) for r in flow.executor_plan().collect()}
+        seen += [tuple(r) for r in changed.select(
+            "topology_id", "tick", "moves", "changes", "threads", "workers_before", "workers_after").collect()]
+        state = fc.FlowState(*map(cut_lineage, flow.state_after(changed)))
+    assert got == plans and sorted(seen) == sorted(workers) and len(workers) > 10
+
+
 def test_plan_invariants(spark):
     rows, targets, reach = make_topologies(9)
     plans, _, workers = brute_force(rows, targets, reach)
@@ -135,6 +167,11 @@ def test_workers_by_blocks(spark, block):
         want.append((before, w))
     out = fc.workers_over_plans(df, block=block).orderBy("moves").collect()
     assert [(r.workers_before, r.workers_after) for r in out] == want
+    # From the count after the first 30 plans, the rest goes the same way.
+    starts = spark.createDataFrame([("t", want[29][1]), ("else", 9)], "topology_id string, workers bigint")
+    rest = df.filter("moves > 30").withColumn("moves", F.col("moves") - 30)
+    out = fc.workers_over_plans(rest, block=block, starts=starts).orderBy("moves").collect()
+    assert [(r.workers_before, r.workers_after) for r in out] == want[30:]
 
 
 def test_rejects_and_zero_weights(spark):
