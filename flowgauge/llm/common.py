@@ -19,7 +19,7 @@ BROADCAST_KEYS = 1_000_000
 
 
 #: Most bytes of an Arrow batch on its way to Python, but for a single longer row.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -78,7 +78,7 @@ class SharedFile:
         return self.uri
 
 
-def in_slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def in_slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about ``most`` bytes; a longer text is a part of its own."""
     sizes = batch.column(text)
     lengths = pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False)

@@ -19,7 +19,7 @@ GLUED_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 CUT = re.compile(r"(?<=\S) ")
 #: Longest piece that is remembered, and about how many bytes a generation of them takes; a worker
 #: holds two. Bytes of a remembered piece besides its text and ids. Words that are encoded in one text.
-LONGEST, REMEMBERED, ENTRY, TOGETHER = 48, 80_000_000, 180, 500
+LONGEST, REMEMBERED, ENTRY, TOGETHER = 48, 60_000_000, 180, 500
 #: Latin letters, then marks, then perhaps a line break, letters and marks. Both tokenizer kinds end a
 #: unit wherever these change, so the ids of such a piece are those of its parts.
 LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]", r"[!-&(-/:-@\[-`{-~]"
