@@ -14,6 +14,8 @@ from flowgauge.operators.ordered import AUTO, ordered_scan, running_count
 from flowgauge.session import cut_lineage
 
 NODE = ["topology_id", "component_id"]
+#: Ways of fewer than 2 ** SHORT_WAYS steps are walked level by level.
+SHORT_WAYS = 3
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -117,12 +119,59 @@ def pre_order(edges: DataFrame, roots: DataFrame, width: int | str | None = AUTO
     ).drop("_first")
 
 
+def _only_way(steps: DataFrame) -> DataFrame:
+    """(topology_id, component_id, _dst) of the nodes that one distinct edge leaves."""
+    return steps.groupBy(*NODE).agg(F.min("_dst").alias("_dst"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+
+
+def _jumps(way: DataFrame) -> list[DataFrame]:
+    """Tables of jumps of 1, 2, 4, ... steps along the only way, as long as any node has one. Each
+    joins the one before with itself, so a chain of n nodes takes log2(n) rounds. A jump within a
+    ring goes on for ever; the longest chain without a ring bounds the rounds."""
+    bound, tables = way.count(), [way]
+    while 2 ** len(tables) <= bound:
+        last = tables[-1]
+        far = last.select("topology_id", F.col("component_id").alias("_dst"), F.col("_dst").alias("_far"))
+        longer = cut_lineage(last.join(far, ["topology_id", "_dst"]).select(*NODE, F.col("_far").alias("_dst")))
+        if longer.isEmpty():
+            break
+        tables.append(longer)
+    return tables
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct (topology_id, root, component_id) below each root; safe on cycles.
 
-    The frontier holds only pairs not seen before, so every pair is expanded once.
+    Nodes that one edge leaves lead one way only, and whole such ways are crossed by jumps that double
+    in length. A frontier is walked over the other nodes alone, so its rounds are the
+    branchings on a path and not its edges; the nodes on the ways are filled in at the end, by the
+    same jumps.
     """
     steps = cut_lineage(_outgoing(edges).distinct())
+    tables = _jumps(cut_lineage(_only_way(steps)))
+    if len(tables) <= SHORT_WAYS:  # nothing is gained by crossing ways of a few steps
+        return _by_levels(steps, roots)
+    found = ["topology_id", "root", "component_id"]
+    entered = steps.join(roots.select(*NODE).distinct(), NODE).select(
+        "topology_id", F.col("component_id").alias("root"), F.col("_dst").alias("component_id"))
+    seen = entered = cut_lineage(entered)
+    forks = cut_lineage(steps.join(tables[0].select(*NODE), NODE, "left_anti"))
+    while True:
+        ends = cut_lineage(_ends(entered, tables))  # where the ways of the nodes just met lead
+        met = ends.join(forks, NODE).select("topology_id", "root", F.col("_dst").alias("component_id")).distinct()
+        entered = cut_lineage(met.join(seen, found, "left_anti"))
+        if entered.isEmpty():
+            break
+        seen = cut_lineage(seen.unionByName(entered))
+    for table in tables:  # all nodes up to 2 ** k steps on, then twice as many
+        further = seen.join(table, NODE).select("topology_id", "root", F.col("_dst").alias("component_id"))
+        seen = cut_lineage(seen.unionByName(further).distinct())
+    return seen
+
+
+def _by_levels(steps: DataFrame, roots: DataFrame) -> DataFrame:
+    """The same pairs level by level. The frontier holds only pairs not seen before, so every pair
+    is expanded once."""
     frontier = roots.select(
         "topology_id", F.col("component_id").alias("root"), F.col("component_id")
     ).distinct()
@@ -142,6 +191,16 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         frontier = found
 
 
+def _ends(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``rows`` with each component replaced by the end of its only way. The longest jumps come first:
+    a node that has one of 2 ** k steps takes it, and what is left of its way is shorter. On a ring there is no
+    end and any node of it will do."""
+    for table in reversed(tables):
+        rows = rows.join(table, NODE, "left").select(
+            "topology_id", "root", F.coalesce("_dst", "component_id").alias("component_id"))
+    return rows.distinct()
+
+
 def reachable_bolts(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Operators below each source. A source met on the way is walked through but is no
     candidate itself."""

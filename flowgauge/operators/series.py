@@ -112,6 +112,15 @@ class Grid:
         )
 
 
+def grid_over(times: DataFrame, step: int, window: int, column: str = "ts") -> Grid:
+    """The grid over all times of a table: from the last step at or before the earliest to the first at
+    or after the latest. An empty table has the one step 0."""
+    at = F.unix_micros(F.col(column).cast("timestamp"))
+    low, high = (x or 0 for x in times.agg(F.min(at), F.max(at)).first())
+    wide = step * MICROS
+    return Grid(low // wide * step, -(-high // wide) * step, step, window)
+
+
 def avg_over_time(selected: DataFrame, grid: Grid, keys: tuple[str, ...] = ("series",)) -> DataFrame:
     """Mean of each series' samples in the trailing window."""
     edge = grid.on_edge()

@@ -14,15 +14,27 @@ from flowgauge.plans import adapters as ad
 from flowgauge.plans import sql_views as v
 from flowgauge.plans.registry import query, rounded, with_ctes
 
-# Month covered by the samples, as epoch seconds.
-START, END = 1704067200, 1706659200
-STEP, WINDOW = 6 * 3600, 86400
-GRID = se.Grid(START, END, STEP, WINDOW)
-FINE = se.Grid(START, END, 3600, WINDOW)
+STEP, FINE_STEP, WINDOW = 6 * 3600, 3600, 86400
 LATENCY_SOURCE, HOST = "x-split-2", "split-1"
 
-STEPS = f"steps as (select unnest(generate_series({START}, {END}, {STEP})) as step)"
-FINE_STEPS = f"steps as (select unnest(generate_series({START}, {END}, 3600)) as step)"
+
+def _coarse(spark, sf) -> se.Grid:
+    """Steps over all the time that the table covers."""
+    return se.grid_over(ad.events(spark, sf), STEP, WINDOW)
+
+
+def _fine(spark, sf) -> se.Grid:
+    return se.grid_over(ad.events(spark, sf), FINE_STEP, WINDOW)
+
+
+def _steps(step: int) -> str:
+    return f"""steps as (
+  select unnest(generate_series(
+    cast(low // {step * 1_000_000} * {step} as bigint), cast((high + {step * 1_000_000 - 1}) // {step * 1_000_000} * {step} as bigint), {step})) as step
+  from (select epoch_us(min(ts)) as low, epoch_us(max(ts)) as high from events))"""
+
+
+STEPS, FINE_STEPS = _steps(STEP), _steps(FINE_STEP)
 
 IN_WINDOW = f"s.us between (g.step - {WINDOW}) * 1000000 and g.step * 1000000"
 
@@ -63,14 +75,14 @@ SPLITS = AVERAGES.format(window=IN_WINDOW, metric="bolts_capacity", where="s.nam
 select 'BoltId=' || name as series, cast(step as bigint) as step, value from averages"""))
 def avg_over_time(spark, sf):
     chosen = se.select_series(ad.samples(spark, sf), "bolts_capacity", matches={"BoltId": "^split-.*"})
-    return se.avg_over_time(chosen, GRID)
+    return se.avg_over_time(chosen, _coarse(spark, sf))
 
 
 @query("avg_of_avg", with_ctes(v.SAMPLES, STEPS, SPLITS, body="""
 select cast(step as bigint) as step, round(avg(value) + 3.7e-10, 6) as value from averages group by step"""))
 def avg_of_avg(spark, sf):
     chosen = se.select_series(ad.samples(spark, sf), "bolts_capacity", matches={"BoltId": "^split-.*"})
-    return rounded(se.avg_by(se.avg_over_time(chosen, GRID)), "value")
+    return rounded(se.avg_by(se.avg_over_time(chosen, _coarse(spark, sf))), "value")
 
 
 @query("first_series", with_ctes(v.SAMPLES, STEPS, AVERAGES.format(
@@ -79,7 +91,7 @@ select cast(step as bigint) as step, 'SpoutId=' || min(name) as series, arg_min(
 from averages group by step"""))
 def first_series(spark, sf):
     chosen = se.select_series(ad.samples(spark, sf), "spouts_complete_latency")
-    return se.first_series(se.avg_over_time(chosen, GRID))
+    return se.first_series(se.avg_over_time(chosen, _coarse(spark, sf)))
 
 
 INSTANT = f"""
@@ -95,7 +107,7 @@ where metric = 'pod_memory_working_set_bytes' group by all"""))
 def sum_by_pod(spark, sf):
     chosen = se.select_series(
         ad.samples(spark, sf), "pod_memory_working_set_bytes", {"namespace": ad.NAMESPACE}, by=("pod",))
-    return rounded(se.sum_by(se.instant_vector(chosen, GRID, ("pod", "series")), "pod"), "value")
+    return rounded(se.sum_by(se.instant_vector(chosen, _coarse(spark, sf), ("pod", "series")), "pod"), "value")
 
 
 def _rates(steps):
@@ -116,7 +128,7 @@ rates as (
 select 'namespace={ad.NAMESPACE},pod=' || name as series, cast(step as bigint) as step, value from rates"""))
 def counter_rate(spark, sf):
     chosen = se.select_series(ad.samples(spark, sf), "pod_cpu_usage_seconds_total")
-    return se.counter_rate(chosen, GRID)
+    return se.counter_rate(chosen, _coarse(spark, sf))
 
 
 @query("range_query", with_ctes(*_rates(FINE_STEPS), body="""
@@ -124,7 +136,7 @@ select name as pod, cast(step as bigint) as step, round(sum(value) + 3.7e-10, 6)
 def range_query(spark, sf):
     chosen = se.select_series(
         ad.samples(spark, sf), "pod_cpu_usage_seconds_total", {"namespace": ad.NAMESPACE}, by=("pod",))
-    return rounded(se.sum_by(se.counter_rate(chosen, FINE, ("pod", "series")), "pod"), "value")
+    return rounded(se.sum_by(se.counter_rate(chosen, _fine(spark, sf), ("pod", "series")), "pod"), "value")
 
 
 # --- score -----------------------------------------------------------------------------
@@ -141,14 +153,14 @@ utilization as (
 select host, cast(step as bigint) as step, used, total, coalesce(used / nullif(total, 0), 0.0) as worker_used
 from utilization"""))
 def ratio_join(spark, sf):
-    return sc.worker_utilization(ad.samples(spark, sf), GRID).drop("failed")
+    return sc.worker_utilization(ad.samples(spark, sf), _coarse(spark, sf)).drop("failed")
 
 
 @query("worker_utilization", with_ctes(v.SAMPLES, STEPS, INSTANT, UTILIZATION, body=f"""
 select host, cast(step as bigint) as step, coalesce(used / nullif(total, 0), 0.0) as worker_used
 from utilization where host = '{HOST}'"""))
 def worker_utilization(spark, sf):
-    return sc.worker_utilization(ad.samples(spark, sf), GRID, HOST).select("host", "step", "worker_used")
+    return sc.worker_utilization(ad.samples(spark, sf), _coarse(spark, sf), HOST).select("host", "step", "worker_used")
 
 
 def _score_ctes(steps):
@@ -181,12 +193,12 @@ def _scored(spark, sf, grid):
 @query("score_fallback", with_ctes(*_score_ctes(FINE_STEPS), body="""
 select host, step, worker_used, round(bolt_capacity + 3.7e-10, 6) as bolt_capacity, spout_latency from inputs"""))
 def score_fallback(spark, sf):
-    return rounded(_inputs(spark, sf, FINE).drop("used"), "bolt_capacity")
+    return rounded(_inputs(spark, sf, _fine(spark, sf)).drop("used"), "bolt_capacity")
 
 
 @query("load_score", with_ctes(*_score_ctes(STEPS), body="select host, step, round(score + 3.7e-10, 6) as score from scored"))
 def load_score(spark, sf):
-    return rounded(_scored(spark, sf, GRID).select("host", "step", "score"), "score")
+    return rounded(_scored(spark, sf, _coarse(spark, sf)).select("host", "step", "score"), "score")
 
 
 @query("score_parts", with_ctes(*_score_ctes(STEPS), body="""
@@ -194,12 +206,12 @@ select host, step, 'worker_used' as item, round(0.6 * worker_used / 0.7 + 3.7e-1
 select host, step, 'bolt_capacity', round(0.2 * bolt_capacity / 0.5 + 3.7e-10, 6) from inputs union all
 select host, step, 'spout_latency', round(0.2 * spout_latency / 100 + 3.7e-10, 6) from inputs"""))
 def score_parts(spark, sf):
-    return rounded(sc.score_parts(_inputs(spark, sf, GRID)), "part")
+    return rounded(sc.score_parts(_inputs(spark, sf, _coarse(spark, sf))), "part")
 
 
 @query("is_active", with_ctes(*_score_ctes(STEPS), body="select host, step, score > 0.7 as is_active from scored"))
 def is_active(spark, sf):
-    return sc.is_active(_scored(spark, sf, GRID)).select("host", "step", "is_active")
+    return sc.is_active(_scored(spark, sf, _coarse(spark, sf))).select("host", "step", "is_active")
 
 
 @query("score_report", with_ctes(*_score_ctes(STEPS), body="""
@@ -208,7 +220,7 @@ select host, step, 'worker_used', round(worker_used + 3.7e-10, 6) from scored un
 select host, step, 'bolt_capacity', round(bolt_capacity + 3.7e-10, 6) from scored union all
 select host, step, 'spout_latency', round(spout_latency + 3.7e-10, 6) from scored"""))
 def score_report(spark, sf):
-    return rounded(sc.score_report_rows(sc.score_report(_scored(spark, sf, GRID))), "metric_value")
+    return rounded(sc.score_report_rows(sc.score_report(_scored(spark, sf, _coarse(spark, sf)))), "metric_value")
 
 
 @query("score_snapshots", with_ctes(*_score_ctes(FINE_STEPS), body="""
@@ -216,7 +228,7 @@ select host, step, round(score + 3.7e-10, 6) as score,
        round(first_value(score) over (partition by host, step // 21600 order by step) + 3.7e-10, 6) as served_score
 from scored"""))
 def score_snapshots(spark, sf):
-    held = sc.score_snapshots(_scored(spark, sf, FINE), hold=21600)
+    held = sc.score_snapshots(_scored(spark, sf, _fine(spark, sf)), hold=21600)
     return rounded(held.select("host", "step", "score", "served_score"), "score", "served_score")
 
 
@@ -255,7 +267,7 @@ limited as (
 def _recommended(spark, sf):
     used = F.floor(F.coalesce("used", F.lit(0.0)))
     current = F.least(F.greatest(used, F.lit(1)), F.lit(7)).cast("bigint")
-    return sc.replica_target(_scored(spark, sf, FINE), current)
+    return sc.replica_target(_scored(spark, sf, _fine(spark, sf)), current)
 
 
 @query("replica_target", with_ctes(*_score_ctes(FINE_STEPS), RECOMMENDED, body="""
@@ -265,7 +277,8 @@ def replica_target(spark, sf):
 
 
 @query("initial_cooldown", with_ctes(*_score_ctes(FINE_STEPS), RECOMMENDED, body=f"""
-select host, step, desired from recommended where step >= {START} + {COOLDOWN}"""))
+select host, step, desired
+from (select *, min(step) over (partition by host) as first_step from recommended) where step >= first_step + {COOLDOWN}"""))
 def initial_cooldown(spark, sf):
     return sc.after_cooldown(_recommended(spark, sf), COOLDOWN).select("host", "step", "desired")
 

@@ -78,3 +78,21 @@ def test_sources_below_a_source_are_no_candidates(spark):
 def test_adjacency_blocks_keep_order_and_duplicates(diamond, width):
     rows = graph.adjacency(diamond, block=2, width=width).filter("component_id = 'r'").orderBy("block_no").collect()
     assert [r.neighbors for r in rows] == [["x", "y"], ["x"]]
+
+
+def test_a_long_path_takes_rounds_by_doubling(spark, monkeypatch):
+    """A path of 600 nodes with a ring, a fork and a second way in at its side."""
+    edges = [("t", i, f"n{i}", f"n{i + 1}") for i in range(600)]
+    edges += [("t", 700, "n600", "r0"), ("t", 701, "r0", "r1"), ("t", 702, "r1", "r0"), ("t", 703, "n300", "side"),
+              ("t", 704, "in", "n310"), ("u", 1, "n0", "n5"), ("u", 2, "n0", "n5")]
+    df = spark.createDataFrame(edges, "topology_id string, edge_no bigint, src string, dst string")
+    roots = spark.createDataFrame([("t", "n0"), ("t", "in"), ("t", "r1"), ("u", "n0"), ("u", "gone")], "topology_id string, component_id string")
+    rounds = []
+    kept = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda frame: rounds.append(1) or kept(frame))
+    got = {tuple(r) for r in graph.reachable(df, roots).collect()}
+    want = {("t", "n0", f"n{i}") for i in range(1, 601)} | {("t", "n0", x) for x in ("r0", "r1", "side")}
+    want |= {("t", "in", f"n{i}") for i in range(310, 601)} | {("t", "in", x) for x in ("r0", "r1")}
+    want |= {("t", "r1", "r0"), ("t", "r1", "r1"), ("u", "n0", "n5")}
+    assert got == want and len(rounds) < 40
+    assert graph.reachable(df.limit(0), roots).count() == 0
