@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from flowgauge.llm.common import in_slices, written
 from flowgauge.llm.tokens import BYTE_NAMES, Encoder
 
-#: Bytes of windows and their alignments that a worker remembers, about; it then starts anew.
-REMEMBERED, ENTRY = 48_000_000, 400
+#: Bytes of windows and their alignments in a generation, about; a worker remembers two. Bytes of a
+#: remembered window besides its ids and its alignment.
+REMEMBERED, ENTRY = 32_000_000, 400
 SPACE_MARK = "▁"
 _sides: dict[tuple[str, str], "Aligner"] = {}
 
@@ -87,7 +88,10 @@ class Aligner:
         self.width = len(self.sides[1].bytes)
         self.names = [str(i) for i in range(max(map(len, self.sizes)))]
         self.known: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
+        self.before: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
         self.held = 0
+        self.flat = [np.frombuffer(b"".join(s.bytes), np.uint8) for s in self.sides]
+        self.first = [np.cumsum(size) - size for size in self.sizes]
 
     def aligned(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
         """Groups and links of two stretches of tokens over the same bytes. A window holds a few
@@ -113,20 +117,31 @@ class Aligner:
         return ";".join(groups), pack(f"{len(links)}q", *links)
 
     def window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
-        a, b = (memoryview(k).cast("I").tolist() for k in key)
-        found = self.aligned(a, b)
+        found = self.before.get(key)
+        if found is None:
+            a, b = (memoryview(k).cast("I").tolist() for k in key)
+            found = self.aligned(a, b)
         self.held += ENTRY + len(key[0]) + len(key[1]) + len(found[0]) + len(found[1])
         if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
+            self.known, self.before, self.held = {}, self.known, 0
         self.known[key] = found
         return found
 
+    def whole(self, side: int, ids: np.ndarray, text: np.ndarray) -> bool:
+        """Whether the bytes of the tokens, put together, are the text's."""
+        size = self.sizes[side][ids]
+        ends = np.cumsum(size)
+        if not len(ids) or ends[-1] != len(text):
+            return False
+        place = np.repeat(self.first[side][ids] - (ends - size), size) + np.arange(len(text))
+        return np.array_equal(self.flat[side][place], text)
+
     def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, bytes]]:
         """(n_a, n_b, groups, links) of every text; links are pairs as a * width + b, eight bytes each."""
         whole = [t or "" for t in texts]
         for text, a, b in zip(whole, *(side.encode(whole) for side in self.sides)):
-            spaced = (" " + text).encode()
-            if not text or any(b"".join([s.bytes[i] for i in ids.tolist()]) != spaced for s, ids in zip(self.sides, (a, b))):
+            spaced = np.frombuffer((" " + text).encode(), np.uint8)
+            if not text or not (self.whole(0, a, spaced) and self.whole(1, b, spaced)):
                 yield 0, 0, "", b""
                 continue
             starts = [np.cumsum(size[ids]) - size[ids] for size, ids in zip(self.sizes, (a, b))]
