@@ -10,8 +10,8 @@ but the last return the columns of the documents:
 5. packing: the last stage gives the pieces with their token ids, sequences and offsets.
 
 Rows that repeat a doc_id are judged each by their own text in stages 1, 2 and 4; in stage 3
-such rows are one document, of which the row with the smallest hash of its text stays. Rows without
-doc_id are never near-duplicates. Further columns stay, whatever their names.
+such rows are one document, of which one row stays, any of them. Rows without doc_id are never
+near-duplicates. The first two stages keep further columns whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from flowgauge.llm import minhash, packing, quality, secrets, toxicity
 from flowgauge.llm.common import few, table, written
 
-ORACLE_SQL = None  # no SQL for the first two stages; tests/llm/test_pipeline.py has plain loops
+ORACLE_SQL = None  # no SQL for the first two stages; tests/llm checks the stages, not yet every row by brute force
 WIDTH = 5  # words of a shingle
 
 
