@@ -146,7 +146,7 @@ class Encoder:
         unseen: set[str] = set()
         for parts in cut:
             unseen.update(parts)
-        unseen.difference_update(self.known)
+        unseen = unseen.difference(self.known)
         if self.before:
             again = list(unseen & self.before.keys())
             self.remember(again, [self.before[w] for w in again])
