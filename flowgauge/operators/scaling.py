@@ -173,27 +173,33 @@ def replica_stabilized(recommended: DataFrame, span: int = STABILIZATION_SECS) -
 
 
 def replica_rate_limit(
-    stabilized: DataFrame, period: int = LIMIT_PERIOD_SECS, *, low: int = MIN_REPLICAS,
-    high: int = MAX_REPLICAS, fold_limit: int = FOLD_LIMIT, width: int | str | None = AUTO,
+    stabilized: DataFrame, period: int = LIMIT_PERIOD_SECS, down_period: int | None = None, *,
+    low: int = MIN_REPLICAS, high: int = MAX_REPLICAS, fold_limit: int = FOLD_LIMIT,
+    width: int | str | None = AUTO,
 ) -> DataFrame:
-    """Replicas when at most one is added or removed per period.
+    """Replicas when at most one is added per ``period`` and one removed per ``down_period``
+    (``period`` if not given).
 
     Recommendations are brought within ``low`` and ``high`` first. The count starts at the first
-    ``current``. Once ``period`` has passed since the last
-    change, it moves by one towards ``scale_up_to`` if that is higher, or ``scale_down_to``
-    if that is lower. Short histories are folded per target. In long ones the state after a
-    change is (earliest next change, replicas); the next change is looked up for every such
-    state at once, and the chain of states is followed by doubling.
+    ``current``. It moves up by one towards a higher ``scale_up_to`` once ``period`` has passed
+    since the last move up, else down by one towards a lower ``scale_down_to`` once
+    ``down_period`` has passed since the last move down; neither direction waits for the other.
+    Short histories are folded per target. In long ones the state after a change is (replicas,
+    earliest move up, earliest move down); the next change is looked up for every such state at
+    once, and the chain of states is followed by doubling. There are as many states per step as
+    steps in a period.
     """
+    period = max(period, 1)
+    down_period = period if down_period is None else max(down_period, 1)
     bounded = {c: clamp(F.col(c), low, high).cast("bigint") for c in ("scale_up_to", "scale_down_to")}
     rows = cut_lineage(stabilized.withColumns(bounded))  # both ways below see the bounds
     longest = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     first = rows.groupBy("host").agg(F.min("step").alias("step"), F.min_by("current", "step").alias("replicas"))
     first = first.withColumn("replicas", clamp(F.col("replicas").cast("bigint"), low, high).cast("bigint"))
     if longest <= fold_limit:
-        changes = _fold_changes(rows, first, period)
+        changes = _fold_changes(rows, first, period, down_period)
     else:
-        changes = _follow_changes(rows, first, period, low, high, width)
+        changes = _follow_changes(rows, first, period, down_period, low, high, width)
     marked = rows.join(_last_change(first, changes), ["host", "step"], "left")
     return ordered_scan(
         marked, ["host"], ["step"], {"replicas": last_known(F.col("_set"))},
@@ -209,22 +215,25 @@ def _last_change(first, changes):
     )
 
 
-def _fold_changes(rows, first, period):
+def _fold_changes(rows, first, period, down_period):
     row = "struct<step:bigint,replicas:bigint>"
-    start = F.struct(F.col("_start").alias("r"), F.lit(None).cast("bigint").alias("ready"),
+    null = F.lit(None).cast("bigint")
+    start = F.struct(F.col("_start").alias("r"), null.alias("up"), null.alias("down"),
                      F.expr(f"cast(array() as array<{row}>)").alias("changes"))
 
     def visit(state, x):
-        ready = state["ready"].isNull() | (x["step"] >= state["ready"])
+        ready = lambda clock: state[clock].isNull() | (x["step"] >= state[clock])
         move = (
-            F.when(ready & (x["scale_up_to"] > state["r"]), 1)
-            .when(ready & (x["scale_down_to"] < state["r"]), -1)
+            F.when(ready("up") & (x["scale_up_to"] > state["r"]), 1)
+            .when(ready("down") & (x["scale_down_to"] < state["r"]), -1)
             .otherwise(0)
         )
         after = (state["r"] + move).cast("bigint")
         change = F.struct(x["step"].alias("step"), after.alias("replicas"))
         return F.when(move == 0, state).otherwise(F.struct(
-            after.alias("r"), (x["step"] + period).alias("ready"),
+            after.alias("r"),
+            F.when(move > 0, x["step"] + period).otherwise(state["up"]).alias("up"),
+            F.when(move < 0, x["step"] + down_period).otherwise(state["down"]).alias("down"),
             F.concat(state["changes"], F.array(change)).alias("changes")))
 
     return (
@@ -236,36 +245,64 @@ def _fold_changes(rows, first, period):
     )
 
 
-def _follow_changes(rows, first, period, low, high, width):
-    levels = F.explode(F.sequence(F.lit(low), F.lit(high)).cast("array<bigint>"))
+def _clocks(steps, span):
+    """Times at which a pause of ``span`` that still runs at a step may end, and the next second for
+    one that does not (``other``). Steps meet by stretches of ``span``, not one task per target."""
+    stretch = F.floor(F.col("step") / span)
+    earlier = steps.select(
+        "host", (F.col("step") + span).alias("other"), F.explode(F.array(stretch, stretch + 1)).alias("_stretch"))
+    running = (
+        steps.withColumn("_stretch", stretch).join(earlier, ["host", "_stretch"])
+        .filter((F.col("other") < F.col("step") + span) & (F.col("other") > F.col("step") + 1))
+    )
+    return running.select("host", "step", "other").unionByName(
+        steps.withColumn("other", F.col("step") + 1))
+
+
+def _next_move(wide, states, ready, wanted, name, width):
+    """The first step from ``ready`` on at which ``wanted`` holds, for every state that has one."""
     null = F.lit(None).cast("bigint")
-    wide = rows.select("host", "step", "scale_up_to", "scale_down_to", levels.alias("replicas"))
-    up, down = F.col("scale_up_to") > F.col("replicas"), F.col("scale_down_to") < F.col("replicas")
-    options = wide.filter(up | down).select(
+    options = wide.filter(wanted).select(
         "host", "replicas", (-F.col("step")).alias("_at"), F.lit(0).alias("_kind"),
-        (F.col("step") * 2 + up.cast("bigint")).alias("_move"), null.alias("ready"),
-    )
-    states = (
-        wide.select("host", "replicas", (F.col("step") + period).alias("ready"))
-        .unionByName(first.select("host", "replicas", F.col("step").alias("ready")))
-        .distinct()
-        .select("host", "replicas", (-F.col("ready")).alias("_at"), F.lit(1).alias("_kind"),
-                null.alias("_move"), "ready")
+        F.col("step").alias("_move"), null.alias(ready))
+    asked = states.select("host", "replicas", ready).distinct().select(
+        "host", "replicas", (-F.col(ready)).alias("_at"), F.lit(1).alias("_kind"), null.alias("_move"), ready)
+    return ordered_scan(
+        options.unionByName(asked), ["host", "replicas"], ["_at", "_kind"],
+        {name: running_min(F.col("_move"))}, width=width,
+    ).filter(F.col(ready).isNotNull() & F.col(name).isNotNull()).select("host", "replicas", ready, name)
+
+
+def _follow_changes(rows, first, period, down_period, low, high, width):
+    levels = F.explode(F.sequence(F.lit(low), F.lit(high)).cast("array<bigint>")).alias("replicas")
+    wide = rows.select("host", "step", "scale_up_to", "scale_down_to", levels)
+    steps = rows.select("host", "step").distinct()
+    node = ["replicas", "ready_up", "ready_down"]
+    step = F.col("step")
+    after_up = _clocks(steps, down_period).select(
+        "host", (step + period).alias("ready_up"), F.col("other").alias("ready_down"))
+    after_down = _clocks(steps, period).select(
+        "host", F.col("other").alias("ready_up"), (step + down_period).alias("ready_down"))
+    roots = first.select("host", "replicas", step.alias("ready_up"), step.alias("ready_down"))
+    states = cut_lineage(
+        after_up.unionByName(after_down).select("host", levels, "ready_up", "ready_down")
+        .unionByName(roots).distinct())
+    up = _next_move(wide, states, "ready_up", F.col("scale_up_to") > F.col("replicas"), "_up", width)
+    down = _next_move(wide, states, "ready_down", F.col("scale_down_to") < F.col("replicas"), "_down", width)
+    found = (
+        states.join(up, ["host", "replicas", "ready_up"], "left")
+        .join(down, ["host", "replicas", "ready_down"], "left")
+        .withColumn("step", F.least("_up", "_down")).filter("step is not null")
     )
-    found = ordered_scan(
-        options.unionByName(states), ["host", "replicas"], ["_at", "_kind"],
-        {"_next": running_min(F.col("_move"))}, width=width,
-    ).filter("ready is not null and _next is not null")
-    step = F.floor(F.col("_next") / 2)
+    rises = F.col("_up").isNotNull() & (F.col("_down").isNull() | (F.col("_up") <= F.col("_down")))
     links = cut_lineage(found.select(
-        "host", "ready", "replicas", (step + period).alias("next_ready"),
-        (F.col("replicas") + F.when(F.col("_next") % 2 == 1, 1).otherwise(-1)).cast("bigint").alias("next_replicas"),
+        "host", *node, "step",
+        (F.col("replicas") + F.when(rises, 1).otherwise(-1)).cast("bigint").alias("next_replicas"),
+        F.when(rises, step + period).otherwise(F.greatest(F.col("ready_up"), step + 1)).alias("next_up"),
+        F.when(rises, F.greatest(F.col("ready_down"), step + 1)).otherwise(step + down_period).alias("next_down"),
     ))
-    roots = first.select("host", F.col("step").alias("ready"), "replicas")
-    chain = follow(links, roots, ["host"], ["ready", "replicas"], ["next_ready", "next_replicas"])
-    return chain.join(links, ["host", "ready", "replicas"]).select(
-        "host", (F.col("next_ready") - period).alias("step"), F.col("next_replicas").alias("replicas")
-    )
+    chain = follow(links, roots, ["host"], node, ["next_replicas", "next_up", "next_down"])
+    return chain.join(links, ["host", *node]).select("host", "step", F.col("next_replicas").alias("replicas"))
 
 
 def backlog_replicas(

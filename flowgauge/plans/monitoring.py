@@ -252,15 +252,20 @@ limited as (
   select host, step, n,
          cast(current + case when scale_up_to > current then 1 when scale_down_to < current then -1 else 0 end
               as bigint) as replicas,
-         case when scale_up_to > current or scale_down_to < current then step end as changed
+         case when scale_up_to > current then step end as last_up,
+         case when scale_up_to <= current and scale_down_to < current then step end as last_down
   from numbered where n = 1
   union all
   select x.host, x.step, x.n,
-         cast(l.replicas + case when l.changed is not null and x.step - l.changed < {PERIOD} then 0
-           when x.scale_up_to > l.replicas then 1 when x.scale_down_to < l.replicas then -1 else 0 end as bigint),
-         case when (l.changed is null or x.step - l.changed >= {PERIOD})
-                   and (x.scale_up_to > l.replicas or x.scale_down_to < l.replicas) then x.step
-              else l.changed end
+         cast(l.replicas + case
+           when x.scale_up_to > l.replicas and (l.last_up is null or x.step - l.last_up >= {PERIOD}) then 1
+           when x.scale_down_to < l.replicas and (l.last_down is null or x.step - l.last_down >= {PERIOD}) then -1
+           else 0 end as bigint),
+         case when x.scale_up_to > l.replicas and (l.last_up is null or x.step - l.last_up >= {PERIOD}) then x.step
+              else l.last_up end,
+         case when x.scale_up_to > l.replicas and (l.last_up is null or x.step - l.last_up >= {PERIOD}) then l.last_down
+              when x.scale_down_to < l.replicas and (l.last_down is null or x.step - l.last_down >= {PERIOD}) then x.step
+              else l.last_down end
   from limited l join numbered x on x.host = l.host and x.n = l.n + 1)"""
 
 

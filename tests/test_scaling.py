@@ -6,36 +6,47 @@ from pyspark.sql import functions as F
 from flowgauge.operators import scaling as sc
 
 
-def limit_loop(rows, period):
-    replicas, ready, out = rows[0][1], None, []
+def limit_loop(rows, period, down_period):
+    replicas, last_up, last_down, out = rows[0][1], None, None, []
     for step, _, up, down in rows:
-        if ready is None or step >= ready:
-            move = 1 if up > replicas else -1 if down < replicas else 0
-            if move:
-                replicas, ready = replicas + move, step + period
+        if up > replicas and (last_up is None or step - last_up >= period):
+            replicas, last_up = replicas + 1, step
+        elif down < replicas and (last_down is None or step - last_down >= down_period):
+            replicas, last_down = replicas - 1, step
         out.append(replicas)
     return out
 
 
+LIMIT_COLUMNS = "host string, step bigint, current bigint, scale_up_to bigint, scale_down_to bigint"
+
+
+@pytest.mark.parametrize("periods", [(300, 300), (120, 600)])
 @pytest.mark.parametrize("options", [{}, {"fold_limit": 0}, {"fold_limit": 0, "width": 700}])
-def test_rate_limit_equals_the_loop(spark, options):
+def test_rate_limit_equals_the_loop(spark, options, periods):
     rng = random.Random(6)
     data, want = [], {}
     for host in "abc":
-        rows, low = [], 3
-        for i in range(150):
-            low = min(7, max(1, low + rng.choice([-1, 0, 0, 1])))
-            rows.append((i * 60, rng.randint(1, 7), low, min(7, low + rng.choice([0, 0, 1, 2]))))
-        want[host] = limit_loop(rows, 300)
+        rows, low, step = [], 3, 0
+        for _ in range(150):
+            low = min(7, max(1, low + rng.choice([-2, -1, 0, 0, 1, 2])))
+            rows.append((step, rng.randint(1, 7), low, min(7, low + rng.choice([0, 0, 1, 2]))))
+            step += 60 if host != "c" else rng.choice([7, 60, 290])
+        want[host] = limit_loop(rows, *periods)
         data += [(host, *r) for r in rows]
-    df = spark.createDataFrame(
-        data, "host string, step bigint, current bigint, scale_up_to bigint, scale_down_to bigint")
-    out = sc.replica_rate_limit(df, 300, **options)
+    df = spark.createDataFrame(data, LIMIT_COLUMNS)
+    out = sc.replica_rate_limit(df, *periods, **options)
     for host in "abc":
         got = out.filter(F.col("host") == host).orderBy("step").collect()
         assert [r.replicas for r in got] == want[host]
 
 
+@pytest.mark.parametrize("options", [{}, {"fold_limit": 0}])
+def test_directions_do_not_hold_each_other_back(spark, options):
+    rows = [("h", 60 * i, 3, w, w) for i, w in enumerate([4, 3, 4, 3, 3, 4, 3])]
+    out = sc.replica_rate_limit(spark.createDataFrame(rows, LIMIT_COLUMNS), 300, **options)
+    assert [r.replicas for r in out.orderBy("step").collect()] == [4, 3, 3, 3, 3, 4, 3]
+
+
 def test_score_terms_and_report(spark):
     df = spark.createDataFrame([("h", 0, 0.7, 0.5, 100.0)],
                                "host string, step bigint, worker_used double, bolt_capacity double, spout_latency double")
