@@ -20,6 +20,7 @@ from flowgauge.llm.common import written
 
 SHARD, BLOCK, STEP = 8192, 512, 8
 EXACT = float(1 << 53)
+LONG = 2**63 - 1
 
 
 class Shard:
@@ -82,9 +83,15 @@ def _matrix(column) -> np.ndarray:
     return out.astype(float) if top * top * max(1, out.shape[1]) < EXACT else out.astype(object)
 
 
+def sortable(score: int) -> str | None:
+    """A text that sorts as ``score`` does among scores beyond a long on the same side; others need none."""
+    return None if -LONG - 1 < score < LONG else f"{score + (1 << 255):064x}"
+
+
 def integer_vectors(rows: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, v) with v = floor(scale * x) for every component; rows without vec_id or vector,
-    or with a component that is null or not finite, are left out, repeated rows count once."""
+    """(vec_id, v) with v = floor(scale * x) for every component, or the nearest long where that is
+    none; rows without vec_id or vector, or with a component that is null or not finite, are left
+    out, repeated rows count once."""
     fine = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     return (rows.where("vec_id is not null and embedding is not null").where(fine)
@@ -95,8 +102,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of ``vectors``, all if there are fewer.
 
     Both have vec_id and v. A shorter vector has zeros at its end. Rows with the query's own id
-    are no candidates. Shards and blocks of queries have bounded sizes; every pair of them is
-    one row of work.
+    are no candidates. Scores beyond a long are ranked by their exact values and returned as the
+    nearest long. Shards and blocks of queries have bounded sizes; every pair of them is one row
+    of work.
     """
     vectors = written(vectors.select("vec_id", "v"), "vectors")
     queries = written(queries.select("vec_id", "v"), "queries")
@@ -113,7 +121,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         spread(grouped(queries, "block", blocks, 2), "shard", shards), ["shard", "block"])
 
     def run(batches):
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("exact", pa.string())])
         for batch in batches:
             for i in range(batch.num_rows):
                 own, asked = batch.column("shard_rows")[i].values, batch.column("block_rows")[i].values
@@ -125,10 +133,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 shard = Shard(own.field("vec_id").to_numpy(), rows)
                 out: list[dict] = []
                 for query_id, query in zip(asked.field("vec_id").to_pylist(), wanted):
-                    out += [{"query_id": query_id, "vec_id": v, "score": s} for v, s in shard.best(query_id, query, k)]
+                    out += [{"query_id": query_id, "vec_id": v, "score": min(max(s, -LONG - 1), LONG), "exact": sortable(s)}
+                            for v, s in shard.best(query_id, query, k)]
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    found = work.select("shard_rows", "block_rows").mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = work.select("shard_rows", "block_rows").mapInArrow(run, "query_id long, vec_id long, score long, exact string")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -104,6 +104,20 @@ def test_maxscore(spark):
     assert maxscore.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_maxscore_beyond_a_long(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD", 2)  # so that shards are merged
+    data = [(100, [1e9, 1e9]), (200, [-1e9, 5.0]), (201, [2e9, 1e9]), (202, [1e300, -1e300]), (203, [-2e9, 0.5]), (204, [3e9, 1e9]),
+            (205, [3e9, 1e9]), (206, [0.5, 0.5])]
+    vectors = maxscore.integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    near = lambda n: min(max(n, -(2**63)), 2**63 - 1)
+    held = {i: [near(int(np.floor(1024 * x))) for x in v] for i, v in data}
+    want = set()
+    for q in (100, 200):
+        best = sorted((-sum(a * b for a, b in zip(held[q], v)), i) for i, v in held.items() if i != q)
+        want |= {(q, n + 1, i, near(-s)) for n, (s, i) in enumerate(best)}
+    assert rows(maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0"))) == collections.Counter(want)
+
+
 def test_quality(spark, docs, none):
     lines = "same line of words here\n" * 3
     df = docs.select("doc_id", "text", "lang", "source", "kept").unionByName(
