@@ -270,5 +270,6 @@ def captures(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Every page as its archives give it back, with its place in the capture histories."""
     index = merge_runs(write_archives(pages, folder))
     placed = index.select("archive", "offset", "urlkey", "timestamp", "range", "place")
-    return read_archives(index).join(placed, ["archive", "offset"]).select(
+    # By sorting: a side below the broadcast threshold when it runs would still grow with the pages.
+    return read_archives(index).join(placed.hint("merge"), ["archive", "offset"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "range", "place")
