@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.operators.rollup import component_metrics
+from flowgauge.schemas import STREAM_STATS
 
 HOUR, DAY = 3600, 86400
 TICK_SECS = 6 * HOUR
@@ -44,13 +45,19 @@ def component_name():
     )
 
 
-def executor_stats_of(events_df: DataFrame, tick) -> DataFrame:
-    """Statistics per (topology, tick, component, executor); works on a stream as well."""
+def component_of_two():
+    """The same with a second source in each topology."""
+    return F.when(F.col("user_id") % 10 == 8, F.lit("spout-side")).otherwise(component_name())
+
+
+def executor_stats_of(events_df: DataFrame, tick, *extra, component=None) -> DataFrame:
+    """Statistics per (topology, tick, component, executor) and ``extra`` keys; works on a stream as well."""
     executor = F.floor(F.col("user_id") / 10)
     kind = F.col("event_type")
     grouped = events_df.groupBy(
         F.concat(F.lit("t"), (executor % 3).cast("string")).alias("topology_id"),
-        tick, component_name().alias("component_id"), executor.alias("executor_id"),
+        tick, (component_name() if component is None else component).alias("component_id"),
+        executor.alias("executor_id"), *extra,
     ).agg(
         F.count(F.lit(1)).alias("emitted"),
         F.count_if(kind != "view").alias("transferred"),
@@ -63,7 +70,7 @@ def executor_stats_of(events_df: DataFrame, tick) -> DataFrame:
 
 
 def finish_stats(grouped: DataFrame, *extra: str) -> DataFrame:
-    spout = F.col("component_id") == "spout-main"
+    spout = F.col("component_id").startswith("spout-")
     latency = F.col("_cents").cast("double") / F.col("emitted") / F.lit(100.0)
     return grouped.select(
         "topology_id", "tick", "component_id",
@@ -81,9 +88,32 @@ def finish_stats(grouped: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def tick_column():
+    return (F.floor(micros() / (TICK_SECS * 1_000_000)) * TICK_SECS).alias("tick")
+
+
 def executor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tick = (F.floor(micros() / (TICK_SECS * 1_000_000)) * TICK_SECS).alias("tick")
-    return finish_stats(executor_stats_of(events(spark, sf_dir), tick))
+    return finish_stats(executor_stats_of(events(spark, sf_dir), tick_column()))
+
+
+def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics per stream, as a runtime records them: streams and components of its own among the
+    rest, and a component whose type it does not know."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    stream = (F.when(kind == "signup", "__metrics").when(kind == "error", "errors")
+              .when(kind == "purchase", "orders").otherwise("default"))
+    component = (F.when(user % 70 == 7, "__acker").when(user % 70 == 17, F.concat(F.lit("sink-"), (user % 2).cast("string")))
+                 .otherwise(component_name()))
+    grouped = executor_stats_of(events(spark, sf_dir), tick_column(), stream.alias("stream_id"), component=component)
+    typed = F.when(F.col("component_id").startswith("sink-"), F.when(F.col("component_id") == "sink-1", "sink")).otherwise(
+        F.col("component_type"))
+    stats = finish_stats(grouped, "stream_id").withColumn("component_type", typed)
+    return stats.select(*STREAM_STATS.fieldNames())
+
+
+def two_source_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = executor_stats_of(events(spark, sf_dir), tick_column(), component=component_of_two())
+    return component_metrics(finish_stats(stats))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +128,14 @@ PIPELINE_EDGES = [
 ]
 
 
-def pipeline_edges(metrics_df: DataFrame) -> DataFrame:
+SIDE_EDGES = [("spout-side", "split-2"), ("spout-side", "split-3")]
+
+
+def pipeline_edges(metrics_df: DataFrame, edges: list[tuple[str, str]] = PIPELINE_EDGES) -> DataFrame:
     """The dataflow graph of the topologies met in the data."""
     listed = F.array(*[
         F.struct(F.lit(n).cast("bigint").alias("edge_no"), F.lit(a).alias("src"), F.lit(b).alias("dst"))
-        for n, (a, b) in enumerate(PIPELINE_EDGES, 1)
+        for n, (a, b) in enumerate(edges, 1)
     ])
     topologies = metrics_df.select("topology_id").distinct()
     return topologies.select("topology_id", F.inline(listed))
@@ -126,6 +159,11 @@ def targets(metrics_df: DataFrame) -> DataFrame:
     return known.unionByName(unmatched)
 
 
+def two_source_targets(metrics_df: DataFrame) -> DataFrame:
+    """The same for two sources; one topology has no target for its second source."""
+    return targets(metrics_df).filter("not (topology_id = 't2' and component_id = 'spout-side')")
+
+
 # Which event type stands for which series, and the label that names the series.
 METRIC_OF = {
     "view": ("bolts_capacity", "BoltId"),

@@ -10,7 +10,9 @@ from flowgauge.plans import adapters as ad
 from flowgauge.plans import sql_views as v
 from flowgauge.plans.registry import query, with_ctes
 from flowgauge.plans.telemetry import CM, _metrics
+from flowgauge.session import cut_lineage, scratch_path
 from flowgauge.sources import topology
+from flowgauge.sources.lines import by_folder, read_lines, write_files
 
 # Definition files as text lines: one file per block of orders, its first line the name,
 # then an edge "order part" per line item. Some lines are broken the way real ones are.
@@ -33,6 +35,13 @@ lines as (
 """
 
 
+def _through_files(spark, lines):
+    """``lines`` written as text files and read back with the numbers that the reader gives them."""
+    path = scratch_path(spark, "definitions")
+    write_files(lines, path)
+    return by_folder(read_lines(spark, path))
+
+
 def _definition_lines(spark, sf):
     items = ad.table(spark, sf, "lineitem")
     block = F.floor(F.col("l_orderkey") / 512).cast("string")
@@ -58,7 +67,7 @@ def _definition_lines(spark, sf):
         "file", (number + 1).cast("bigint").alias("line_no"), line.alias("line"))
     heads = items.select(file.alias("file"), F.lit(1).cast("bigint").alias("line_no"),
                          F.concat(F.lit("topology-"), block).alias("line")).distinct()
-    return heads.unionByName(body)
+    return _through_files(spark, heads.unionByName(body))
 
 
 @query("edges_ingest", with_ctes(LINES, body="""
@@ -80,7 +89,8 @@ def edges_reject(spark, sf):
 
 TARGET_LINES = """
 lines as (
-  select 'targets' as file, o_orderkey as line_no,
+  select 'targets-' || (o_custkey // 64) as file,
+         row_number() over (partition by o_custkey // 64 order by o_orderkey) as line_no,
          case when o_orderkey % 13 = 0 then 'c' || o_custkey || ' none'
               when o_orderkey % 13 = 1 then 'c' || o_custkey || ' ' || o_totalprice || ' extra'
               when o_orderkey % 13 = 2 then 'c' || o_custkey
@@ -91,11 +101,11 @@ lines as (
 
 @query("targets_ingest", with_ctes(TARGET_LINES, body="""
 , parsed as (
-  select line_no, string_split(line, ' ')[1] as component_id,
+  select file, line_no, string_split(line, ' ')[1] as component_id,
          try_cast(string_split(line, ' ')[2] as double) as target_rate
   from lines where contains(line, ' '))
-select component_id, arg_max(target_rate, line_no) as target_rate
-from parsed where target_rate is not null group by component_id""".lstrip("\n")))
+select file, component_id, arg_max(target_rate, line_no) as target_rate
+from parsed where target_rate is not null group by file, component_id""".lstrip("\n")))
 def targets_ingest(spark, sf):
     orders = ad.table(spark, sf, "orders")
     who = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
@@ -105,8 +115,9 @@ def targets_ingest(spark, sf):
         .when(case == 1, F.concat(who, F.lit(" "), price, F.lit(" extra")))
         .when(case == 2, who).otherwise(F.concat(who, F.lit(" "), price))
     )
-    lines = orders.select(F.lit("targets").alias("file"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
-    return topology.targets(lines).drop("file")
+    file = F.concat(F.lit("targets-"), F.floor(F.col("o_custkey") / 64).cast("string"))
+    lines = orders.select(file.alias("file"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
+    return topology.targets(_through_files(spark, lines))
 
 
 @query("component_typing", with_ctes(*CM, v.EDGES, body="""
@@ -196,9 +207,9 @@ def cycle_check(spark, sf):
     return graph.cycle_nodes(ad.ring_graph(spark, sf))
 
 
-@query("spout_target_reject", with_ctes(*CM, body="""
-select distinct topology_id, component_id from cm where component_type = 'bolt'"""))
+@query("spout_target_reject", with_ctes(v.TWO_SOURCE_STATS, v.METRICS, v.TWO_SOURCE_TARGETS, body="""
+select distinct topology_id, component_id from cm
+where component_type = 'spout' and (topology_id, component_id) not in (select topology_id, component_id from targets)"""))
 def spout_target_reject(spark, sf):
-    """Components no target names: with targets for sources only, every operator."""
-    metrics = _metrics(spark, sf)
-    return fc.spouts_without_target(metrics, ad.targets(metrics))
+    metrics = cut_lineage(ad.two_source_metrics(spark, sf))
+    return fc.spouts_without_target(metrics.filter("component_type = 'spout'"), ad.two_source_targets(metrics))

@@ -13,6 +13,8 @@ from flowgauge.operators import series as se
 from flowgauge.plans import adapters as ad
 from flowgauge.plans import sql_views as v
 from flowgauge.plans.registry import query, rounded, with_ctes
+from flowgauge.session import scratch_path
+from flowgauge.sources import tables
 
 STEP, FINE_STEP, WINDOW = 6 * 3600, 3600, 86400
 LATENCY_SOURCE, HOST = "x-split-2", "split-1"
@@ -42,8 +44,10 @@ IN_WINDOW = f"s.us between (g.step - {WINDOW}) * 1000000 and g.step * 1000000"
 @query("samples_scan", with_ctes(v.SAMPLES, body="""
 select metric, name, us, value from samples"""))
 def samples_scan(spark, sf):
+    path = scratch_path(spark, "samples")
+    tables.write_samples(ad.samples(spark, sf), path)
     name = F.coalesce(*[F.col("labels")[k] for k in ("BoltId", "SpoutId", "ClusterHost", "pod")])
-    return ad.samples(spark, sf).select(
+    return tables.samples(spark, path).select(
         "metric", name.alias("name"), F.unix_micros("ts").alias("us"), "value")
 
 

@@ -9,7 +9,8 @@ from flowgauge.operators import graph, rollup
 from flowgauge.plans import adapters as ad
 from flowgauge.plans import sql_views as v
 from flowgauge.plans.registry import query, rounded, with_ctes
-from flowgauge.session import cut_lineage
+from flowgauge.session import cut_lineage, scratch_path
+from flowgauge.sources import tables
 
 CM = (v.STATS, v.METRICS)
 CHECKS = (*CM, v.TARGETS, v.CHECKS)
@@ -44,18 +45,32 @@ def _checks(spark, sf):
 # --- roll-up ---------------------------------------------------------------------------
 
 
-@query("executor_stats_scan", with_ctes(v.STATS, body="""
-select topology_id, tick, component_id, executor_id, emitted, transferred, acked, failed,
-       round(cast(cents as double) / emitted / 100.0 + 3.7e-10, 6) as latency_ms
+def _scanned(spark, sf):
+    """Executor statistics from a written table of statistics per stream."""
+    path = scratch_path(spark, "streams")
+    ad.stream_stats(spark, sf).write.parquet(path)
+    return tables.stream_stats(spark, path)
+
+
+@query("executor_stats_scan", with_ctes(v.STREAM_STATS, body="""
+select topology_id, tick, component_id, component_type, executor_id, emitted, transferred, acked, failed,
+       round(latency + 3.7e-10, 6) as latency_ms
 from stats"""))
 def executor_stats_scan(spark, sf):
     return rounded(
-        ad.executor_stats(spark, sf).select(
-            "topology_id", "tick", "component_id", "executor_id", "emitted", "transferred", "acked", "failed",
-            F.coalesce("complete_latency_ms", "process_latency_ms").alias("latency_ms")),
+        _scanned(spark, sf).select(
+            "topology_id", "tick", "component_id", "component_type", "executor_id", "emitted", "transferred",
+            "acked", "failed", F.coalesce("complete_latency_ms", "process_latency_ms").alias("latency_ms")),
         "latency_ms")
 
 
+@query("unknown_types", with_ctes(v.STREAM_STATS, body="""
+select distinct topology_id, component_id, component_type from stats
+where component_type is null or component_type not in ('spout', 'bolt')"""))
+def unknown_types(spark, sf):
+    return rollup.unknown_types(_scanned(spark, sf))
+
+
 @query("spout_rollup", with_ctes(*CM, body="""
 select topology_id, tick, component_id, executors, acked, failed, emitted, transferred,
        round(acked_rate + 3.7e-10, 6) as acked_rate, round(emit_rate + 3.7e-10, 6) as emit_rate,
@@ -325,11 +340,16 @@ def executor_plan(spark, sf):
     return _flow(spark, sf).executor_plan()
 
 
-@query("planned_anti", with_ctes(*LOOP, recursive=True, body="""
-select topology_id, tick, component_id, count(*) as raised from plan group by all"""))
+# Both sources ask for the operators they share; each of those is raised once.
+@query("planned_anti", with_ctes(v.TWO_SOURCE_STATS, v.METRICS, v.TWO_SOURCE_TARGETS, v.CHECKS, v.TWO_SOURCE_PLAN,
+                                 recursive=True, body="""
+select topology_id, tick, component_id, cast(count(distinct component_id) as bigint) as raised from plan group by all"""))
 def planned_anti(spark, sf):
-    return _flow(spark, sf).executor_plan().groupBy(*rollup.COMPONENT).agg(
-        F.count(F.lit(1)).alias("raised"))
+    metrics = cut_lineage(ad.two_source_metrics(spark, sf))
+    edges = ad.pipeline_edges(metrics, ad.PIPELINE_EDGES + ad.SIDE_EDGES)
+    reach = graph.reachable_bolts(edges, ad.component_types(metrics))
+    flow = fc.flow_check(metrics, ad.two_source_targets(metrics), reach)
+    return flow.executor_plan().groupBy(*rollup.COMPONENT).agg(F.count(F.lit(1)).alias("raised"))
 
 
 @query("plan_counts", with_ctes(*WORKERS, recursive=True, body="""

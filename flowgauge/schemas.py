@@ -24,6 +24,8 @@ EXECUTOR_STATS = _struct(
     "complete_latency_ms double, process_latency_ms double, execute_latency_ms double,"
     "capacity double"
 )
+#: The same per stream of an executor, as a runtime counts them.
+STREAM_STATS = T.StructType(EXECUTOR_STATS.fields + [T.StructField("stream_id", T.StringType())])
 EDGES = _struct("topology_id string, edge_no bigint, src string, dst string")
 TARGETS = _struct("topology_id string, component_id string, target_rate double")
 SAMPLES = _struct("metric string, labels labels, ts timestamp, value double")

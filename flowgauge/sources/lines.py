@@ -10,6 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def write_files(lines: DataFrame, path: str) -> None:
+    """``lines`` (file, line_no, line) as text, a folder per ``file`` with one file in it whose lines
+    follow ``line_no``. A file is written by one task; as many tasks as the cluster has share the files."""
+    ordered = lines.repartition("file").sortWithinPartitions("file", "line_no")
+    ordered.select("line", "file").write.partitionBy("file").text(path)
+
+
+def by_folder(lines: DataFrame) -> DataFrame:
+    """``read_lines`` of what ``write_files`` wrote, with the names that the files had there."""
+    return lines.withColumn("file", F.regexp_extract("file", "/file=([^/]+)/[^/]*$", 1))
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no from 1, line) of text files."""
     raw = spark.read.text(paths).select(

@@ -1,7 +1,7 @@
 import pytest
 
-from flowgauge.schemas import EXECUTOR_STATS, SAMPLES
-from flowgauge.sources import readings, tables, topology
+from flowgauge.schemas import EXECUTOR_STATS, SAMPLES, STREAM_STATS
+from flowgauge.sources import lines, readings, tables, topology
 from flowgauge.sources.lines import read_lines
 
 
@@ -35,6 +35,27 @@ def test_edge_files(spark, tmp_path):
     assert [r.file.rsplit("/", 1)[1] for r in topology.empty_files(listed, df).collect()] == ["empty"]
 
 
+def test_files_of_lines_round_trip(spark, tmp_path):
+    rows = [(f"f{k}", n, "" if n % 5 == 0 else f" {k}  {n} ") for k in range(3) for n in range(1, 40)]
+    shuffled = spark.createDataFrame(rows[::-1], "file string, line_no bigint, line string").repartition(5)
+    lines.write_files(shuffled, str(tmp_path / "out"))
+    back = lines.by_folder(read_lines(spark, str(tmp_path / "out")))
+    assert sorted(tuple(r) for r in back.select("file", "line_no", "line").collect()) == rows
+
+
+def test_streams_of_the_runtime_do_not_count(spark, tmp_path):
+    row = lambda stream, n, latency: ("t", 0, "b", "bolt", 1, 2, 3, 4, n, n, n, 0, n, None, latency, latency, 0.5, stream)
+    rows = [row("default", 3, 1.0), row("errors", 1, 5.0), row("__metrics", 9, 9.0)]
+    rows += [("t", 0, "__acker", "bolt", 2, 1, 1, 1, 1, 1, 1, 1, 1, None, 1.0, 1.0, 1.0, "default")]
+    spark.createDataFrame(rows, STREAM_STATS).write.parquet(str(tmp_path / "s"))
+    [got] = tables.stream_stats(spark, str(tmp_path / "s")).collect()
+    assert (got.emitted, got.executed, got.num_executors, got.num_tasks, got.capacity) == (4, 4, 2, 3, 0.5)
+    assert (got.process_latency_ms, got.execute_latency_ms, got.complete_latency_ms) == (2.0, 2.0, None)
+    [whole] = tables.stream_stats(spark, str(tmp_path / "s"), system=True).collect()
+    assert whole.emitted == 13
+    assert tables.of_streams(spark.createDataFrame(rows[2:3], STREAM_STATS)).count() == 0
+
+
 def test_targets(spark, tmp_path):
     (tmp_path / "t").write_text("a 1\nb 2 extra\na 3.5\nbad\nc x\nd  4\n")
     df = read_lines(spark, str(tmp_path / "t"))
