@@ -213,42 +213,114 @@ def reachable_bolts(edges: DataFrame, components: DataFrame) -> DataFrame:
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """Nodes that can reach themselves.
 
-    First nodes without incoming or outgoing edges are trimmed until none is left; on an
-    acyclic graph nothing remains and the loop ends. What remains is split by coloring:
-    each node takes the largest name that reaches it, and walking back from that name
-    within its color gives its strongly connected group. Groups are removed and the rest
-    is tried again. Tables stay as large as the edge list; no closure is built.
+    The graph is shrunk first: nodes without incoming or outgoing edges go, and nodes with one of each
+    are taken out of their chain, which becomes one edge. Chains are followed by doubling pointers and
+    either step alone leaves little to the other, so a long path, a long ring or a tree takes logarithmic
+    rounds. What neither shrinks further is split by coloring: each node takes the largest name that
+    reaches it, and walking back from that name within its color gives its strongly connected group.
+    Groups are removed and the rest is tried again. Then the chains are put back, the last first: their
+    nodes lie on a cycle if both ends are in the same group. Tables stay as large as the edge list; no
+    closure is built.
     """
     key = ["topology_id"]
     live = cut_lineage(edges.select("topology_id", "src", "dst").distinct())
     loops = live.filter("src = dst").select("topology_id", F.col("src").alias("component_id"))
     live = cut_lineage(live.filter("src <> dst"))
-    groups = [loops]
+    groups, chains, before = [], [], -1
     while True:
-        live = _trim(live)
-        if live.isEmpty():
+        live, size = _rake(live)
+        if not size:
             break
+        if size != before:  # else both steps left the graph as it is
+            live, chain, rings = _compress(live)
+            if chain is not None:
+                chains.append(chain)
+                # Two rings share no edge, so one name does for those of a round.
+                groups.append(rings.withColumn("label", F.lit(f"ring {len(chains)}")))
+                before = live.count()
+                continue
         members = cut_lineage(_strong_groups(live))
-        groups.append(members.filter("size > 1").select(*NODE))
+        groups.append(members.filter("size > 1").select(*NODE, F.concat(F.lit("group "), "color").alias("label")))
         gone = members.select(*NODE)
         for side in ("src", "dst"):
             live = live.join(gone.withColumnRenamed("component_id", side), [*key, side], "left_anti")
-        live = cut_lineage(live)
-    result = groups[0]
-    for group in groups[1:]:
-        result = result.unionByName(group)
-    return result.distinct()
-
-
-def _trim(live: DataFrame) -> DataFrame:
+        live, before = cut_lineage(live), -1
+    labels = None
+    for group in groups:
+        labels = group if labels is None else labels.unionByName(group)
+    for chain in reversed(chains):
+        labels = cut_lineage(_put_back(labels, chain))
+    found = loops if labels is None else loops.unionByName(labels.select(*NODE))
+    return found.distinct()
+
+
+def _rake(live: DataFrame) -> tuple[DataFrame, int]:
+    """Without edges that no cycle can hold, as long as each pass takes away a quarter; with the count."""
     before = live.count()
     while before:
         live = cut_lineage(_trim_once(_trim_once(live)))
         after = live.count()
-        if after == before:
-            break
+        if 4 * after > 3 * before:
+            return live, after
         before = after
-    return live
+    return live, before
+
+
+def _compress(live: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The graph with every chain of nodes with one incoming and one outgoing edge as a single edge;
+    (NODE, tail, head) of the nodes taken out, the nodes before and after their chain; and the nodes of rings
+    of nothing but such nodes. No chain, no tables.
+
+    A node's pointer leads 2 ** k steps on, or to the last node of its chain. In each round the pointers of
+    a chain reach its end from twice as far, so when a round closes none, only rings are still open.
+    """
+    ends = live.select("topology_id", F.col("src").alias("component_id"), F.col("dst").alias("_next"),
+                       F.lit(None).cast("string").alias("_last")).unionByName(
+        live.select("topology_id", F.col("dst").alias("component_id"), F.lit(None).cast("string").alias("_next"),
+                    F.col("src").alias("_last")))
+    inner = cut_lineage(ends.groupBy(*NODE).agg(
+        F.min("_next").alias("_next"), F.min("_last").alias("_last"), F.count("_next").alias("_out"),
+        F.count("_last").alias("_in")).filter("_out = 1 and _in = 1").drop("_out", "_in"))
+    if inner.isEmpty():
+        return live, None, None
+    after = inner.select("topology_id", F.col("component_id").alias("_next"), F.lit(True).alias("_open"))
+    jumps = cut_lineage(inner.join(after, ["topology_id", "_next"], "left").select(
+        *NODE, F.when(F.col("_open"), F.col("_next")).otherwise(F.col("component_id")).alias("_at"),
+        F.coalesce("_open", F.lit(False)).alias("_open")))
+    closed, rest = jumps.filter("not _open"), jumps.filter("_open")
+    still = rest.count()
+    while still:
+        far = jumps.select("topology_id", F.col("component_id").alias("_at"), F.col("_at").alias("_far"), F.col("_open").alias("_on"))
+        rest = rest.join(far, ["topology_id", "_at"]).select(
+            *NODE, F.col("_far").alias("_at"), F.col("_on").alias("_open"))
+        jumps = cut_lineage(closed.unionByName(rest))
+        closed, rest = jumps.filter("not _open"), jumps.filter("_open")
+        left = rest.count()
+        if left == still:
+            break
+        still = left
+    # A chain is named by its last node, which knows the head; its first one knows the tail.
+    of_chain = closed.select(*NODE, F.col("_at").alias("_chain")).join(inner, NODE)
+    is_inner = inner.select("topology_id", F.col("component_id").alias("_last"))
+    tails = of_chain.join(is_inner, ["topology_id", "_last"], "left_anti").select(
+        "topology_id", "_chain", F.col("_last").alias("tail"))
+    heads = of_chain.filter("component_id = _chain").select("topology_id", "_chain", F.col("_next").alias("head"))
+    between = cut_lineage(tails.join(heads, ["topology_id", "_chain"]))
+    chain = cut_lineage(of_chain.select(*NODE, "_chain").join(between, ["topology_id", "_chain"]).drop("_chain"))
+    for side in ("src", "dst"):
+        live = live.join(inner.select("topology_id", F.col("component_id").alias(side)), ["topology_id", side], "left_anti")
+    short = between.filter("tail <> head").select("topology_id", F.col("tail").alias("src"), F.col("head").alias("dst"))
+    return cut_lineage(live.unionByName(short).distinct()), chain, rest.select(*NODE)
+
+
+def _put_back(labels: DataFrame, chain: DataFrame) -> DataFrame:
+    """``labels`` (NODE, label) with those of the nodes of ``chain``: the label that both ends have. A chain
+    that ends where it begins is a cycle; its end is one too and takes its own name if it has no label."""
+    own = chain.filter("tail = head").select("topology_id", F.col("tail").alias("component_id")).distinct()
+    labels = labels.unionByName(own.join(labels, NODE, "left_anti").withColumn("label", F.concat(F.lit("self "), "component_id")))
+    at = lambda side: labels.select("topology_id", F.col("component_id").alias(side), F.col("label").alias(f"_{side}"))
+    inside = chain.join(at("tail"), ["topology_id", "tail"]).join(at("head"), ["topology_id", "head"]).filter("_tail = _head")
+    return labels.unionByName(inside.select(*NODE, F.col("_tail").alias("label")))
 
 
 def _trim_once(live: DataFrame) -> DataFrame:

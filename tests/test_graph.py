@@ -28,6 +28,42 @@ def test_cycles_on_random_graphs(spark, seed):
     assert got == want
 
 
+def _brute_cycles(edges):
+    return {(t, n) for t in {e[0] for e in edges} for n in {e[2] for e in edges if e[0] == t}
+            if n in reach_of([e for e in edges if e[0] == t], n)}
+
+
+def test_cycles_through_chains(spark):
+    """Random graphs whose edges are chains of nodes, all in one table."""
+    rng, edges = random.Random(7), []
+    for t in range(40):
+        for i in range(rng.randint(2, 9)):
+            a, b = rng.randint(0, 4), rng.randint(0, 4)
+            stops = [f"n{a}", *[f"c{i}-{k}" for k in range(rng.choice([0, 0, 1, 2, 5, 9]))], f"n{b}"]
+            edges += [(f"t{t}", i, u, v) for u, v in zip(stops, stops[1:])]
+    got = [tuple(r) for r in graph.cycle_nodes(spark.createDataFrame(edges, EDGES)).collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute_cycles(edges)
+
+
+def test_cycles_on_long_chains_take_few_rounds(spark, monkeypatch):
+    """A path, a ring, and a path with a leaf at every node, of 3,000 nodes each."""
+    n, written = 3000, []
+    edges = [("path", i, f"{i:05}", f"{i + 1:05}") for i in range(n)]
+    edges += [("ring", i, f"{i:05}", f"{(i + 1) % n:05}") for i in range(n)]
+    edges += [(t, i, f"{i:05}", f"{i + 1:05}") for t in ("rake",) for i in range(n)]
+    edges += [("rake", i, f"{i:05}", f"leaf{i:05}") for i in range(n)]
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: written.append(1) or cut(df))
+    got = graph.cycle_nodes(spark.createDataFrame(edges, EDGES)).groupBy("topology_id").count().collect()
+    assert [tuple(r) for r in got] == [("ring", n)] and len(written) < 60
+
+
+def test_no_edges_no_cycles(spark):
+    assert graph.cycle_nodes(spark.createDataFrame([], EDGES)).count() == 0
+    loop = spark.createDataFrame([("t", 1, "a", "a"), ("t", 2, "a", "b")], EDGES)
+    assert [tuple(r) for r in graph.cycle_nodes(loop).collect()] == [("t", "a")]
+
+
 def test_two_rings_joined_by_a_path(spark):
     pairs = [("a", "b"), ("b", "a"), ("b", "m"), ("m", "n"), ("n", "c"), ("c", "d"), ("d", "c"), ("q", "q")]
     edges = spark.createDataFrame([("t", i, s, d) for i, (s, d) in enumerate(pairs)], EDGES)
