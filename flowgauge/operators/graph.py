@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.operators.ordered import AUTO, ordered_scan, running_count
+from flowgauge.operators.ordered import AUTO, MAX_GROUP_ROWS, ordered_scan, running_count, running_sum
 from flowgauge.session import cut_lineage
 
 NODE = ["topology_id", "component_id"]
@@ -65,19 +65,18 @@ def _outgoing(edges: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """One row per path below each root (topology_id, root, component_id, depth, path).
-
-    ``path`` holds the edge numbers taken. An edge back to a component of the same path is not
-    taken, so the walk ends on cycles too; ``cycle_nodes`` reports those.
-    """
+def _levels(edges: DataFrame, roots: DataFrame, named: bool = False) -> list[DataFrame]:
+    """The paths below each root, a table per length. ``named`` rows have an ``_id`` within their level, the id
+    of the path they extend in ``_up``, and the last edge."""
     steps = cut_lineage(_outgoing(edges, "edge_no"))
+    name = [F.monotonically_increasing_id().alias("_id")] if named else []
+    none = F.lit(None).cast("bigint")
     frontier = cut_lineage(
         roots.select(
             "topology_id", F.col("component_id").alias("root"), "component_id",
             F.lit(0).cast("bigint").alias("depth"),
             F.expr("cast(array() as array<bigint>)").alias("path"),
-            F.array("component_id").alias("_met"),
+            F.array("component_id").alias("_met"), *name, *([none.alias("_up"), none.alias("_edge")] if named else []),
         )
     )
     levels = [frontier]
@@ -87,16 +86,29 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
                 "topology_id", "root", F.col("_dst").alias("component_id"),
                 (F.col("depth") + 1).alias("depth"),
                 F.concat("path", F.array("edge_no")).alias("path"),
-                F.concat("_met", F.array("_dst")).alias("_met"),
+                F.concat("_met", F.array("_dst")).alias("_met"), *name,
+                *([F.col("_id").alias("_up"), F.col("edge_no").alias("_edge")] if named else []),
             )
         )
         if frontier.isEmpty():
-            break
+            return levels
         levels.append(frontier)
+
+
+def _together(levels: list[DataFrame]) -> DataFrame:
     result = levels[0]
     for level in levels[1:]:
         result = result.unionByName(level)
-    return result.drop("_met")
+    return result.drop("_met", "_id", "_up", "_edge")
+
+
+def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row per path below each root (topology_id, root, component_id, depth, path).
+
+    ``path`` holds the edge numbers taken. An edge back to a component of the same path is not
+    taken, so the walk ends on cycles too; ``cycle_nodes`` reports those.
+    """
+    return _together(_levels(edges, roots))
 
 
 def reachable_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -107,16 +119,32 @@ def reachable_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def pre_order(edges: DataFrame, roots: DataFrame, width: int | str | None = AUTO) -> DataFrame:
     """Components in the order a depth-first listing prints them, with their position.
 
-    Array comparison puts a path right before its extensions, so sorting by path is the
-    pre-order. The scan may be cut at the first edge taken, which leads the order.
+    While every root has few paths they are sorted: array comparison puts a path right before its
+    extensions. Otherwise no task sees all paths of a root. The size of a path's subtree comes from
+    the sizes of the level below, and a path stands behind the one it extends and the subtrees of the
+    siblings before it. ``width`` None always sorts, a number never does.
     """
-    paths = walk(edges, roots).withColumn(
-        "_first", F.coalesce(F.get("path", F.lit(0)), F.lit(-1).cast("bigint"))
-    )
-    return ordered_scan(
-        paths, ["topology_id", "root"], ["_first", "path"], {"position": running_count()},
-        width=width, grain=1,
-    ).drop("_first")
+    levels = _levels(edges, roots, named=True)
+    if width == AUTO:
+        most = _together(levels).groupBy("topology_id", "root").count().agg(F.max("count")).first()[0]
+        width = None if (most or 0) <= MAX_GROUP_ROWS else AUTO
+    if width is None:
+        return ordered_scan(_together(levels), ["topology_id", "root"], ["path"], {"position": running_count()}, width=None)
+    sized: list[DataFrame] = []
+    for level in reversed(levels):
+        size = F.lit(1).cast("bigint")
+        if sized:
+            held = sized[-1].groupBy(F.col("_up").alias("_id")).agg(F.sum("_size").alias("_held"))
+            level, size = level.join(held, "_id", "left"), size + F.coalesce("_held", F.lit(0))
+        sized.append(cut_lineage(level.withColumn("_size", size).drop("_held", "_met")))
+    placed = [sized.pop().withColumn("position", F.lit(1).cast("bigint"))]
+    while sized:
+        numbered = ordered_scan(sized.pop(), ["_up"], ["_edge", "component_id"], {"_upto": running_sum(F.col("_size"))},
+                                width=width, grain=1)
+        above = placed[-1].select(F.col("_id").alias("_up"), F.col("position").alias("_at"))
+        placed.append(cut_lineage(numbered.join(above, "_up").withColumn(
+            "position", F.col("_at") + 1 + F.col("_upto") - F.col("_size")).drop("_at", "_upto")))
+    return _together([level.drop("_size") for level in placed])
 
 
 def _only_way(steps: DataFrame) -> DataFrame:

@@ -96,6 +96,34 @@ def test_pre_order(diamond, root, width):
     assert [r.position for r in rows] == list(range(1, 11))
 
 
+def test_pre_order_of_random_graphs(spark):
+    """Sorted and by sizes of subtrees, beside a plain listing; several roots, a cycle, a wide node."""
+    rng = random.Random(5)
+    edges = [("t", i, f"n{rng.randint(0, 9)}", f"n{rng.randint(0, 9)}") for i in range(18)]
+    edges += [("t", 100 + i, "n0", f"leaf{i}") for i in range(40)] + [("u", 1, "n0", "n1"), ("u", 2, "n1", "n0")]
+
+    def listing(t, root):
+        out = []
+
+        def visit(node, met):
+            out.append(node)
+            for _, _, _, d in sorted(e for e in edges if e[0] == t and e[2] == node):
+                if d not in met:
+                    visit(d, met | {d})
+
+        visit(root, {root})
+        return out
+
+    roots = [("t", "n0"), ("t", "n3"), ("u", "n0"), ("u", "gone")]
+    df = spark.createDataFrame(edges, EDGES)
+    tops = spark.createDataFrame(roots, "topology_id string, component_id string")
+    for width in (None, 3, "auto"):
+        rows = graph.pre_order(df, tops, width=width).collect()
+        for t, root in roots:
+            own = sorted((r.position, r.component_id) for r in rows if (r.topology_id, r.root) == (t, root))
+            assert own == list(enumerate(listing(t, root), 1))
+
+
 def test_reach_survives_a_cycle(spark, root):
     edges = spark.createDataFrame([("t", 1, "r", "a"), ("t", 2, "a", "b"), ("t", 3, "b", "a")], EDGES)
     assert sorted(r.component_id for r in graph.reachable(edges, root).collect()) == ["a", "b"]
