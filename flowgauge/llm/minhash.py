@@ -215,15 +215,17 @@ def _ends(columns) -> tuple:
 def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between the members outside a bucket's main component and all its members.
 
-    Both sides are put into blocks of about ``BLOCK`` set members; a task gets one block of each.
+    Both sides are put into blocks of about ``BLOCK`` set members. Pairs of blocks are dealt out by the key
+    and the block that is joined, so a large bucket is as many keys as it has blocks.
     """
     total = rows.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
     full = rows.join(total, "key").join(sets, ["id", "set_a"]).withColumn(
         "block", F.pmod(F.xxhash64("id", "set_a"), F.col("blocks")))
     row = F.struct("id", "component", "bits", "members")
     inside = full.groupBy("key", "block").agg(F.collect_list(row).alias("inside")).withColumnRenamed("block", "other")
-    outside = full.where("component <> main").groupBy("key", "block").agg(F.collect_list(row).alias("outside"))
-    return outside.join(inside, "key").select("outside", "inside").mapInArrow(_verified(percent), "u long, v long")
+    outside = full.where("component <> main").groupBy("key", "block", "blocks").agg(F.collect_list(row).alias("outside"))
+    outside = outside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return outside.join(inside, ["key", "other"]).select("outside", "inside").mapInArrow(_verified(percent), "u long, v long")
 
 
 #: Rounds with centres before the rest is compared in blocks, pairs left for each member at which
