@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.session import scratch_path
@@ -45,9 +45,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to be small, else as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
+def few(df: DataFrame, limit: int = BROADCAST_KEYS, parts: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to be small, else marked as too large for it.
+    ``parts`` is how many entries an array of a row holds; they count like rows."""
+    held = F.count(F.lit(1)) if parts is None else F.count(F.lit(1)) + F.coalesce(F.sum(parts), F.lit(0))
+    if df.agg(held).first()[0] <= limit:
+        return F.broadcast(df)
+    return df if parts is None else df.hint("merge")
 
 
 def filesystem(uri: str):

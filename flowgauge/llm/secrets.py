@@ -94,7 +94,7 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     linked = ((kind("string") & (F.col("near_name") | F.col("near_url"))) | (kind("name") & F.col("near_secret"))
               | (kind("url") & F.col("near_name") & F.col("near_secret")))
     more = parts.where(linked).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
-    more = few(written(more.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "more"), "linked"))
+    more = few(written(more.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "more"), "linked"), parts=F.size("more"))
     return read.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select(
         "doc_id", "mark", "base", F.coalesce("more", F.array().cast(SPAN)).alias("more"))
 
@@ -114,7 +114,8 @@ def masked(docs: DataFrame, reach: int = REACH) -> DataFrame:
         F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), F.array_sort(F.concat("base", "more")).alias("__spans")
     ).dropDuplicates(["__d", "__m"])
     text = F.coalesce("text", F.lit(""))
-    joined = docs.join(few(spans), F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
+    spans = few(written(spans, "masks"), parts=F.size("__spans"))
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
                        & (F.xxhash64(text, F.lit("mark")) == F.col("__m")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
