@@ -155,11 +155,18 @@ def fit_weights(label: np.ndarray, own: list, other: list, share: np.ndarray, si
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> tuple[dict[str, float], float]:
-    """Weights by feature, and the intercept. Without labelled texts of both classes there are no
+    """Fitted on at most ``most`` rows of each class, rows that repeat a doc_id included. Weights by feature, and the intercept. Without labelled texts of both classes there are no
     features, and the intercept follows the share of toxic labels, one added to each class."""
     sample, weight = _sample(labels, most)
-    known = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")  # 2 * most rows at most
-    known = written(known.select("label", "text"), "toxic-texts")
+    known = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
+    known = written(known.select("label", "text", F.monotonically_increasing_id().alias("row")), "toxic-texts")
+    for c, n in [tuple(r) for r in known.groupBy("label").count().collect()]:
+        if n > most:  # rows that repeat a doc_id of the sample all came along
+            chosen = known.where(F.col("label") == c).select(F.xxhash64("text").alias("h"), "row").orderBy("h", "row").limit(most)
+            left = known.join(F.broadcast(chosen.select("row")), "row", "left_semi")
+            known = written(known.where(F.col("label") != c).unionByName(left.select(*known.columns)), "toxic-texts")
+            weight[c] = weight.get(c, 0) * n / most
+    known = known.drop("row")
     seen = known.mapInArrow(_counted, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     size = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     a, b = size.get(0, 0), size.get(1, 0)
