@@ -19,6 +19,8 @@ LAW = "key"
 
 def shard_of(key: Column, weights: Sequence[float]) -> Column:
     """The shard, from 0, that takes ``key``; a null key is a key of its own."""
+    if not any(weight > 0 for weight in weights):
+        raise ValueError("no shard has a weight")
     draws = []
     for shard, weight in enumerate(weights):
         if weight > 0:

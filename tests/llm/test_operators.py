@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -336,6 +338,95 @@ def test_tree_bpe_digests(docs, none):
     assert rows(bpe.digests(docs, WORD)) == want and bpe.encode(none, WORD).count() == 0
 
 
+def test_shards_beside_plain_draws(spark):
+    weights = [1.0, 0.5, 2.0, 1.0, 0.0, 1.0, 1.0, 3.0]
+    keys = [*range(-20, 400), None, 2**62]
+
+    def best(key, weights):
+        scores = []
+        for shard, weight in enumerate(weights):
+            seed = xxhash.xxh64(f"shard-{shard}".encode(), 42).intdigest()
+            if key is not None:
+                seed = xxhash.xxh64(key.to_bytes(8, "little", signed=True), seed).intdigest()
+            low = xxhash.xxh64((key is None).to_bytes(4, "little"), seed).intdigest() & ((1 << 53) - 1)
+            scores.append(weight / -math.log((low + 0.5) / (1 << 53)) if weight else -1.0)
+        return max(range(len(weights)), key=lambda s: (scores[s], -s))
+
+    df = spark.createDataFrame([(k, "t") for k in keys], "doc_id long, text string")
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign(df, weights, 1.5).collect()}
+    assert got == {k: (best(k, weights), best(k, [*weights, 1.5])) for k in keys}
+    with pytest.raises(ValueError):
+        sharding.shard_of(F.col("doc_id"), [0.0, 0.0])
+
+
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """Sets of one bucket that are alike, some linked and most not, compared in many blocks."""
+    own = random.Random(8)
+    stem = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        words = list(stem)
+        for _ in range(own.choice([1, 2, 3, 5])):
+            words[own.randrange(60)] = f"x{own.randrange(4)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(57)} for t in texts]
+    part = list(range(60))
+    for _ in part:
+        part = [min(part[j] for j in range(60) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in range(60)]
+    for rounds, block in ((0, 300), (0, 10**6), (4, 300)):
+        monkeypatch.setattr(minhash, "ROUNDS", rounds)
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+        assert got == dict(enumerate(part))
+    assert 1 < len(set(part)) < 60
+
+
+def test_secrets_without_a_broadcast(spark, monkeypatch):
+    """The same rows when spans are joined by sorting."""
+    text = "user=bob1 key aB3" + "xY9" * 12 + " at https://h.example/x token: abcdefg"
+    df = spark.createDataFrame([(1, text, 1), (1, text, 2), (None, text, 3), (2, "x " + text, 4), (3, None, 5), (4, "plain", 6)],
+                               "doc_id long, text string, more int")
+    want = rows(secrets.digests(df)), rows(secrets.masked(df))
+    least = secrets.few
+    monkeypatch.setattr(secrets, "few", lambda d, parts: least(d, -1, parts))
+    assert (rows(secrets.digests(df)), rows(secrets.masked(df))) == want and sum(want[1].values()) == 6
+
+
+def test_repeated_labels_stay_within_the_sample(spark, monkeypatch):
+    data = [(i % 4, f"{'idiot scum' if i % 2 else 'the cat sat'} {i}") for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    seen, plain = [], toxicity.fit_weights
+    monkeypatch.setattr(toxicity, "fit_weights", lambda label, *more: seen.append(list(label)) or plain(label, *more))
+    weights, _ = toxicity.fit(df, labels, most=50)
+    assert seen[0].count(0.0) == seen[0].count(1.0) == 50 and weights["idiot$"] > 0
+
+
+def test_packing_beside_all_packings():
+    """Sequences used for small sets, beside the least possible found by trying all."""
+    own, more = random.Random(2), 0
+
+    def fits(sizes, bins):
+        if not sizes:
+            return True
+        tried = set()
+        for i, room in enumerate(bins):
+            if room >= sizes[0] and room not in tried:
+                tried.add(room)
+                if fits(sizes[1:], [*bins[:i], room - sizes[0], *bins[i + 1 :]]):
+                    return True
+        return False
+
+    for _ in range(300):
+        sizes = sorted((own.choice([own.randint(1, 2048), own.randint(300, 1100)]) for _ in range(own.randint(1, 9))), reverse=True)
+        least = next(n for n in range(1, 10) if fits(sizes, [2048] * n))
+        used = sum(times for _, times in packing.plan(dict(collections.Counter(sizes))))
+        assert least <= used <= least + 1
+        more += used - least
+    assert more <= 6
+
+
 def test_sharding(spark, docs, none):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     got = sharding.assign(many).collect()
