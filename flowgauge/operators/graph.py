@@ -14,8 +14,12 @@ from flowgauge.operators.ordered import AUTO, MAX_GROUP_ROWS, ordered_scan, runn
 from flowgauge.session import cut_lineage
 
 NODE = ["topology_id", "component_id"]
+#: The same for joins and windows. A sort compares the first bytes of its first column, and topologies are few.
+BY_NODE = ["component_id", "topology_id"]
 #: Ways of fewer than 2 ** SHORT_WAYS steps are walked level by level.
 SHORT_WAYS = 3
+#: So many levels are walked before the ways are looked at.
+FIRST_LEVELS = 4
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -149,7 +153,8 @@ def pre_order(edges: DataFrame, roots: DataFrame, width: int | str | None = AUTO
 
 def _only_way(steps: DataFrame) -> DataFrame:
     """(topology_id, component_id, _dst) of the nodes that one distinct edge leaves."""
-    return steps.groupBy(*NODE).agg(F.min("_dst").alias("_dst"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    single = steps.groupBy(*BY_NODE).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    return steps.join(single, BY_NODE, "left_semi").select(*NODE, "_dst")
 
 
 def _jumps(way: DataFrame) -> list[DataFrame]:
@@ -160,7 +165,7 @@ def _jumps(way: DataFrame) -> list[DataFrame]:
     while 2 ** len(tables) <= bound:
         last = tables[-1]
         far = last.select("topology_id", F.col("component_id").alias("_dst"), F.col("_dst").alias("_far"))
-        longer = cut_lineage(last.join(far, ["topology_id", "_dst"]).select(*NODE, F.col("_far").alias("_dst")))
+        longer = cut_lineage(last.join(far, ["_dst", "topology_id"]).select(*NODE, F.col("_far").alias("_dst")))
         if longer.isEmpty():
             break
         tables.append(longer)
@@ -170,53 +175,80 @@ def _jumps(way: DataFrame) -> list[DataFrame]:
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct (topology_id, root, component_id) below each root; safe on cycles.
 
-    Nodes that one edge leaves lead one way only, and whole such ways are crossed by jumps that double
+    The first FIRST_LEVELS levels are walked one by one, which ends most graphs. In deeper ones
+    nodes that one edge leaves lead one way only, and whole such ways are crossed by jumps that double
     in length. A frontier is walked over the other nodes alone, so its rounds are the
     branchings on a path and not its edges; the nodes on the ways are filled in at the end, by the
     same jumps.
     """
-    steps = cut_lineage(_outgoing(edges).distinct())
+    steps = cut_lineage(_outgoing(edges))
+    if _repeats(steps):
+        steps = cut_lineage(steps.distinct())
+    frontier = roots.select(
+        "topology_id", F.col("component_id").alias("root"), F.col("component_id")
+    ).distinct()
+    seen, entered, names = _by_levels(steps, None, frontier, [], FIRST_LEVELS)
+    if entered is None:
+        return seen
+    steps = cut_lineage(steps.distinct())
     tables = _jumps(cut_lineage(_only_way(steps)))
     if len(tables) <= SHORT_WAYS:  # nothing is gained by crossing ways of a few steps
-        return _by_levels(steps, roots)
+        return _by_levels(steps, seen, entered, names, None)[0]
     found = ["topology_id", "root", "component_id"]
-    entered = steps.join(roots.select(*NODE).distinct(), NODE).select(
-        "topology_id", F.col("component_id").alias("root"), F.col("_dst").alias("component_id"))
-    seen = entered = cut_lineage(entered)
-    forks = cut_lineage(steps.join(tables[0].select(*NODE), NODE, "left_anti"))
+    forks = cut_lineage(steps.join(tables[0].select(*NODE), BY_NODE, "left_anti"))
     while True:
         ends = cut_lineage(_ends(entered, tables))  # where the ways of the nodes just met lead
-        met = ends.join(forks, NODE).select("topology_id", "root", F.col("_dst").alias("component_id")).distinct()
+        met = ends.join(forks, BY_NODE).select("topology_id", "root", F.col("_dst").alias("component_id")).distinct()
         entered = cut_lineage(met.join(seen, found, "left_anti"))
         if entered.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(entered))
     for table in tables:  # all nodes up to 2 ** k steps on, then twice as many
-        further = seen.join(table, NODE).select("topology_id", "root", F.col("_dst").alias("component_id"))
+        further = seen.join(table, BY_NODE).select("topology_id", "root", F.col("_dst").alias("component_id"))
         seen = cut_lineage(seen.unionByName(further).distinct())
     return seen
 
 
-def _by_levels(steps: DataFrame, roots: DataFrame) -> DataFrame:
-    """The same pairs level by level. The frontier holds only pairs not seen before, so every pair
-    is expanded once."""
-    frontier = roots.select(
-        "topology_id", F.col("component_id").alias("root"), F.col("component_id")
-    ).distinct()
-    seen = None
-    while True:
-        found = (
-            frontier.join(steps, NODE)
+def _by_levels(
+    steps: DataFrame, seen: DataFrame | None, frontier: DataFrame, names: list[DataFrame], rounds: int | None
+) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """The same pairs level by level, for at most ``rounds`` levels: the pairs seen, the frontier if
+    it leads on, and the components of each level.
+
+    The frontier holds only pairs not seen before, so every pair is expanded once. Pairs are
+    compared with those seen only where a component of the level stands on an earlier one as well.
+    """
+    while rounds is None or rounds > 0:
+        found = cut_lineage(
+            frontier.join(steps, BY_NODE)
             .select("topology_id", "root", F.col("_dst").alias("component_id"))
             .distinct()
         )
-        if seen is not None:
-            found = found.join(seen, ["topology_id", "root", "component_id"], "left_anti")
-        found = cut_lineage(found)
+        here = cut_lineage(found.select(*NODE).distinct())
+        if any(not here.join(there, BY_NODE, "left_semi").isEmpty() for there in names):
+            found = cut_lineage(found.join(seen, ["component_id", "root", "topology_id"], "left_anti"))
         if seen is not None and found.isEmpty():
-            return seen
+            return seen, None, names
         seen = found if seen is None else seen.unionByName(found)
-        frontier = found
+        names = [*names, here]
+        if not _leads_on(here, steps):
+            return seen, None, names
+        frontier, rounds = found, rounds if rounds is None else rounds - 1
+    return seen, frontier, names
+
+
+def _repeats(steps: DataFrame) -> bool:
+    """Whether so many edges stand more than once that it pays to drop them; pairs are distinct either way."""
+    rows, kinds = steps.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*NODE, "_dst"))).first()
+    return rows > 1.25 * kinds
+
+
+def _leads_on(components: DataFrame, steps: DataFrame) -> bool:
+    """Whether a step leaves one of ``components``. A few of them mostly show it; if not, all are looked up."""
+    few = F.broadcast(components.select(*NODE).limit(1000).distinct())
+    if not steps.join(few, BY_NODE, "left_semi").isEmpty():
+        return True
+    return not steps.join(components.select(*NODE).distinct(), BY_NODE, "left_semi").isEmpty()
 
 
 def _ends(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:
@@ -224,7 +256,7 @@ def _ends(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:
     a node that has one of 2 ** k steps takes it, and what is left of its way is shorter. On a ring there is no
     end and any node of it will do."""
     for table in reversed(tables):
-        rows = rows.join(table, NODE, "left").select(
+        rows = rows.join(table, BY_NODE, "left").select(
             "topology_id", "root", F.coalesce("_dst", "component_id").alias("component_id"))
     return rows.distinct()
 

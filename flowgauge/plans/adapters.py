@@ -245,10 +245,10 @@ def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customers_as_roots(edges: DataFrame) -> DataFrame:
-    return edges.filter(F.col("src").startswith("c")).select(
-        "topology_id", F.col("src").alias("component_id")
-    ).distinct()
+def customers_as_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of ``order_graph``: those with an order."""
+    return table(spark, sf_dir, "orders").select("o_custkey").dropna().distinct().select(
+        F.lit("orders").alias("topology_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("component_id"))
 
 
 def ring_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

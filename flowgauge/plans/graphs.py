@@ -168,7 +168,7 @@ walk as (
 select root, component_id, depth, array_to_string(path, '/') as path from walk where depth > 0"""))
 def reachable_paths(spark, sf):
     edges = ad.order_graph(spark, sf)
-    paths = graph.reachable_paths(edges, ad.customers_as_roots(edges))
+    paths = graph.reachable_paths(edges, ad.customers_as_roots(spark, sf))
     return paths.select("root", "component_id", "depth",
                         F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
@@ -181,14 +181,14 @@ reach as (
 select root, component_id from reach"""))
 def reachable_components(spark, sf):
     edges = ad.order_graph(spark, sf)
-    return graph.reachable(edges, ad.customers_as_roots(edges)).drop("topology_id")
+    return graph.reachable(edges, ad.customers_as_roots(spark, sf)).drop("topology_id")
 
 
 @query("pre_order_tree", with_ctes(v.ORDER_GRAPH, WALK, recursive=True, body="""
 select root, component_id, depth, row_number() over (partition by root order by path) as position from walk"""))
 def pre_order_tree(spark, sf):
     edges = ad.order_graph(spark, sf)
-    return graph.pre_order(edges, ad.customers_as_roots(edges)).select(
+    return graph.pre_order(edges, ad.customers_as_roots(spark, sf)).select(
         "root", "component_id", "depth", "position")
 
 

@@ -160,3 +160,16 @@ def test_a_long_path_takes_rounds_by_doubling(spark, monkeypatch):
     want |= {("t", "r1", "r0"), ("t", "r1", "r1"), ("u", "n0", "n5")}
     assert got == want and len(rounds) < 40
     assert graph.reachable(df.limit(0), roots).count() == 0
+
+
+def test_a_shallow_walk_builds_no_jumps(spark, monkeypatch):
+    """Three levels with repeated edges, a component on two levels and a ring: nothing of the ways is computed."""
+    edges = [("t", i, f"c{i % 4}", f"o{i}") for i in range(12)] + [("t", i, f"o{i}", f"p{i % 5}") for i in range(12)]
+    edges += [("t", i, f"p{i}", "s") for i in range(5)] * 3 + [("t", 50, "c1", "s"), ("t", 51, "c1", "p1"), ("t", 52, "p4", "o4")]
+    built = []
+    kept = graph._jumps
+    monkeypatch.setattr(graph, "_jumps", lambda way: built.append(1) or kept(way))
+    roots = spark.createDataFrame([("t", f"c{i}") for i in range(4)], "topology_id string, component_id string")
+    rows = [tuple(r) for r in graph.reachable(spark.createDataFrame(edges, EDGES), roots).select("root", "component_id").collect()]
+    assert set(rows) == {(f"c{i}", n) for i in range(4) for n in reach_of(edges, f"c{i}")} and len(rows) == len(set(rows))
+    assert not built
