@@ -71,8 +71,8 @@ def _outgoing(edges: DataFrame, *extra: str) -> DataFrame:
 
 def _levels(edges: DataFrame, roots: DataFrame, named: bool = False) -> list[DataFrame]:
     """The paths below each root, a table per length. ``named`` rows have an ``_id`` within their level, the id
-    of the path they extend in ``_up``, and the last edge."""
-    steps = cut_lineage(_outgoing(edges, "edge_no"))
+    of the path they extend in ``_up``, and the last edge. ``_between`` are the components on a path between its ends."""
+    steps = cut_lineage(_outgoing(edges, "edge_no"), "zstd")
     name = [F.monotonically_increasing_id().alias("_id")] if named else []
     none = F.lit(None).cast("bigint")
     frontier = cut_lineage(
@@ -80,30 +80,34 @@ def _levels(edges: DataFrame, roots: DataFrame, named: bool = False) -> list[Dat
             "topology_id", F.col("component_id").alias("root"), "component_id",
             F.lit(0).cast("bigint").alias("depth"),
             F.expr("cast(array() as array<bigint>)").alias("path"),
-            F.array("component_id").alias("_met"), *name, *([none.alias("_up"), none.alias("_edge")] if named else []),
+            F.array().cast("array<string>").alias("_between"), *name, *([none.alias("_up"), none.alias("_edge")] if named else []),
         )
     )
+    new = (F.col("_dst") != F.col("root")) & (F.col("_dst") != F.col("component_id")) & ~F.array_contains("_between", F.col("_dst"))
     levels = [frontier]
     while True:
+        between = F.col("_between") if len(levels) == 1 else F.concat("_between", F.array("component_id"))
         frontier = cut_lineage(
-            frontier.join(steps, NODE).filter(~F.array_contains("_met", F.col("_dst"))).select(
+            frontier.join(steps, BY_NODE).filter(new).select(
                 "topology_id", "root", F.col("_dst").alias("component_id"),
-                (F.col("depth") + 1).alias("depth"),
+                F.lit(len(levels)).cast("bigint").alias("depth"),
                 F.concat("path", F.array("edge_no")).alias("path"),
-                F.concat("_met", F.array("_dst")).alias("_met"), *name,
+                between.alias("_between"), *name,
                 *([F.col("_id").alias("_up"), F.col("edge_no").alias("_edge")] if named else []),
-            )
+            ), "zstd"
         )
         if frontier.isEmpty():
             return levels
         levels.append(frontier)
+        if not _leads_on(frontier, steps):
+            return levels
 
 
 def _together(levels: list[DataFrame]) -> DataFrame:
     result = levels[0]
     for level in levels[1:]:
         result = result.unionByName(level)
-    return result.drop("_met", "_id", "_up", "_edge")
+    return result.drop("_between", "_id", "_up", "_edge")
 
 
 def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -140,7 +144,7 @@ def pre_order(edges: DataFrame, roots: DataFrame, width: int | str | None = AUTO
         if sized:
             held = sized[-1].groupBy(F.col("_up").alias("_id")).agg(F.sum("_size").alias("_held"))
             level, size = level.join(held, "_id", "left"), size + F.coalesce("_held", F.lit(0))
-        sized.append(cut_lineage(level.withColumn("_size", size).drop("_held", "_met")))
+        sized.append(cut_lineage(level.withColumn("_size", size).drop("_held", "_between")))
     placed = [sized.pop().withColumn("position", F.lit(1).cast("bigint"))]
     while sized:
         numbered = ordered_scan(sized.pop(), ["_up"], ["_edge", "component_id"], {"_upto": running_sum(F.col("_size"))},
@@ -248,7 +252,8 @@ def _leads_on(components: DataFrame, steps: DataFrame) -> bool:
     few = F.broadcast(components.select(*NODE).limit(1000).distinct())
     if not steps.join(few, BY_NODE, "left_semi").isEmpty():
         return True
-    return not steps.join(components.select(*NODE).distinct(), BY_NODE, "left_semi").isEmpty()
+    names = cut_lineage(components.select(*NODE).distinct())
+    return not steps.join(names, BY_NODE, "left_semi").isEmpty()
 
 
 def _ends(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:

@@ -49,10 +49,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a loop's plan does not grow
     with its rounds, a lost executor does not replay the earlier rounds, and later reads take
     only the columns and rows they need."""
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -173,3 +173,14 @@ def test_a_shallow_walk_builds_no_jumps(spark, monkeypatch):
     rows = [tuple(r) for r in graph.reachable(spark.createDataFrame(edges, EDGES), roots).select("root", "component_id").collect()]
     assert set(rows) == {(f"c{i}", n) for i in range(4) for n in reach_of(edges, f"c{i}")} and len(rows) == len(set(rows))
     assert not built
+
+
+def test_a_walk_ends_with_the_level_that_leads_nowhere(spark, diamond, root, monkeypatch):
+    """Five tables for the paths of a graph three edges deep, and one for the names of its last level; no
+    table names the ends of a path twice."""
+    written = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, *how: written.append(df) or cut(df, *how))
+    levels = graph._levels(diamond, root)
+    assert [level.count() for level in levels] == [1, 3, 3, 3] and len(written) == 6
+    assert {tuple(r["_between"]) for r in levels[3].collect()} == {("x", "z"), ("y", "z")}
