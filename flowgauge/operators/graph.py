@@ -137,7 +137,7 @@ def pre_order(edges: DataFrame, roots: DataFrame, width: int | str | None = AUTO
         most = _together(levels).groupBy("topology_id", "root").count().agg(F.max("count")).first()[0]
         width = None if (most or 0) <= MAX_GROUP_ROWS else AUTO
     if width is None:
-        return ordered_scan(_together(levels), ["topology_id", "root"], ["path"], {"position": running_count()}, width=None)
+        return ordered_scan(_together(levels), ["root", "topology_id"], ["path"], {"position": running_count()}, width=None)
     sized: list[DataFrame] = []
     for level in reversed(levels):
         size = F.lit(1).cast("bigint")

@@ -184,3 +184,11 @@ def test_a_walk_ends_with_the_level_that_leads_nowhere(spark, diamond, root, mon
     levels = graph._levels(diamond, root)
     assert [level.count() for level in levels] == [1, 3, 3, 3] and len(written) == 6
     assert {tuple(r["_between"]) for r in levels[3].collect()} == {("x", "z"), ("y", "z")}
+
+
+def test_pre_order_sorts_by_root_first(diamond, root):
+    """Every path has the same topology; a sort that begins with it compares whole rows."""
+    import re
+
+    plan = graph.pre_order(diamond, root)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Window .*\[root#\d+, topology_id#\d+\], \[path#", plan)
