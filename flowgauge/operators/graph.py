@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.operators.ordered import AUTO, MAX_GROUP_ROWS, ordered_scan, running_count, running_sum
-from flowgauge.session import cut_lineage
+from flowgauge.operators.ordered import AUTO, MAX_GROUP_ROWS, chunk_width, ordered_scan, running_count, running_sum
+from flowgauge.session import cut_lineage, dealt
 
 NODE = ["topology_id", "component_id"]
 #: The same for joins and windows. A sort compares the first bytes of its first column, and topologies are few.
@@ -47,13 +47,18 @@ def adjacency(
     A list is stored in blocks of ``block`` neighbours, so that a node with a large share
     of all edges gives many rows and not one unbounded array.
     """
-    numbered = ordered_scan(
-        edges, ["topology_id", "src"], ["edge_no"], {"_rank": running_count()},
-        width=width, grain=grain,
-    )
+    edges = cut_lineage(edges)
+    rows, keys = edges.count(), ["src", "topology_id"]
+    if width == AUTO:
+        width = chunk_width(edges, keys, "edge_no", grain)
+    if width is None:
+        edges = dealt(edges, rows, *keys)
+    numbered = ordered_scan(edges, keys, ["edge_no"], {"_rank": running_count()}, width=width).withColumn(
+        "block_no", F.floor((F.col("_rank") - 1) / block))
+    if width is not None:
+        numbered = dealt(numbered, rows, *keys, "block_no")
     return (
-        numbered.withColumn("block_no", F.floor((F.col("_rank") - 1) / block))
-        .groupBy("topology_id", "src", "block_no")
+        numbered.groupBy(*keys, "block_no")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "dst"))).alias("_list"))
         .select(
             "topology_id", F.col("src").alias("component_id"), "block_no",

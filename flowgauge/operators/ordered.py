@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_GROUP_ROWS = 2_000_000
+#: Hashes of keys that a probe counts first.
+BUCKETS = 65_536
 AUTO = "auto"
 
 
@@ -56,10 +58,15 @@ def chunk_width(
 ) -> int | None:
     """Chunk width on ``position``, or None when every key fits in one group.
 
-    One aggregation over (key, grain) with map-side combine; a single row reaches the
+    Rows are counted by a hash of the key first: where no hash has more rows than a group
+    may, no key has, and the count takes the same memory for any number of keys. Otherwise
+    one aggregation over (key, grain) with map-side combine; a single row reaches the
     driver. ``peak`` guards against bursts: the width shrinks until the fullest grain of
     the fullest key fits.
     """
+    hashes = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
+    if (hashes.agg(F.max("_n")).first()[0] or 0) <= max_rows:
+        return None
     grains = df.groupBy(*keys, F.floor(F.col(position) / grain).alias("_grain")).agg(
         F.count(F.lit(1)).alias("_n")
     )

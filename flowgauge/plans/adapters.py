@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowgauge.operators.rollup import component_metrics
 from flowgauge.schemas import STREAM_STATS
+from flowgauge.session import dealt
 
 HOUR, DAY = 3600, 86400
 TICK_SECS = 6 * HOUR
@@ -234,7 +235,7 @@ def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         orders.select(F.col("o_orderkey").alias("edge_no"), name("c", "o_custkey").alias("src"),
                       name("o", "o_orderkey").alias("dst"))
-        .unionByName(items.select("l_orderkey", "l_partkey").distinct().select(
+        .unionByName(dealt(items.select("l_orderkey", "l_partkey"), items.count(), "l_orderkey", "l_partkey").distinct().select(
             F.col("l_partkey").alias("edge_no"),
             name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst")))
         .unionByName(

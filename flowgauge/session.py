@@ -56,3 +56,16 @@ def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: About so many rows make a task of ``dealt``.
+ROWS_PER_TASK = 400_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of ``rows`` rows dealt out by ``keys`` to as many tasks as its size asks for, so that the memory of a
+    task does not grow with the table. As it is while the session's own number of partitions does."""
+    tasks = -(-rows // ROWS_PER_TASK)
+    if tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(tasks, *keys)

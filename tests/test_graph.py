@@ -192,3 +192,19 @@ def test_pre_order_sorts_by_root_first(diamond, root):
 
     plan = graph.pre_order(diamond, root)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Window .*\[root#\d+, topology_id#\d+\], \[path#", plan)
+
+
+def test_adjacency_deals_out_by_size(spark, monkeypatch):
+    """More rows make more tasks than the session's four, for small nodes and for a cut hot one alike."""
+    from flowgauge import session
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    edges = spark.createDataFrame([("t", i, f"n{i % 40 if i % 2 else 0}", f"d{i}") for i in range(100)], EDGES)
+    want = {f"n{k}": [f"d{i}" for i in range(100) if (i % 40 if i % 2 else 0) == k] for k in range(40)}
+    for width in ("auto", 7):
+        lists = graph.adjacency(edges, block=8, width=width)
+        assert "RepartitionByExpression" in lists._jdf.queryExecution().optimizedPlan().toString()
+        got = {}
+        for r in sorted(lists.collect(), key=lambda r: (r.component_id, r.block_no)):
+            got.setdefault(r.component_id, []).extend(r.neighbors)
+        assert got == {k: v for k, v in want.items() if v}
