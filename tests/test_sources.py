@@ -101,3 +101,21 @@ def test_shared_folder(spark, master, folder, fails):
 
     assert scratch_path(spark, "x").startswith(shared_folder(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_files_are_dealt_out_by_size(spark, tmp_path, monkeypatch):
+    from flowgauge import session
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    rows = [(f"f{k}", n, f"{k} {n}") for k in range(9) for n in range(1, 13)]
+    df = spark.createDataFrame(rows[::-1], "file string, line_no bigint, line string")
+    assert lines.dealt(df, len(rows), "file").rdd.getNumPartitions() == 11
+    lines.write_files(df, str(tmp_path / "out"))
+    back = lines.by_folder(read_lines(spark, str(tmp_path / "out")))
+    assert sorted(tuple(r) for r in back.select("file", "line_no", "line").collect()) == rows
+
+
+def test_no_line_is_shuffled_to_be_numbered(spark, tmp_path):
+    (tmp_path / "a").write_text("x\ny\n")
+    plan = read_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "broadcast" in plan
