@@ -35,10 +35,10 @@ lines as (
 """
 
 
-def _through_files(spark, lines):
+def _through_files(spark, lines, *how):
     """``lines`` written as text files and read back with the numbers that the reader gives them."""
     path = scratch_path(spark, "definitions")
-    write_files(lines, path)
+    write_files(lines, path, *how)
     return by_folder(read_lines(spark, path))
 
 
@@ -59,15 +59,11 @@ def _definition_lines(spark, sf):
         .when((case == 5) & (odd == 1), "").when((case == 5) & (odd == 2), " ")
         .otherwise(F.concat(src, F.lit(" "), dst))
     )
-    from pyspark.sql import Window
-
-    # A file holds the items of 512 orders, so its rows fit a window at any scale.
-    number = F.row_number().over(Window.partitionBy("file").orderBy(*order))
-    body = items.select("*", file.alias("file")).select(
-        "file", (number + 1).cast("bigint").alias("line_no"), line.alias("line"))
-    heads = items.select(file.alias("file"), F.lit(1).cast("bigint").alias("line_no"),
-                         F.concat(F.lit("topology-"), block).alias("line")).distinct()
-    return _through_files(spark, heads.unionByName(body))
+    body = items.select(file.alias("file"), *order, line.alias("line"))
+    # A file's first line has no item and stands before the lines that have one.
+    heads = items.select(block.alias("_block")).distinct().select(
+        F.concat(F.lit("file-"), F.col("_block")).alias("file"), F.concat(F.lit("topology-"), F.col("_block")).alias("line"))
+    return _through_files(spark, heads.unionByName(body, allowMissingColumns=True), order, items.count())
 
 
 @query("edges_ingest", with_ctes(LINES, body="""
