@@ -1,9 +1,10 @@
 """Token alignment of two tokenizers over the same texts.
 
-Both tokenizers encode a space and the whole text. Where both have a token that begins with a space at
-the same byte, the tokens before it end together too: these verified ends are anchors. They split
-a document into windows, pairs of token-id tuples of about a word each, and the alignment of a window
-depends on the two tuples alone, so it is worked out once and remembered by them.
+Both tokenizers encode a space and the whole text. Neither has a token across a blank that follows
+something other than white space, so the ids of the pieces between such blanks, put together, are the
+ids of the text (``tokens``); both sides' ids of a piece are remembered together. The tokens of a batch
+of texts lie one after the other: the bytes where tokens of both sides end, the groups and the links are
+found for all of them at once.
 
 A group ends at every byte where tokens of both sides end. Its last two tokens are linked. The counts
 of linked id pairs over the corpus come from a second pass over the links: summed in every
@@ -16,19 +17,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from struct import pack
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.llm.common import in_slices, written
-from flowgauge.llm.tokens import BYTE_NAMES, Encoder
+from flowgauge.llm.tokens import BYTE_NAMES, Encoder, Memory, cut, strung
 
-#: Bytes of windows and their alignments in a generation, about; a worker remembers two. Bytes of a
-#: remembered window besides its ids and its alignment.
-REMEMBERED, ENTRY = 32_000_000, 400
+#: Bytes of pieces with their ids on both sides in a generation, about; a worker remembers two.
+REMEMBERED = 80_000_000
 SPACE_MARK = "▁"
 _sides: dict[tuple[str, str], "Aligner"] = {}
 
@@ -47,7 +48,7 @@ class ByteSide:
             self.bytes.append(bytes(code[c] for c in token) if known else (token or "").encode())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(v), np.uint32) for v in self.encoder.encode([" " + t for t in texts])]
+        return [np.array(ids, np.uint32) for ids in self.encoder.batch([" " + t for t in texts])]
 
 
 class PieceSide:
@@ -62,6 +63,26 @@ class PieceSide:
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(SPACE_MARK, " ").encode())
 
+        self.splits = self._splits()
+        one = self.model.encode("a")
+        self.blank = self.model.encode("a ")[len(one) :]
+
+    def _splits(self) -> bool:
+        """Whether a text is encoded piece by piece: it is not rewritten but for the space before it, and
+        no token goes on after a blank that follows something else."""
+        from sentencepiece import sentencepiece_model_pb2
+
+        spec = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
+        rules = spec.normalizer_spec
+        kept = not rules.precompiled_charsmap and rules.add_dummy_prefix and rules.escape_whitespaces
+        own = any(p.type == p.USER_DEFINED for p in spec.pieces) or spec.trainer_spec.treat_whitespace_as_suffix
+        return bool(kept and not rules.remove_extra_whitespaces and not own and not any(
+            SPACE_MARK in p.piece.lstrip(SPACE_MARK) for p in spec.pieces))
+
+    def ids(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word with a blank before it; the model itself adds one to what is not empty."""
+        return [ids if w else self.blank for w, ids in zip(words, self.model.encode(words, num_threads=1))]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(ids, np.uint32) for ids in self.model.encode(texts, num_threads=1)]
 
@@ -78,85 +99,108 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> int:
 
 
 class Aligner:
-    """Encodes texts on both sides and aligns them window by window."""
+    """Encodes texts on both sides and aligns them, many at once."""
 
     def __init__(self, path_a: str, path_b: str):
         self.sides = ByteSide(path_a), PieceSide(path_b)
         self.sizes = [np.array([len(t) for t in s.bytes], np.int64) for s in self.sides]
-        self.lengths = [size.tolist() for size in self.sizes]
-        self.spaced = [np.array([t[:1] == b" " for t in s.bytes]) for s in self.sides]
+        self.tokens = [pa.array(s.bytes, pa.large_binary()) for s in self.sides]
         self.width = len(self.sides[1].bytes)
-        self.names = [str(i) for i in range(max(map(len, self.sizes)))]
-        self.known: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
-        self.before: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
-        self.held = 0
-        self.flat = [np.frombuffer(b"".join(s.bytes), np.uint8) for s in self.sides]
-        self.first = [np.cumsum(size) - size for size in self.sizes]
+        # What follows an id tells whether its side's group goes on.
+        ends = zip(self.sides, (",|", ",;"))
+        self.names = pa.array([f"{i}{c}" for s, two in ends for c in two for i in range(len(s.bytes))], pa.large_string())
+        self.memory = Memory()
+
+    @property
+    def held(self) -> int:
+        return self.memory.held
+
+    def fresh(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of words with a blank before each, on both sides."""
+        a, b = self.sides
+        return list(zip(a.encoder.fresh(words), map(a.encoder.value, b.ids(words))))
+
+    def heads(self, heads: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of what begins a text; it has its own blank, or is empty."""
+        a, b = self.sides
+        of_b = [ids if h else [] for h, ids in zip(heads, b.ids([h[1:] for h in heads]))]
+        return [(a.encoder.value(x), a.encoder.value(y)) for x, y in zip(a.encoder.batch(heads), of_b)]
+
+    def ids(self, spaced: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all texts one after the other, and where each text's begin (one bound
+        more). The texts have the space before them."""
+        a, b = self.sides
+        if not b.splits:
+            texts = [t[1:] for t in spaced.to_pylist()]
+            both = [side.encode(texts) for side in self.sides]
+            return [(np.concatenate(ids), np.cumsum([0, *map(len, ids)])) for ids in both]
+        made = cut(spaced)
+        values = self.memory.values(made.words, self.fresh, lambda v: len(v[0]) + len(v[1]) + 100, REMEMBERED)
+        values += self.heads(made.heads)
+        out = []
+        for side in (0, 1):
+            data, first = strung([v[side] for v in values], made)
+            out.append((data.view(np.uint32), first // 4))
+        return out
+
+    def joined(self, side: int, ids: np.ndarray) -> np.ndarray:
+        """The bytes of tokens, put together."""
+        _, bounds, data = self.tokens[side].take(pa.array(ids)).buffers()
+        return np.frombuffer(data or b"", np.uint8, np.frombuffer(bounds, np.int64, len(ids) + 1)[-1])
+
+    def whole(self, side: int, ids: np.ndarray, first: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """For each text whether the bytes of its tokens are its own; texts lie in ``data`` from ``begin``."""
+        ends = np.concatenate(([0], np.cumsum(self.sizes[side][ids])))[first]
+        own = self.joined(side, ids)
+        if np.array_equal(ends, begin) and np.array_equal(own, data):
+            return np.ones(len(begin) - 1, bool)
+        return np.array([np.array_equal(own[i:j], data[k:m]) for (i, j), (k, m) in zip(pairwise(ends), pairwise(begin))])
+
+    def grouped(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> Iterator[tuple[str, bytes]]:
+        """Groups and links of texts whose tokens follow each other, over the same bytes on both sides."""
+        (end_a, closes_a), (end_b, closes_b) = ends = [
+            (at, np.zeros(len(at), bool)) for at in (np.cumsum(size[ids]) for size, ids in zip(self.sizes, (a, b)))]
+        for (at, closes), (other, _) in zip(ends, reversed(ends)):
+            mark = np.zeros(int(at[-1]) + 1 if len(at) else 1, bool)
+            mark[other] = True
+            closes[:] = mark[at]
+        last_a, last_b = np.flatnonzero(closes_a), np.flatnonzero(closes_b)
+        links = (a[last_a].astype(np.int64) * self.width + b[last_b]).tobytes()
+        # Tokens in the order of groups, a group's A side first.
+        n_a, n_b = np.concatenate(([0], last_a + 1)), np.concatenate(([0], last_b + 1))
+        place_a = np.arange(len(a)) + n_b[np.cumsum(closes_a) - closes_a]
+        place_b = np.arange(len(b)) + n_a[1:][np.cumsum(closes_b) - closes_b]
+        name = np.empty(len(a) + len(b), np.int64)
+        name[place_a] = a + closes_a * len(self.sizes[0])
+        name[place_b] = b + closes_b * self.width + 2 * len(self.sizes[0])
+        _, bounds, text = self.names.take(pa.array(name)).buffers()
+        at = np.frombuffer(bounds, np.int64, len(name) + 1)[first_a + first_b].tolist()
+        text = memoryview(text or b"")
+        link = (8 * np.searchsorted(last_a, first_a)).tolist()
+        for (i, j), (k, m) in zip(pairwise(at), pairwise(link)):
+            yield str(text[i : max(i, j - 1)], "ascii"), links[k:m]
 
     def aligned(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
-        """Groups and links of two stretches of tokens over the same bytes. A window holds a few
-        tokens, so this walks along both."""
-        name = self.names
-        if len(a) == 1 or len(b) == 1:  # nothing but the end is shared
-            text = f"{','.join([name[i] for i in a])}|{','.join([name[i] for i in b])}"
-            return text, pack("q", a[-1] * self.width + b[-1])
-        size_a, size_b = self.lengths
-        groups, links, i, j, x, y = [], [], 0, 0, 0, 0
-        end_a = end_b = 0
-        while x < len(a) or y < len(b):
-            if end_a <= end_b:
-                end_a += size_a[a[x]]
-                x += 1
-            else:
-                end_b += size_b[b[y]]
-                y += 1
-            if end_a == end_b:
-                groups.append(f"{','.join([name[i] for i in a[i:x]])}|{','.join([name[i] for i in b[j:y]])}")
-                links.append(a[x - 1] * self.width + b[y - 1])
-                i, j = x, y
-        return ";".join(groups), pack(f"{len(links)}q", *links)
-
-    def window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
-        found = self.before.get(key)
-        if found is None:
-            a, b = (memoryview(k).cast("I").tolist() for k in key)
-            found = self.aligned(a, b)
-        self.held += ENTRY + len(key[0]) + len(key[1]) + len(found[0]) + len(found[1])
-        if self.held > REMEMBERED:
-            self.known, self.before, self.held = {}, self.known, 0
-        self.known[key] = found
-        return found
-
-    def whole(self, side: int, ids: np.ndarray, text: np.ndarray) -> bool:
-        """Whether the bytes of the tokens, put together, are the text's."""
-        size = self.sizes[side][ids]
-        ends = np.cumsum(size)
-        if not len(ids) or ends[-1] != len(text):
-            return False
-        place = np.repeat(self.first[side][ids] - (ends - size), size) + np.arange(len(text))
-        return np.array_equal(self.flat[side][place], text)
-
-    def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, bytes]]:
+        """Groups and links of two stretches of tokens over the same bytes."""
+        ids = np.array(a, np.uint32), np.array(b, np.uint32)
+        return next(self.grouped(*ids, *(np.array([0, len(i)]) for i in ids)))
+
+    def documents(self, texts: list[str | None] | pa.Array) -> Iterator[tuple[int, int, str, bytes]]:
         """(n_a, n_b, groups, links) of every text; links are pairs as a * width + b, eight bytes each."""
-        whole = [t or "" for t in texts]
-        for text, a, b in zip(whole, *(side.encode(whole) for side in self.sides)):
-            spaced = np.frombuffer((" " + text).encode(), np.uint8)
-            if not text or not (self.whole(0, a, spaced) and self.whole(1, b, spaced)):
-                yield 0, 0, "", b""
-                continue
-            starts = [np.cumsum(size[ids]) - size[ids] for size, ids in zip(self.sizes, (a, b))]
-            marked = [np.flatnonzero(mark[ids]) for mark, ids in zip(self.spaced, (a, b))]
-            _, at_a, at_b = np.intersect1d(
-                starts[0][marked[0]], starts[1][marked[1]], assume_unique=True, return_indices=True)
-            cuts = [(4 * m[at]).tolist() for m, at in zip(marked, (at_a, at_b))]
-            for cut, ids in zip(cuts, (a, b)):
-                cut[:] = [0, *(c for c in cut if c), 4 * len(ids)]
-            data = a.tobytes(), b.tobytes()
-            parts = []
-            for i, j, k, m in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
-                key = data[0][i:j], data[1][k:m]
-                parts.append(self.known.get(key) or self.window(key))
-            yield len(a), len(b), ";".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        large = pa.large_string()
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", large), texts.cast(large), pa.scalar("", large))
+        _, bounds, data = spaced.buffers()
+        begin = np.frombuffer(bounds, np.int64, len(spaced) + 1)
+        data = np.frombuffer(data, np.uint8, begin[-1])
+        sides = self.ids(spaced)
+        good = np.diff(begin) > 1
+        for side, (ids, first) in enumerate(sides):
+            good &= self.whole(side, ids, first, data, begin)
+        counts = [np.where(good, np.diff(first), 0) for _, first in sides]
+        kept = [ids if good.all() else ids[np.repeat(good, np.diff(first))] for ids, first in sides]
+        firsts = [np.concatenate(([0], np.cumsum(n))) for n in counts]
+        yield from ((n_a, n_b, *made) for n_a, n_b, made in zip(*(n.tolist() for n in counts), self.grouped(*kept, *firsts)))
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -181,7 +225,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, digest: bool = False)
         for batch in batches:
             for part in in_slices(batch, "text", 2_000_000):
                 rows = []
-                for n_a, n_b, groups, links in made.documents(part.column("text").to_pylist()):
+                for n_a, n_b, groups, links in made.documents(part.column("text")):
                     rows.append((n_a, n_b, hashlib.sha256(groups.encode()).hexdigest() if digest and n_a else groups, links))
                 columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(schema)[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *columns], schema=schema)

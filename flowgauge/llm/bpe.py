@@ -49,10 +49,6 @@ class TreeEncoder(Encoder):
             self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         return super().value(ids), " ".join([self.names[i] for i in ids])
 
-    def cut_values(self, ids, cuts: list[int]) -> list[tuple[bytes, str]]:
-        whole = ids.tolist()
-        return [self.value(whole[a:b]) for a, b in zip(cuts, cuts[1:])]
-
     def plus(self, value: tuple[bytes, str], more: tuple[bytes, str]) -> tuple[bytes, str]:
         return value[0] + more[0], f"{value[1]} {more[1]}" if value[1] else more[1]
 

@@ -2,8 +2,9 @@
 
 A text is cut at every blank that follows something other than white space. Both tokenizer
 kinds used here end a token there whatever lies to the left and right, so the ids of the pieces,
-put together, are the ids of the text; special tokens hold no blank. The library encodes each
-piece once for as long as the memory of a Python worker holds it.
+put together, are the ids of the text; special tokens hold no blank. Arrow cuts the texts of a batch and
+lists its distinct pieces, so Python looks up each of them once a batch; the library encodes each piece
+once for as long as the memory of a Python worker holds it.
 """
 
 from __future__ import annotations
@@ -11,15 +12,21 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-GLUED = [c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"]
-GLUED_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+#: A blank after white space, where no text is cut.
+GLUED = (r"[ \t\n\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+         r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] ")
 CUT = re.compile(r"(?<=\S) ")
 #: Longest piece that is remembered, and about how many bytes a generation of them takes; a worker
-#: holds two. Bytes of a remembered piece besides its text and ids. Words that are encoded in one text.
-LONGEST, REMEMBERED, ENTRY, TOGETHER = 48, 60_000_000, 180, 500
+#: holds two. Bytes of a remembered piece besides its text and ids. Most runs of marks that are remembered.
+LONGEST, REMEMBERED, ENTRY, SIGNS_KEPT = 48, 60_000_000, 180, 500
 #: Latin letters, then marks, then perhaps a line break, letters and marks. Both tokenizer kinds end a
 #: unit wherever these change, so the ids of such a piece are those of its parts.
 LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]", r"[!-&(-/:-@\[-`{-~]"
@@ -29,6 +36,7 @@ UNITS = re.compile(f"({LETTERS}+)({SIGNS}*)(?:(\n{LETTERS}+)({SIGNS}*))?")
 _own = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_NAMES = {b: chr(b) for b in _own} | {
     b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _own)}
+BYTES_OF = {c: "".join(BYTE_NAMES[b] for b in chr(c).encode()) for c in range(0x250)}
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -39,11 +47,71 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
-def pieces(text: str) -> list[str]:
-    """The pieces of a text; each but the first lacks the blank before it."""
-    if any(c in text for c in GLUED) or not text.isascii() and GLUED_WIDE.search(text):
-        return CUT.split(text)
-    return text.split(" ")
+class Cut(NamedTuple):
+    """Texts in pieces; each piece but the first of a text lacks the blank before it. ``words`` are the
+    distinct ones, without the first of each text: those are the ``heads``. ``place`` gives for all pieces
+    in order their place in words + heads, ``first`` where each text's begin (one bound more)."""
+
+    words: list[str]
+    heads: list[str]
+    place: np.ndarray
+    first: np.ndarray
+
+
+def cut(texts: pa.Array) -> Cut:
+    """The pieces of an Arrow column of texts; null is empty."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.split_pattern(texts, " ")
+    if pc.any(pc.match_substring_regex(texts, GLUED)).as_py():
+        lists = pa.array([CUT.split(t) for t in _listed(texts)], lists.type)
+    first = lists.offsets.to_numpy().astype(np.int64)
+    parts = lists.flatten()
+    head = np.zeros(len(parts), bool)
+    head[first[:-1]] = True
+    rest = parts.filter(pa.array(~head)).dictionary_encode()
+    words = _listed(rest.dictionary)
+    place = np.empty(len(parts), np.int64)
+    place[~head] = rest.indices.to_numpy()
+    place[head] = len(words) + np.arange(len(texts))
+    return Cut(words, _listed(parts.take(pa.array(first[:-1]))), place, first)
+
+
+def _listed(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def strung(values: list[bytes], made: Cut) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all pieces in order as one run of bytes, and where each text's begin (one bound more).
+    ``values`` are those of words + heads."""
+    taken = pa.array(values, pa.large_binary()).take(pa.array(made.place))
+    _, bounds, data = taken.buffers()
+    bounds = np.frombuffer(bounds, np.int64, len(taken) + 1)
+    return np.frombuffer(data or b"", np.uint8, bounds[-1]), bounds[made.first]
+
+
+class Memory:
+    """Values of pieces, in two generations: when the younger is full, the older one goes."""
+
+    def __init__(self):
+        self.known: dict[str, object] = {}
+        self.before: dict[str, object] = {}
+        self.held = 0
+
+    def values(self, words: list[str], make: Callable[[list[str]], list], size: Callable[[object], int], most: int) -> list:
+        """The value of each distinct word; ``make`` gives those that are not remembered."""
+        found = list(map(self.known.get, words))
+        missing = [i for i, v in enumerate(found) if v is None]
+        for i, v in zip(missing, map(self.before.get, [words[i] for i in missing])):
+            found[i] = v
+        new = [i for i in missing if found[i] is None]
+        for i, v in zip(new, make([words[i] for i in new])):
+            found[i] = v
+        kept = [i for i in missing if len(words[i]) <= LONGEST]
+        self.known.update((words[i], found[i]) for i in kept)
+        self.held += sum(len(words[i]) + size(found[i]) for i in kept) + ENTRY * len(kept)
+        if self.held > most:
+            self.known, self.before, self.held = {}, self.known, 0
+        return found
 
 
 class Encoder:
@@ -56,64 +124,53 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = plain_specials
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.held = 0
+        self.memory = Memory()
         self.folds = self.tokenizer.normalizer is not None
         self.signs: dict[str, bytes] = {}
-        end = self.tokenizer.model.end_of_word_suffix
-        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.closing = np.array([t.endswith(end) for t in tokens]) if end else None
-        self.opening = {c: np.array([t.startswith(BYTE_NAMES[ord(c)]) for t in tokens]) for c in " \n"}
+        self.tokenize = self.tokenizer.model.tokenize
+        # With a token for the end of a word, white space has none.
+        self.blank, self.line = ("", []) if self.tokenizer.model.end_of_word_suffix else (BYTE_NAMES[32], self.batch(["\n"])[0])
         probe = ["Hello", "the,", "éÀÿn", "Straße.", "naïve%%%", "a", "of.\nThe,***", "a\nbé"]
         self.plain = self.composed(probe) == [self.value(i) for i in self.batch([" " + w for w in probe])]
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def units(self, words: list[str], before: str) -> dict[str, bytes]:
-        """What is remembered of words of letters with ``before`` in front of each, encoded in texts of
-        many. A word begins at each token that holds ``before``, or ends at each that ends a word."""
-        texts = [before + before.join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
-        ids = np.array([i for part in self.batch(texts) for i in part], np.uint32)
-        if self.closing is None:
-            cuts = [*np.flatnonzero(self.opening[before][ids]).tolist(), len(ids)]
-        else:
-            cuts = [0, *(np.flatnonzero(self.closing[ids]) + 1).tolist()]
-        if len(cuts) != len(words) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
-            return {w: self.value(i) for w, i in zip(words, self.batch([before + w for w in words]))}
-        return dict(zip(words, self.cut_values(ids, cuts)))
+    def unit(self, word: str, before: str) -> list[int]:
+        """The ids of a word of letters, which goes to the library's model as it is: nothing before the
+        model would cut or change it."""
+        return [t.id for t in self.tokenize(before + (word if word.isascii() else word.translate(BYTES_OF)))]
 
     def composed(self, words: list[str]) -> list[bytes | None]:
         """What is remembered of each word that ``UNITS`` describes, put together from its parts, and
         None for the others. Parts that occur in several words are encoded once."""
-        match = UNITS.fullmatch
-        split = [m.groups() if (m := match(w)) else None for w in (map(str.lower, words) if self.folds else words)]
-        # Without a token for white space a line break is as good as a blank.
-        mark = " " if self.closing is not None else "\n"
-        first = {g[0] for g in split if g}
-        second = {g[2][1:] for g in split if g and g[2]}
-        signs = {g[1] for g in split if g} | {g[3] for g in split if g and g[3]}
-        spaced = self.units(list(first | second if mark == " " else first), " ")
-        broken = self.units(list(second), mark) if mark == "\n" else spaced
-        if len(self.signs) > TOGETHER:
-            self.signs = {}
-        unseen = list(signs - self.signs.keys() - {""})
-        self.signs.update(zip(unseen, [self.value(i) for i in self.batch(unseen)]))
-        plus, known = self.plus, self.signs
+        match, plus, blank, signs = UNITS.fullmatch, self.plus, self.blank, self.signs
+        spaced: dict[str, bytes] = {}
+        broken: dict[str, bytes] = {} if blank else spaced
+        if len(signs) > SIGNS_KEPT:
+            signs.clear()
         out: list[bytes | None] = []
-        for g in split:
-            if g is None:
+        for found in map(match, map(str.lower, words) if self.folds else words):
+            if found is None:
                 out.append(None)
                 continue
-            word, sign, more, last = g
-            value = spaced[word]
+            word, sign, more, last = found.groups()
+            value = spaced.get(word)
+            if value is None:
+                value = spaced[word] = self.value(self.unit(word, blank))
             if sign:
-                value = plus(value, known[sign])
+                if sign not in signs:
+                    signs[sign] = self.value(self.batch([sign])[0])
+                value = plus(value, signs[sign])
             if more:
-                value = plus(value, broken[more[1:]])
+                part = broken.get(more[1:])
+                if part is None:
+                    part = broken[more[1:]] = self.value(self.line + self.unit(more[1:], ""))
+                value = plus(value, part)
                 if last:
-                    value = plus(value, known[last])
+                    if last not in signs:
+                        signs[last] = self.value(self.batch([last])[0])
+                    value = plus(value, signs[last])
             out.append(value)
         return out
 
@@ -121,10 +178,6 @@ class Encoder:
         """What is remembered of a piece: its ids as unsigned 32-bit integers."""
         return array("I", ids).tobytes()
 
-    def cut_values(self, ids: np.ndarray, cuts: list[int]) -> list[bytes]:
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
-
     def plus(self, value: bytes, more: bytes) -> bytes:
         return value + more
 
@@ -134,47 +187,35 @@ class Encoder:
     def long_ids(self, text: str) -> list[int]:
         return self.batch([text])[0]
 
-    def remember(self, words: list[str], values: list[bytes]) -> None:
-        self.known.update(zip(words, values))
-        self.held += sum(map(len, words)) + sum(map(self.size, values)) + ENTRY * len(words)
+    def fresh(self, words: list[str]) -> list:
+        """The values of words with a blank before each, not looked up."""
+        short = [w if len(w) <= LONGEST else "" for w in words]
+        out = self.composed(short) if self.plain else [None] * len(words)
+        rest = [i for i, value in enumerate(out) if value is None]
+        for i, ids in zip(rest, self.batch([" " + short[i] for i in rest])):
+            out[i] = self.value(ids if short[i] == words[i] else self.long_ids(" " + words[i]))
+        return out
 
-    def learn(self, cut: list[list[str]]) -> dict[str, bytes]:
-        """Sees to it that all pieces but the first of each text are remembered; those too long for
-        that are returned with their values."""
-        if self.held > REMEMBERED:
-            self.known, self.before, self.held = {}, self.known, 0
-        unseen: set[str] = set()
-        for parts in cut:
-            unseen.update(parts)
-        unseen = unseen.difference(self.known)
-        if self.before:
-            again = list(unseen & self.before.keys())
-            self.remember(again, [self.before[w] for w in again])
-            unseen.difference_update(again)
-        long = [w for w in unseen if len(w) > LONGEST]
-        unseen.difference_update(long)
-        words = list(unseen)
-        values = self.composed(words) if self.plain else [None] * len(words)
-        rest = [w for w, value in zip(words, values) if value is None]
-        self.remember([w for w, value in zip(words, values) if value is not None], [v for v in values if v is not None])
-        self.remember(rest, [self.value(ids) for ids in self.batch([" " + w for w in rest])])
-        return {w: self.value(self.long_ids(" " + w)) for w in long}
-
-    def encode(self, texts: list[str]) -> list[list[bytes]]:
+    def values(self, made: Cut) -> list:
+        """The values of words + heads."""
+        heads = [
+            self.value(ids if len(h) <= LONGEST else self.long_ids(h))
+            for h, ids in zip(made.heads, self.batch([h if len(h) <= LONGEST else "" for h in made.heads]))
+        ]
+        return self.memory.values(made.words, self.fresh, self.size, REMEMBERED) + heads
+
+    def encode(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces in order."""
-        cut = [pieces(t) for t in texts]
-        long = self.learn(cut)
-        known = self.known
-        heads = [self.value(i) for i in self.batch([p[0] if len(p[0]) <= LONGEST else "" for p in cut])]
-        out = []
-        for parts, head in zip(cut, heads):
-            if len(parts[0]) > LONGEST:
-                head = self.value(self.long_ids(parts[0]))
-            if long:
-                out.append([head, *[known[w] if w in known else long[w] for w in parts[1:]]])
-            else:
-                out.append([head, *[known[w] for w in parts[1:]]])
-        return out
+        made = cut(pa.array(texts, pa.string()))
+        values, place = self.values(made), made.place.tolist()
+        return [[values[i] for i in place[a:b]] for a, b in pairwise(made.first.tolist())]
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """For each text of an Arrow column its ids as unsigned 32-bit integers; null is empty."""
+        made = cut(texts)
+        data, bounds = strung(self.values(made), made)
+        ids = data.view(np.uint32)
+        return [ids[a:b] for a, b in pairwise((bounds // 4).tolist())]
 
 
 def texts_of(column) -> list[str]:

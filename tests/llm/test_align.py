@@ -98,3 +98,20 @@ def test_query_on_its_table(spark, sides):
     docs = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     got = queries.QUERIES["op11_token_alignment"](spark, sf)
     assert rows(got) == plain(docs, sides) and got.where(F.col("n_best") < F.col("n_links")).count()
+
+
+def test_each_piece_is_encoded_once(monkeypatch, sides):
+    made, sent = align.Aligner(A, B), []
+    for side, name in ((made.sides[0].encoder, "batch"), (made.sides[1], "ids")):
+        monkeypatch.setattr(side, name, lambda words, f=getattr(side, name): sent.extend(words) or f(words))
+    texts = [f"word soup, ünd\nmehr {i % 3}" for i in range(600)]
+    got = list(made.documents(texts))
+    assert sum(map(len, sent)) < 100 and made.sides[1].splits
+    assert got[:3] * 200 == got and [r[:2] for r in got[:2]] == [
+        (len(sides[0].encode(" " + t).ids), len(sides[1].encode(t))) for t in texts[:2]]
+
+
+def test_a_model_that_joins_words_encodes_whole_texts():
+    made, whole = align.Aligner(A, B), align.Aligner(A, B)
+    whole.sides[1].splits = False
+    assert list(made.documents(TEXTS)) == list(whole.documents(TEXTS))
