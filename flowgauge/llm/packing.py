@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from flowgauge.llm.common import in_slices
 from flowgauge.llm.sharding import with_slots
-from flowgauge.llm.tokens import encoder, texts_of
+from flowgauge.llm.tokens import encoder
 
 CAPACITY = 2048
 END = 0
@@ -36,8 +36,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
         for batch in batches:
             for part in in_slices(batch, "text"):
                 rows: list[list] = [[], [], [], [], []]
-                for key, values in zip(part.column("doc_id").to_pylist(), encoder(path).encode(texts_of(part.column("text")))):
-                    ids = b"".join(values) + END.to_bytes(4, "little")
+                for key, values in zip(part.column("doc_id").to_pylist(), encoder(path).ids(part.column("text"))):
+                    ids = values.tobytes() + END.to_bytes(4, "little")
                     for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + capacity)]
                         for column, value in zip(rows, (key, piece, start, len(own) // 4, own)):
