@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowgauge.llm.common import SharedFile, filesystem, in_slices, written
-from flowgauge.llm.tokens import encoder, texts_of
+from flowgauge.llm.tokens import encoder
 from flowgauge.session import scratch_path
 
 LENGTH, GROUP = 2048, 256
@@ -128,8 +128,8 @@ def write_sequences(docs: DataFrame, path: str, folder: str | None = None, parts
         for batch in batches:
             for piece in in_slices(batch, "text"):
                 ids = [
-                    np.append(np.frombuffer(b"".join(v), np.uint32), np.uint32(END)).astype(kind).tobytes()
-                    for v in encoder(path).encode(texts_of(piece.column("text")))
+                    np.append(v, np.uint32(END)).astype(kind).tobytes()
+                    for v in encoder(path).ids(piece.column("text"))
                 ]
                 keys = piece.column("doc_id")
                 part = np.searchsorted(bounds, keys.fill_null(-(2**63)).to_numpy(), side="right").astype(np.int32)
