@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -120,6 +121,56 @@ def test_maxscore_beyond_a_long(spark, monkeypatch):
     assert rows(maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0"))) == collections.Counter(want)
 
 
+def test_maxscore_moves_no_copies(spark):
+    """Neither side is copied per shard or block, and nothing is sent through the driver."""
+    data = [(i, [rng.uniform(-0.5, 0.5) for _ in range(4)]) for i in range(300)]
+    vectors = maxscore.integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    plan = maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0"))._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan and "Join" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("kind", ["dense", "sparse", "ragged", "ties", "large"])
+def test_maxscore_in_shards(spark, monkeypatch, kind):
+    """Many shards, blocks and passes, in tasks of several shards each."""
+    for name, n in (("SHARD", 100), ("BLOCK", 3), ("PLACES", 40)):
+        monkeypatch.setattr(maxscore, name, n)
+    number = {"dense": lambda: rng.uniform(-0.5, 0.5), "sparse": lambda: rng.choice([0.0] * 9 + [rng.uniform(-9, 9)]),
+              "ragged": lambda: rng.gauss(0, 1), "ties": lambda: float(rng.randint(0, 1)),
+              "large": lambda: rng.gauss(0, rng.choice([1, 1, 1e4, 1e5, 1e15]))}[kind]
+    wide = 12 if kind == "ragged" else 6
+    data = [(rng.randrange(5000) if kind == "ties" else i, [number() for _ in range(rng.randint(0, wide) if kind == "ragged" else wide)])
+            for i in range(4000)]
+    vectors = maxscore.integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3))
+    near = lambda n: min(max(n, -(2**63)), 2**63 - 1)
+    held = sorted({(i, tuple(near(int(np.floor(1024 * x))) for x in v)) for i, v in data})
+    want, scored = set(), collections.defaultdict(list)
+    for q, qv in held:
+        if q % 100 == 0:
+            scored[q] += [(-sum(a * b for a, b in zip(qv, v)), i) for i, v in held if i != q]
+    for q, best in scored.items():
+        want |= {(q, n + 1, i, near(-s)) for n, (s, i) in enumerate(sorted(best)[:4])}
+    assert rows(maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0"), 4)) == collections.Counter(want)
+    if kind == "dense":  # without an id, a query's own vector is found
+        monkeypatch.setattr(maxscore, "PLACES", 5000)
+        asked = vectors.where("vec_id in (100, 200)").selectExpr("nullif(vec_id, 200) as vec_id", "v")
+        got = collections.Counter(r.query_id for r in maxscore.top_k(vectors, asked, 5000).collect())
+        assert got == {None: 4000, 100: 3999}
+
+
+def test_maxscore_shard_bounds(monkeypatch):
+    """Batches are cut by rows and by numbers; a shard out of reach leaves the best as they are."""
+    monkeypatch.setattr(maxscore, "CELLS", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([[1] * (200 if i == 20 else 1) for i in range(50)])], ["vec_id", "v"])
+    cut = [[b.num_rows for b in t] for t in maxscore._tables(iter([batch, batch.slice(0, 0), batch.slice(0, 2)]), 2, 16)]
+    assert cut == [[2], [16], [2], [1], [16], [13, 2]]
+    best = maxscore.Best(np.array([0, 100]), 1)
+    maxscore.Shard(np.array([1, 2]), np.array([[9.0, 9.0], [-9.0, 9.0]])).search(np.array([[3.0, 1.0], [-3.0, 1.0]]), best)
+    assert best.found.tolist() == [1, 2] and best.scores.tolist() == [36, 36]
+    far = maxscore.Shard(np.array([3, 4]), np.array([[1.0, 1.0], [-1.0, 1.0]]))
+    far.rows, far.single = np.full((2, 2), np.nan), None  # not looked at
+    far.search(np.array([[3.0, 1.0], [-3.0, 1.0]]), best)
+    assert best.found.tolist() == [1, 2]
+
 def test_quality(spark, docs, none):
     lines = "same line of words here\n" * 3
     df = docs.select("doc_id", "text", "lang", "source", "kept").unionByName(
